@@ -15,12 +15,50 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
+def op1_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import matroska
+
+    return matroska.text_media(table(spark, sf_dir, "documents"))
+
+
+def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import chat
+
+    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+
+
+def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import url_reputation as url
+
+    outcomes = table(spark, sf_dir, "labels").selectExpr("doc_id AS page_id", "quality AS good")
+    return url.judge(table(spark, sf_dir, "pages"), outcomes, url.RULES)
+
+
 def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm import bpe
 
     return bpe.digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
+def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import suffix_dedup
+
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
+def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import quality
+
+    return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -29,9 +67,14 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.PATTERN)
 
 
+QUERIES = (op1_matroska_media, op2_snapshot_collapse, op3_url_reputation, op4_byte_bpe, op5_suffix_dedup, op7_site_quality, op9_toxicity_cnn, op10_best_fit_packing)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_byte_bpe, op10_best_fit_packing)}
+    return {f.__name__: f for f in QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from blockloom.llm import chat, url_reputation
+
+    return {"op2_snapshot_collapse": chat.ORACLE, "op3_url_reputation": url_reputation.ORACLE}
