@@ -52,6 +52,12 @@ def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_jaccard_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import jaccard
+
+    return jaccard.component_ids(table(spark, sf_dir, "documents"), 4, (85, 100))
+
+
 def op9_toxicity_cnn(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm import toxicity
 
@@ -67,7 +73,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.PATTERN)
 
 
-QUERIES = (op1_matroska_media, op2_snapshot_collapse, op3_url_reputation, op4_byte_bpe, op5_suffix_dedup, op7_site_quality, op9_toxicity_cnn, op10_best_fit_packing)
+QUERIES = (op1_matroska_media, op2_snapshot_collapse, op3_url_reputation, op4_byte_bpe, op5_suffix_dedup, op7_site_quality, op8_jaccard_trie, op9_toxicity_cnn, op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
