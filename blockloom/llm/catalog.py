@@ -46,6 +46,12 @@ def op5_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.digests(table(spark, sf_dir, "documents"))
 
 
+def op6_imatch_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from blockloom.llm import imatch
+
+    return imatch.edited_likeness(table(spark, sf_dir, "documents"))
+
+
 def op7_site_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm import quality
 
@@ -73,7 +79,7 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path(), public_tokenizers.PATTERN)
 
 
-QUERIES = (op1_matroska_media, op2_snapshot_collapse, op3_url_reputation, op4_byte_bpe, op5_suffix_dedup, op7_site_quality, op8_jaccard_trie, op9_toxicity_cnn, op10_best_fit_packing)
+QUERIES = (op1_matroska_media, op2_snapshot_collapse, op3_url_reputation, op4_byte_bpe, op5_suffix_dedup, op6_imatch_fingerprints, op7_site_quality, op8_jaccard_trie, op9_toxicity_cnn, op10_best_fit_packing)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
