@@ -28,6 +28,11 @@ FREQUENT_FROM = 48
 #: Sets of one trie; a hub with more meets in pairs of blocks.
 BLOCK = 1024
 SALTS = 32
+#: Beyond the first shingles that a link needs, one in so many of a set's shingles is looked at too; a set of which
+#: fewer than as many meet another set there cannot link.
+EXTRA = 20
+#: Rounds in which groups move to their hub's own hub.
+GATHERED = 2
 _TOP = np.uint64(1 << 63)
 
 
@@ -108,8 +113,13 @@ def _ordered(keys: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> np.nd
     return keys[np.lexsort((keys, doc))]
 
 
-def _met(docs: DataFrame, words: int, similarity: tuple[int, int], frequent: np.ndarray) -> DataFrame:
-    """hub, class, n: classes that share one of their first shingles with the hub; n is the set's size."""
+def _shared(docs: DataFrame, words: int, similarity: tuple[int, int], frequent: np.ndarray) -> DataFrame:
+    """shingle, class, n: the first shingles of each set that are also among another set's; n is the set's size.
+
+    Of two sets that overlap in o shingles, the first l of these have at most n - o + l places
+    in either set.  So sets that link share at least l of their first n - o + l shingles, where
+    o is the least overlap that a link of the set allows and l is n / EXTRA.
+    """
     a, b = similarity
 
     def first_ones(batches):
@@ -117,11 +127,46 @@ def _met(docs: DataFrame, words: int, similarity: tuple[int, int], frequent: np.
             for _, _, data, offsets in V.parts(batch.column(1)):
                 keys, first = shingles(data, offsets, words)
                 n = np.diff(first)
-                take = np.where(n > 0, n - -(-a * n // b) + 1, 0)
+                take = np.minimum(n, n - -(-a * n // b) + np.maximum(1, n // EXTRA))
                 own = np.repeat(_classes(keys, first), take)
                 keys = _ordered(keys, first, frequent)[V.ragged(first[:-1], take)]
                 yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(own), pa.array(np.repeat(n, take))], ["shingle", "class", "n"])
 
+    def several(batches):
+        """Rows that share a shingle with another class of a size that could link, each class once.
+
+        Rows stand by size, so where two neighbours' sizes are too far apart, no two rows on
+        either side can link.  The last row of a batch waits for the next one.
+        """
+        before = None  # the last row, and whether it is told
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = np.stack([c.to_numpy() for c in batch.columns], 1)
+            told = np.zeros(len(rows), bool)
+            if before is not None:
+                rows, told = np.concatenate([before[0], rows]), np.concatenate([before[1], told])
+            new = np.ones(len(rows), bool)
+            new[1:] = (rows[1:] != rows[:-1])[:, :2].any(1)
+            rows, told = rows[new], told[new]
+            same = (rows[1:, 0] == rows[:-1, 0]) & (a * rows[1:, 2] <= b * rows[:-1, 2])
+            met = np.zeros(len(rows), bool)
+            met[1:] |= same
+            met[:-1] |= same
+            out = rows[met & ~told]
+            before = rows[-1:].copy(), (met | told)[-1:].copy()
+            yield pa.record_batch([pa.array(out[:, k]) for k in range(3)], ["shingle", "class", "n"])
+
+    rows = _text(docs).mapInArrow(first_ones, "shingle long, class long, n long")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(several, "shingle long, class long, n long")
+
+
+def _met(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
+    """hub, hub_n, class, n: classes that share one of their first shingles with the hub, itself among them."""
+    a, b = similarity
+    least = F.greatest(F.lit(1), F.floor(F.floor((a * F.col("n") + b - 1) / b) / EXTRA))
+    enough = shared.groupBy("class", "n").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= least).select("class")
+
     def hubs(batches):
         last, hub = np.zeros((0, 3), np.int64), None  # the row before the batch, and its shingle's hub
         for batch in batches:
@@ -129,7 +174,7 @@ def _met(docs: DataFrame, words: int, similarity: tuple[int, int], frequent: np.
                 continue
             rows = np.stack([c.to_numpy() for c in batch.columns], 1)
             previous = np.concatenate([last if len(last) else rows[:1] - 1, rows[:-1]])
-            new = rows[:, 0] != previous[:, 0]
+            new = (rows[:, 0] != previous[:, 0]) | (a * rows[:, 2] > b * previous[:, 2])
             if not len(last):
                 new[0] = True
             again = ~new & (rows[:, 1] == previous[:, 1])
@@ -143,14 +188,21 @@ def _met(docs: DataFrame, words: int, similarity: tuple[int, int], frequent: np.
                 owner[head < 0] = hub
             member = head != np.arange(len(rows))
             member &= owner[:, 0] != rows[:, 1]
-            out = np.stack([owner[member, 0], rows[member, 1], rows[member, 2]], 1)
-            self_rows = np.stack([owner[member, 0], owner[member, 0], owner[member, 1]], 1)
-            out = np.unique(np.concatenate([out, self_rows]), axis=0)
+            mine = owner[member]
+            out = np.unique(np.concatenate([np.concatenate([mine, rows[member, 1:]], 1), np.concatenate([mine, mine], 1)]), axis=0)
             hub = owner[-1].copy()
-            yield pa.record_batch([pa.array(out[:, k]) for k in range(3)], ["hub", "class", "n"])
+            yield pa.record_batch([pa.array(out[:, k]) for k in range(4)], ["hub", "hub_n", "class", "n"])
+
+    rows = shared.join(enough, "class", "left_semi").select("shingle", "class", "n")
+    return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(hubs, "hub long, hub_n long, class long, n long").distinct()
 
-    rows = _text(docs).mapInArrow(first_ones, "shingle long, class long, n long")
-    return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(hubs, "hub long, class long, n long").distinct()
+
+def _gathered(met: DataFrame) -> DataFrame:
+    """hub, class: whole groups moved to the least hub that their hub belongs to, so that one set is in few groups."""
+    for _ in range(GATHERED):
+        least = met.groupBy("class").agg(F.min(F.struct(F.col("hub_n").alias("n"), F.col("hub").alias("to"))).alias("l")).select(F.col("class").alias("hub"), F.col("l.n").alias("to_n"), F.col("l.to").alias("to"))
+        met = met.drop("hub_n").join(least, "hub").select(F.col("to").alias("hub"), F.col("to_n").alias("hub_n"), "class", "n").distinct()
+    return met.select("hub", "class")
 
 
 class Trie:
@@ -258,7 +310,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, frequent: np.ndarray)
     def run(batches):
         for batch in batches:
             asked = batch.column(0).to_numpy()
-            for i, j, data, offsets in V.parts(batch.column(1)):
+            for i, j, data, offsets in V.parts(pa.array(V.unpacked(batch.column(1)), pa.binary())):
                 keys, first = shingles(data, offsets, words)
                 own = _classes(keys, first)
                 keys = _ordered(keys, first, frequent)
@@ -266,7 +318,11 @@ def _sets(docs: DataFrame, wanted: DataFrame, words: int, frequent: np.ndarray)
                 right = np.flatnonzero(own == asked[i:j]).tolist()
                 yield pa.record_batch([pa.array(own[right]), pa.array([raw[at[k] : at[k + 1]] for k in right], pa.binary())], ["class", "shingles"])
 
-    return _text(docs).join(wanted, "doc_id").select("class", "text").mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    def pack(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), V.packed(batch.column(1))], ["doc_id", "text"])
+
+    return _text(docs).mapInArrow(pack, "doc_id long, text binary").join(wanted, "doc_id").select("class", "text").mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
 
 
 def _linked(met: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
@@ -328,7 +384,7 @@ def component_ids(docs: DataFrame, words: int = WORDS, similarity: tuple[int, in
     often = summary.where("n IS NULL").groupBy("class").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "class").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["class"] for r in often], np.int64).view(np.uint64))
     first = checkpoint(own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
-    met = checkpoint(_met(docs, words, similarity, frequent))
+    met = checkpoint(_gathered(_met(checkpoint(_shared(docs, words, similarity, frequent)), similarity)))
     docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shingles' shuffle files
     wanted = met.select("class").distinct().join(first, "class")
     links = checkpoint(_linked(met, _sets(docs, wanted, words, frequent), similarity))

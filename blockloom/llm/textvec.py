@@ -13,6 +13,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import zstandard
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer single document is handled alone.
@@ -72,6 +73,19 @@ def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]
     return data, offsets - offsets[0]
 
 
+def packed(column: pa.Array) -> pa.Array:
+    """Each text on its own as a zstd frame, for a shuffle: about two thirds of what the shuffle's codec leaves."""
+    data, offsets = buffers(column)
+    squeeze, raw, at = zstandard.ZstdCompressor(level=1).compress, memoryview(np.ascontiguousarray(data)), offsets.tolist()
+    return pa.array([squeeze(raw[a:b]) for a, b in zip(at, at[1:])], pa.binary())
+
+
+def unpacked(column: pa.Array) -> list[bytes]:
+    """The texts of packed(), as bytes; null gives an empty text."""
+    back = zstandard.ZstdDecompressor().decompress
+    return [back(x) if x is not None else b"" for x in column.to_pylist()]
+
+
 def chunks(offsets: np.ndarray, limit: int = CHUNK_BYTES):
     """Ranges [i, j) of documents with about limit bytes each, one document at least."""
     i, n = 0, len(offsets) - 1
