@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import textvec as V
+from blockloom.llm.session import checkpoint
 
 #: Labelled documents of either class that the classifier is fitted on; of more, those least by hash.
 TRAIN_PER_CLASS = 3000
@@ -153,7 +154,7 @@ def sites(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
     of their own.
     """
     key = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("\0")).alias("_path"))
-    counts = key.join(outcomes(labels), "doc_id", "left").groupBy("_host", "_path").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good"))
+    counts = checkpoint(key.join(outcomes(labels), "doc_id", "left").groupBy("_host", "_path").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good")))  # read five times
     total = counts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
     overall = ((total["good"] or 0) + 1) / ((total["n"] or 0) + 2)
     hosts = counts.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
@@ -165,7 +166,7 @@ def sites(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 
 
 def judged(docs: DataFrame, labels: DataFrame, columns: list[str], host: str = "source", path: str = "lang", model: Classifier | None = None) -> DataFrame:
-    """The columns with _evidence, _host_rate, _site_rate and _posterior (probability of good) of each row."""
+    """The columns, named c0, c1, ..., with _evidence, _host_rate, _site_rate and _posterior (probability of good) of each row."""
     model = model or fit(docs, labels)
     place = len(columns)
 
@@ -176,8 +177,9 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], host: str = "
                 yield pa.record_batch([*part.columns[:place], *part.columns[place + 1 :], pa.array(model.evidence(features(data, offsets)))], names)
 
     key = [F.coalesce(docs[c].cast("string"), F.lit("\0")).alias(n) for c, n in ((host, "_host"), (path, "_path"))]
-    wide = docs.select(*columns, docs["text"].cast("string").alias("_text"), *key)
-    names = [*columns, "_host", "_path", "_evidence"]
+    plain = [f"c{k}" for k in range(place)]
+    wide = docs.select(*(docs[c].alias(n) for c, n in zip(columns, plain)), docs["text"].cast("string").alias("_text"), *key)
+    names = [*plain, "_host", "_path", "_evidence"]
     scored = wide.mapInArrow(run, wide.drop("_text").withColumn("_evidence", F.lit(0.0)).schema)
     by_site = sites(docs, labels, host, path)
     if by_site.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
@@ -186,7 +188,7 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], host: str = "
         salted = by_site.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         joined = scored.withColumn("_salt", F.pmod(F.xxhash64(F.col("_evidence")), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_path", "_salt"])
     odds = F.col("_evidence") + F.log(F.col("site_rate") / (1 - F.col("site_rate")))
-    return joined.select(*columns, F.col("_evidence"), F.col("host_rate").alias("_host_rate"), F.col("site_rate").alias("_site_rate"), (1 / (1 + F.exp(-odds))).alias("_posterior"))
+    return joined.select(*plain, F.col("_evidence"), F.col("host_rate").alias("_host_rate"), F.col("site_rate").alias("_site_rate"), (1 / (1 + F.exp(-odds))).alias("_posterior"))
 
 
 def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,9 +198,9 @@ def score(docs: DataFrame, labels: DataFrame) -> DataFrame:
     repeated; without labels every document has a posterior of a half and stays.
     """
     out = judged(docs, labels, ["doc_id"])
-    return out.select("doc_id", *(F.col(f"_{c}").alias(c) for c in ("evidence", "host_rate", "site_rate", "posterior")), (F.col("_posterior") >= KEEP_AT).alias("keep"))
+    return out.select(F.col("c0").alias("doc_id"), *(F.col(f"_{c}").alias(c) for c in ("evidence", "host_rate", "site_rate", "posterior")), (F.col("_posterior") >= KEEP_AT).alias("keep"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents whose posterior is KEEP_AT at least, all columns as they are."""
-    return judged(docs, labels, docs.columns).where(F.col("_posterior") >= KEEP_AT).select(*docs.columns)
+    return judged(docs, labels, docs.columns).where(F.col("_posterior") >= KEEP_AT).select(*(F.col(f"c{k}").alias(c) for k, c in enumerate(docs.columns)))

@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.llm.session import checkpoint
+
 #: A rule: (action, host, path).  It holds for the host and its subdomains and for paths that begin with its path.
 Rule = tuple[str, str, str]
 #: The upper posterior bound lies this many deviations above the mean.
@@ -74,7 +76,7 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     """
     known = outcomes.where(F.col("good").isin(0, 1)).groupBy("page_id").agg(F.min("good").alias("good"))
     hosts = pages.join(known, "page_id", "left").groupBy("_host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
-    hosts = hosts.withColumns({"_domain": domain_of(F.col("_host")), "_suffix": suffix_of(F.col("_host"))})
+    hosts = checkpoint(hosts.withColumns({"_domain": domain_of(F.col("_host")), "_suffix": suffix_of(F.col("_host"))}))  # read by every level
     domains = hosts.groupBy("_domain", "_suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("_suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     total = suffixes.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
