@@ -351,9 +351,9 @@ def parallel_rows(spark, sf):
     return P.parallel_rows(p.with_(nnz=few)).select("kept_row", "n_rows", _r("hi").alias("hi"))
 
 
-@query("SELECT kind, block, CAST(count(*) AS BIGINT) AS n FROM (SELECT block, 'row_one_sided' AS kind FROM \"rows\" UNION ALL SELECT block, CASE WHEN lb = ub THEN 'col_fixed' WHEN ub IS NOT NULL THEN 'col_boxed' ELSE 'col_lower' END FROM cols) GROUP BY GROUPING SETS ((kind, block), (kind))")
+@query("SELECT kind, coalesce(block, -1) AS block, CAST(count(*) AS BIGINT) AS n FROM (SELECT block, 'row_one_sided' AS kind FROM \"rows\" UNION ALL SELECT block, CASE WHEN lb = ub THEN 'col_fixed' WHEN ub IS NOT NULL THEN 'col_boxed' ELSE 'col_lower' END FROM cols) GROUP BY GROUPING SETS ((kind, block), (kind))")
 def bound_statistics(spark, sf):
-    return P.statistics(from_orders(spark, sf))
+    return P.statistics(from_orders(spark, sf)).fillna(-1, ["block"])
 
 
 @query(", base AS (SELECT max(col_id) + 1 AS b FROM cols) SELECT col_id, lb, ub FROM cols UNION ALL SELECT row_id + (SELECT b FROM base), lo, hi FROM \"rows\"")
@@ -550,3 +550,120 @@ def consistency_xor(spark, sf):
 def storage_levels(spark, sf):
     s = _steps(spark, sf).select("region", "step", F.col("total").alias("inflow"), _r(F.col("total") / 2, 4).alias("outflow"))
     return timeseries.storage_levels(s, "step", ["region"]).select("region", "step", _r("level", 4).alias("level"))
+
+
+# --- order, concatenation and edits ---------------------------------------------------------------------
+
+
+@query("SELECT CAST(2 * 15 - 1 AS BIGINT) - id AS id, v FROM (SELECT CAST(n_nationkey AS BIGINT) AS id, CAST(n_regionkey AS DOUBLE) AS v FROM nation)", lp=False)
+def permute_inverse(spark, sf):
+    v = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("double").alias("v"))
+    moved = V.inverse_permutation(v.select((29 - F.col("id")).alias("id"), F.col("id").alias("position")))
+    return V.permute(v, moved).select(F.col("position").alias("id"), "v")
+
+
+@query("SELECT true AS valid, false AS broken", lp=False)
+def permutation_check(spark, sf):
+    n = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"))
+    good = V.permutation_is_valid(n.withColumn("position", F.pmod(F.col("id") * 7, F.lit(25)))).withColumnRenamed("valid", "a")
+    bad = V.permutation_is_valid(n.withColumn("position", F.pmod(F.col("id") * 5, F.lit(25)))).withColumnRenamed("valid", "b")
+    return good.unionByName(bad, allowMissingColumns=True).agg(F.bool_and("a").alias("valid"), F.bool_and("b").alias("broken"))
+
+
+@query("SELECT id, v FROM (SELECT range AS id, 7.0 AS v FROM range(3) UNION ALL SELECT CAST(n_nationkey AS BIGINT) + 3, CAST(n_regionkey AS DOUBLE) FROM nation UNION ALL SELECT range + 28, 9.0 FROM range(2)) WHERE id < 26", lp=False)
+def append_and_shave(spark, sf):
+    v = _t(spark, sf, "nation").select(F.col("n_nationkey").cast("long").alias("id"), F.col("n_regionkey").cast("double").alias("v"))
+    longer = V.append_constant(V.append_constant(v, 3, 7.0, to_front=True), 2, 9.0)
+    return V.shave(longer, 4, top=False)[1].select("id", "v")
+
+
+@query("SELECT row_id, col_id, val FROM nnz WHERE row_id < 50 UNION ALL SELECT row_id + 1000000, col_id, 2 * val FROM nnz WHERE row_id < 50")
+def append_rows(spark, sf):
+    few = from_orders(spark, sf).nnz.where("row_id < 50").select("row_id", "col_id", "val")
+    return M.append_rows(few, M.scalar_mult(few, 2.0), 1_000_000)
+
+
+@query("SELECT row_id, col_id, val FROM nnz UNION ALL SELECT row_id, row_id + 100000, hi FROM \"rows\"")
+def append_diagonal(spark, sf):
+    p = from_orders(spark, sf)
+    return M.append_diagonal(p.nnz, p.rows.select("row_id", F.col("hi").alias("d")), 100_000)
+
+
+@query("SELECT row_id, col_id, val FROM nnz WHERE col_id % 100 <> 3 UNION ALL SELECT row_id, col_id, -1.0 FROM nnz WHERE col_id % 100 = 3")
+def put_entries(spark, sf):
+    n = from_orders(spark, sf).nnz.select("row_id", "col_id", "val")
+    return M.put_entries(n, n.where("col_id % 100 = 3").withColumn("val", F.lit(-1.0)))
+
+
+@query("SELECT row_id, string_agg(CAST(col_id AS VARCHAR), ',' ORDER BY col_id) AS columns, arg_min(val, col_id) AS first FROM nnz GROUP BY row_id")
+def rows_sorted(spark, sf):
+    return M.rows_as_arrays(from_orders(spark, sf).nnz).select("row_id", F.array_join(F.transform("entries", lambda e: e["col_id"].cast("string")), ",").alias("columns"), F.col("entries")[0]["val"].alias("first"))
+
+
+@query("SELECT col_id, greatest(2 * val, 0) AS pos, least(2 * val, 0) AS neg FROM nnz WHERE row_id = (SELECT min(row_id) FROM nnz WHERE val < 0)")
+def row_axpy_signed(spark, sf):
+    n = from_orders(spark, sf).nnz
+    return M.axpy_row_signed(n, n.where("val < 0").agg(F.min("row_id")).first()[0], 2.0)
+
+
+@query(_SIZE_SQL + ", g AS (SELECT l.col_id AS row_id, r.col_id AS col_id, sum(l.val * r.val) AS val FROM small l JOIN small r ON l.row_id = r.row_id GROUP BY 1, 2), d AS (SELECT row_id AS id, abs(val) AS d FROM g WHERE row_id = col_id) SELECT row_id, col_id, val FROM g LEFT JOIN d a ON a.id = row_id LEFT JOIN d b ON b.id = col_id WHERE row_id = col_id OR abs(val) >= 0.05 * least(coalesce(a.d, 0), coalesce(b.d, 0))")
+def sparsify(spark, sf):
+    a = _by_size(spark, sf)
+    upper = M.gram(a).select(F.col("a").alias("row_id"), F.col("b").alias("col_id"), "val")
+    return M.sparsify(M.symmetrize(upper), 0.05)
+
+
+@query(_LINK_SQL + "SELECT CAST(start_block * 3 // 8 AS INTEGER) AS first_subtree, CAST((start_block + 1) * 3 // 8 AS INTEGER) AS second_subtree, CAST(count(*) AS BIGINT) AS n FROM links WHERE start_block >= 0 AND start_block < 7 GROUP BY 1, 2")
+def two_links_between_subtrees(spark, sf):
+    tree = spark.createDataFrame(list(enumerate(structure.subtree_map(8, 3))), "block int, subtree int")
+    return structure.two_links_between(structure.row_links(from_orders(spark, sf).nnz), tree)
+
+
+# --- iterates -------------------------------------------------------------------------------------------
+
+
+@query("SELECT round(sum(l_quantity * l_tax) / count(*), 6) AS mu, round(sum((l_quantity + 0.5 * l_discount) * (l_tax + 0.25 * l_discount)) / count(*), 6) AS mu_after, greatest(0, -min(l_tax - 0.01)) AS violation FROM lineitem", lp=False)
+def complementarity(spark, sf):
+    q, t, d = F.col("l_quantity"), F.col("l_tax"), F.col("l_discount")
+    return _t(spark, sf, "lineitem").agg(_r(V.dot(q, t) / F.count(F.lit(1)), 6).alias("mu"), _r(V.shifted_dot(q, 0.5, d, t, 0.25, d) / F.count(F.lit(1)), 6).alias("mu_after"), F.greatest(F.lit(0.0), -F.min(t - 0.01)).alias("violation"))
+
+
+@query("SELECT c.col_id, round(cost - coalesce(a, 0), 5) AS r FROM cols c LEFT JOIN (SELECT col_id, sum(val * hi / 1000) AS a FROM nnz JOIN \"rows\" USING (row_id) GROUP BY col_id) t ON t.col_id = c.col_id")
+def dual_residuals(spark, sf):
+    p = from_orders(spark, sf)
+    aty = M.mult_transposed(p.nnz, p.rows.select("row_id", (F.col("hi") / 1000).alias("y")))
+    return p.cols.join(aty, "col_id", "left").select("col_id", _r(F.col("cost") - F.coalesce("x", F.lit(0.0)), 5).alias("r"))
+
+
+@query("SELECT DISTINCT a, b FROM (SELECT CAST(l_quantity AS DOUBLE) AS a, l_extendedprice AS b FROM lineitem) x WHERE NOT EXISTS (SELECT 1 FROM (SELECT l_quantity AS a, min(l_extendedprice) AS b FROM lineitem GROUP BY 1) y WHERE (y.a < x.a AND y.b <= x.b) OR (y.a = x.a AND y.b < x.b))", lp=False)
+def filter_front(spark, sf):
+    """Pairs that no other pair dominates: the least b of each a, kept where it falls below all before."""
+    least = _t(spark, sf, "lineitem").groupBy(F.col("l_quantity").alias("a")).agg(F.min("l_extendedprice").alias("b"))  # at most 50 rows
+    before = F.min("b").over(Window.orderBy("a").rowsBetween(Window.unboundedPreceding, -1))
+    return least.withColumn("_m", before).where("_m IS NULL OR b < _m").select("a", "b")
+
+
+# --- model data -------------------------------------------------------------------------------------------
+
+
+@query("SELECT n_name AS region, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, round(sum(l_extendedprice * l_tax), 2) AS tax, CAST(count(DISTINCT s_suppkey) AS BIGINT) AS plants FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1", lp=False)
+def regional_cost(spark, sf):
+    joined = _t(spark, sf, "lineitem").join(_t(spark, sf, "supplier"), F.col("l_suppkey") == F.col("s_suppkey")).join(_t(spark, sf, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    return joined.groupBy(F.col("n_name").alias("region")).agg(_r(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))), 2).alias("revenue"), _r(F.sum(F.col("l_extendedprice") * F.col("l_tax")), 2).alias("tax"), F.countDistinct("s_suppkey").alias("plants"))
+
+
+@query("SELECT kind, CAST(count(*) AS BIGINT) AS n FROM (SELECT CASE WHEN lo IS NULL AND hi IS NULL THEN 'N' WHEN lo = hi THEN 'E' WHEN lo IS NULL THEN 'L' WHEN hi IS NULL THEN 'G' ELSE 'R' END AS kind FROM (SELECT CASE WHEN row_id % 3 = 0 THEN hi WHEN row_id % 3 = 1 THEN NULL ELSE 0 END AS lo, CASE WHEN row_id % 5 = 0 THEN NULL ELSE hi END AS hi FROM \"rows\")) GROUP BY kind")
+def row_senses(spark, sf):
+    r = from_orders(spark, sf).rows
+    lo = F.when(F.col("row_id") % 3 == 0, F.col("hi")).when(F.col("row_id") % 3 == 2, F.lit(0.0))
+    hi = F.when(F.col("row_id") % 5 != 0, F.col("hi"))
+    kind = F.when(F.col("lo").isNull() & F.col("hi").isNull(), "N").when(F.col("lo") == F.col("hi"), "E").when(F.col("lo").isNull(), "L").when(F.col("hi").isNull(), "G").otherwise("R")
+    return r.select(lo.alias("lo"), hi.alias("hi")).select(kind.alias("kind")).groupBy("kind").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT s.range AS scenario, c.col_id + s.range * 1000000 AS col_id, round(cost / 3 * (1 + s.range), 6) AS cost FROM cols c, range(3) s WHERE c.block > 0")
+def scenario_expansion(spark, sf):
+    """The deterministic equivalent's columns: second-stage ones once per scenario."""
+    cols = from_orders(spark, sf).cols.where("block > 0")
+    per = cols.withColumn("scenario", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(2).cast("long"))))
+    return per.select("scenario", (F.col("col_id") + F.col("scenario") * 1_000_000).alias("col_id"), _r(F.col("cost") / 3 * (1 + F.col("scenario")), 6).alias("cost"))
