@@ -212,3 +212,33 @@ def statistics(p: Problem) -> DataFrame:
     col_kind = F.when(F.col("lb") == F.col("ub"), "col_fixed").when(F.col("lb").isNotNull() & F.col("ub").isNotNull(), "col_boxed").when(F.col("lb").isNotNull(), "col_lower").when(F.col("ub").isNotNull(), "col_upper").otherwise("col_free")
     both = p.rows.select("block", row_kind.alias("kind")).unionByName(p.cols.select("block", col_kind.alias("kind")))
     return both.rollup("kind", "block").agg(F.count(F.lit(1)).alias("n")).where("kind IS NOT NULL")
+
+
+def nearly_parallel_rows(p: Problem) -> DataFrame:
+    """Equalities that are parallel but for one singleton column each.
+
+    row1, row2, col1, col2, slope, shift: the rows give x2 = slope x1 + shift.  Of each group of
+    such rows row1 has the least id; all pairs are told relative to it.
+    """
+    single = p.nnz.groupBy("col_id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("col_id")
+    eq = p.nnz.where("system = 'EQ'")
+    alone = eq.join(single, "col_id").groupBy("row_id").agg(F.count(F.lit(1)).alias("_k"), F.first("col_id").alias("col"), F.first("val").alias("a")).where("_k = 1").drop("_k")
+    stripped = p.with_(nnz=eq.join(single, "col_id", "left_anti"))
+    rows = normalized_rows(stripped).select("row_id", "factor", "signature", "lo").join(alone, "row_id")  # lo is already over the factor
+    first = rows.groupBy("signature").agg(F.min(F.struct("row_id", "col", "a", "factor", "lo")).alias("f"))
+    pairs = rows.join(first, "signature").where("row_id > f.row_id")
+    scaled1, scaled2 = F.col("f.a") / F.col("f.factor"), F.col("a") / F.col("factor")
+    return pairs.select(F.col("f.row_id").alias("row1"), F.col("row_id").alias("row2"), F.col("f.col").alias("col1"), F.col("col").alias("col2"), (scaled1 / scaled2).alias("slope"), ((F.col("lo") - F.col("f.lo")) / scaled2).alias("shift"))
+
+
+def substitute_nearly_parallel(p: Problem, pairs: DataFrame) -> Problem:
+    """Every pair's second row and column go: x1 takes over x2's cost and bounds, the offset its shift."""
+    second = pairs.join(p.cols.select(F.col("col_id").alias("col2"), F.col("cost").alias("_c"), F.col("lb").alias("_l"), F.col("ub").alias("_u")), "col2")
+    low, high = (F.col("_l") - F.col("shift")) / F.col("slope"), (F.col("_u") - F.col("shift")) / F.col("slope")
+    up = F.col("slope") > 0
+    moved = second.groupBy(F.col("col1").alias("col_id")).agg(F.sum(F.col("_c") * F.col("slope")).alias("_d"), F.max(F.when(up, low).otherwise(high)).alias("_lb"), F.min(F.when(up, high).otherwise(low)).alias("_ub"))
+    offset = second.agg(F.coalesce(F.sum(F.col("_c") * F.col("shift")), F.lit(0.0))).first()[0]
+    cols = p.cols.join(pairs.select(F.col("col2").alias("col_id")), "col_id", "left_anti").join(moved, "col_id", "left")
+    cols = cols.withColumns({"cost": F.col("cost") + F.coalesce("_d", F.lit(0.0)), "lb": F.greatest("lb", "_lb"), "ub": F.least("ub", "_ub")}).select(*p.cols.columns)
+    gone = pairs.select(F.lit("EQ").alias("system"), F.col("row2").alias("row_id"))
+    return p.with_(cols=cols, rows=p.rows.join(gone, KEY, "left_anti"), nnz=p.nnz.join(gone, KEY, "left_anti"), offset=p.offset + offset)
