@@ -1,11 +1,12 @@
 """Best-fit packing of documents into sequences by linear grouping.
 
 Only the histogram of piece lengths (at most `capacity` rows) reaches the driver.  There,
-lengths above a quarter of the capacity are dealt into groups of equal cardinality and
+lengths above a share of the capacity are dealt into groups of equal cardinality and
 rounded up to the longest of the group; a configuration program over these few sizes is
 solved by column generation; actual lengths replace the rounded ones; the small lengths are
 placed best fit, longest first.  The plan says how many sequences hold which lengths, so its
-size depends on the capacity and not on the number of documents.  Each piece then finds its
+size depends on the capacity and not on the number of documents.  Of several shares that
+divide large from small, the one with the fewest sequences is taken.  Each piece then finds its
 place by its rank among the pieces of its length.
 """
 
@@ -27,6 +28,8 @@ from blockloom.llm.session import checkpoint
 
 CAPACITY = 2048
 GROUPS = 64
+#: What share of the capacity makes a length large: with a low one configurations place more, with a high one best fit.
+LARGE = (1 / 4, 1 / 3, 2 / 5, 1 / 2)
 #: Lengths are rounded up to a multiple of this in the configuration program.
 GRAIN = 8
 #: Pieces of one length are ranked in buckets of about this many.
@@ -100,11 +103,15 @@ def configurations(sizes: np.ndarray, demand: np.ndarray, room: int) -> list[tup
 
 def plan(histogram: dict[int, int], capacity: int = CAPACITY, groups: int = GROUPS, grain: int = GRAIN) -> list[Run]:
     """Runs of equal sequences that hold every length as often as the histogram says."""
+    return min((_plan(histogram, capacity, groups, grain, share) for share in LARGE), key=lambda runs: sum(r.count for r in runs))
+
+
+def _plan(histogram: dict[int, int], capacity: int, groups: int, grain: int, share: float) -> list[Run]:
     runs: list[Run] = []
     rest = {k: v for k, v in histogram.items() if v > 0}
     if rest.get(capacity):
         runs.append(Run(rest.pop(capacity), [(capacity, 1)]))
-    large = sorted((k for k in rest if 4 * k > capacity), reverse=True)
+    large = sorted((k for k in rest if k > share * capacity), reverse=True)
     if large:
         each = -(-sum(rest[k] for k in large) // groups)
         members: list[list[list[int]]] = []  # of each group: [length, how many], longest first
