@@ -24,7 +24,7 @@ LONG_WORD = 192
 #: Words merged by one run of the recursive query.
 WORDS_PER_QUERY = 60_000
 #: Distinct words that a worker remembers; beyond it, the memory starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 400_000
 
 CONTRACT = """
 WITH RECURSIVE step(w, p, tok, live) AS (
