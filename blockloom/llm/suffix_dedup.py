@@ -121,8 +121,38 @@ def repeated_starts(segments: list[bytes], starts: list[int], order: list[tuple]
     """Of each segment, the offsets below `starts` at which stands a string that also starts earlier.
 
     order gives each segment's place, as (document, position): a start at offset o has the
-    place (document, position + o).
+    place (document, position + o).  Ends of segments, and segments, whose strings' hashes
+    occur once are left out of the suffix array.
     """
+    first, last = _worth_sorting(segments, starts, span)
+    chosen = [k for k in range(len(segments)) if first[k] <= last[k]]
+    out = [np.zeros(0, np.int64)] * len(segments)
+    if chosen:
+        cut = [segments[k][first[k] : last[k] + span] for k in chosen]
+        found = _repeated([*cut], [int(last[k] - first[k]) + 1 for k in chosen], [(*order[k][:-1], order[k][-1] + int(first[k])) for k in chosen], span)
+        for k, offsets in zip(chosen, found):
+            out[k] = offsets + first[k]
+    return out
+
+
+def _worth_sorting(segments: list[bytes], starts: list[int], span: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of each segment the first and last start whose string's hash occurs again; first > last if there is none."""
+    data = np.frombuffer(b"".join(segments), np.uint8)
+    sizes = np.array([len(s) for s in segments], np.int64)
+    counts = np.array(starts, np.int64)
+    begins = np.cumsum(sizes) - sizes
+    at = V.ragged(begins, counts)
+    which = np.repeat(np.arange(len(segments)), counts)
+    _, back, times = np.unique(V.span_hash(V.prefix_hash(data), at, at + span), return_inverse=True, return_counts=True)
+    again = times[back] > 1
+    first, last = np.full(len(segments), 2**62), np.full(len(segments), -1)
+    offset = at - begins[which]
+    np.minimum.at(first, which[again], offset[again])
+    np.maximum.at(last, which[again], offset[again])
+    return first, last
+
+
+def _repeated(segments: list[bytes], starts: list[int], order: list[tuple], span: int) -> list[np.ndarray]:
     text = np.frombuffer(b"\0".join(segments) + b"\0", np.uint8)
     begins = np.cumsum([0, *(len(s) + 1 for s in segments[:-1])])
     counts = np.array(starts, np.int64)
