@@ -15,9 +15,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from blockloom.llm import textvec as V
-from blockloom.llm.session import checkpoint
+from blockloom.llm.session import checkpoint, release
 
 SPAN = 100
 K = 40
@@ -248,8 +249,25 @@ def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("key"), _tie(text).alias("tie"), text.alias("text"))
 
 
+def _packed(df: DataFrame, text: str) -> DataFrame:
+    """df with its text column packed for a shuffle."""
+    at = df.columns.index(text)
+
+    def run(batches):
+        for batch in batches:
+            columns = list(batch.columns)
+            columns[at] = V.packed(columns[at])
+            yield pa.record_batch(columns, batch.schema.names)
+
+    return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in df.schema]))
+
+
 def _anchored(docs: DataFrame) -> DataFrame:
-    """anchor, content, key, place of every segment."""
+    """anchor, content, key, place of every segment; done if it is a later copy of one nearby.
+
+    Such copies are known before the shuffle.  They travel under a key of their own, so an
+    anchor that very many documents share brings one row for each content and chunk of text.
+    """
 
     def run(batches):
         for batch in batches:
@@ -257,9 +275,14 @@ def _anchored(docs: DataFrame) -> DataFrame:
             for rows, data, offsets, base in _pieces(batch.column(2)):
                 doc, position, n, anchor, content = segments(data, offsets)
                 row = rows[doc]
-                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(key[row]), pa.array(tie[row] << 40 | position + base[doc] << 7 | n)], ["anchor", "content", "key", "place"])
+                place = tie[row] << 40 | position + base[doc] << 7 | n
+                order = np.lexsort((place, key[row], content, anchor))
+                done, owner = np.zeros(len(order), bool), key[row]
+                done[order[1:]] = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
+                anchor = np.where(done, V.mix(place.view(np.uint64) ^ V.mix(owner.view(np.uint64))), anchor)
+                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(owner), pa.array(place), pa.array(done)], ["anchor", "content", "key", "place", "done"])
 
-    return _keyed(docs).mapInArrow(run, "anchor long, content long, key long, place long")
+    return _keyed(docs).mapInArrow(run, "anchor long, content long, key long, place long, done boolean")
 
 
 def _met(anchored: DataFrame) -> DataFrame:
@@ -274,8 +297,13 @@ def _met(anchored: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([c.to_numpy() for c in batch.columns], 1)
-            rows = np.concatenate([rows, np.zeros((len(rows), 1), np.int64)], 1)
+            rows = np.stack([*(c.to_numpy() for c in batch.columns[:4]), np.zeros(batch.num_rows, np.int64)], 1)
+            done = batch.column(4).to_numpy(zero_copy_only=False)
+            if done.any():
+                yield emit(rows[done], np.zeros(int(done.sum()), bool))
+                rows = rows[~done]
+                if not len(rows):
+                    continue
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
             if len(before):
@@ -303,21 +331,21 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            texts, key, asked = batch.column("text"), batch.column("key").to_numpy(), batch.column("asked")
+            texts, key, asked = V.unpacked(batch.column("text")), batch.column("key").to_numpy(), batch.column("asked")
             rows = asked.flatten()
             lengths = np.diff(asked.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), lengths)
             place = rows.field("place").to_numpy()
             _, position, n = _unpack(place)
-            data, offsets = V.buffers(texts)
-            begin = offsets[row] + position
+            data = np.frombuffer(b"".join(texts), np.uint8)
+            begin = (np.cumsum([0, *(len(t) for t in texts)])[:-1])[row] + position
             size = n + SPAN - 1
             body = data[V.ragged(begin, size)]
             edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
             yield pa.record_batch([rows.field("anchor"), pa.array(key[row]), pa.array(place), rows.field("large"), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(body)])], ["anchor", "key", "place", "large", "bytes"])
 
     asked = wanted.withColumn("tie", F.shiftright("place", 40)).groupBy("key", "tie").agg(F.collect_list(F.struct("anchor", "place", "large")).alias("asked"))
-    return _keyed(docs).join(asked, ["key", "tie"]).select("key", "text", "asked").mapInArrow(run, "anchor long, key long, place long, large boolean, bytes binary")
+    return _packed(_keyed(docs), "text").join(asked, ["key", "tie"]).select("key", "text", "asked").mapInArrow(run, "anchor long, key long, place long, large boolean, bytes binary")
 
 
 def _ranges(offsets: np.ndarray) -> list[tuple[int, int]]:
@@ -362,13 +390,16 @@ def _compared_by_start(fetched: DataFrame) -> DataFrame:
 def removals(docs: DataFrame) -> DataFrame:
     """key, tie, begin, stop: byte ranges to remove, which may overlap."""
     met = checkpoint(_met(_anchored(docs)))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the segments' shuffle files
+    release(docs.sparkSession)
     wanted = met.where("fetch").drop("fetch")
     weight = wanted.groupBy("anchor").agg((F.sum(F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1) > ANCHOR_BYTES).alias("large"))
     fetched = checkpoint(_fetched(docs, wanted.join(weight, "anchor")))
+    release(docs.sparkSession)
     position = F.shiftright("place", 7).bitwiseAND(F.lit((1 << 33) - 1))
     copies = met.where("NOT fetch").select("key", F.shiftright("place", 40).alias("tie"), position.alias("begin"), (position + F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1).alias("stop"))
-    return copies.unionByName(checkpoint(_compared(fetched))).unionByName(_compared_by_start(fetched))
+    compared = checkpoint(_compared(fetched))
+    release(docs.sparkSession)
+    return copies.unionByName(compared).unionByName(_compared_by_start(fetched))
 
 
 def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -380,10 +411,12 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 
 def _with_spans(docs: DataFrame) -> DataFrame:
+    """The columns, named d0, d1, ..., the text packed, then whether it was null and its spans."""
     spans = removals(docs).groupBy("key", "tie").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     names = {c: f"d{k}" for k, c in enumerate(docs.columns)}
-    plain = docs.select(*(docs[c].alias(n) for c, n in names.items()), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("key"), _tie(docs["text"].cast("string")).alias("tie"))
-    return plain.join(spans, ["key", "tie"], "left").drop("key", "tie")
+    text = docs["text"].cast("string")
+    plain = docs.select(*((text if c == "text" else docs[c]).alias(n) for c, n in names.items()), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("key"), _tie(text).alias("tie"), text.isNull().alias("none"))
+    return _packed(plain, names["text"]).join(spans, ["key", "tie"], "left").drop("key", "tie")
 
 
 def _cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -410,9 +443,9 @@ def digests(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             rows = []
-            for text, spans in zip(batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist()):
-                kept, removed, runs = _cut(text or b"", spans)
-                rows.append((len(text or b""), removed, runs, hashlib.sha256(kept).hexdigest()))
+            for text, spans in zip(V.unpacked(batch.column(1)), batch.column(3).to_pylist()):
+                kept, removed, runs = _cut(text, spans)
+                rows.append((len(text), removed, runs, hashlib.sha256(kept).hexdigest()))
             yield pa.record_batch([batch.column(0), *(pa.array(c, k) for c, k in zip(zip(*rows) if rows else [()] * 4, [pa.int64()] * 3 + [pa.string()]))], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     return _with_spans(docs.select("doc_id", docs["text"].cast("string").alias("text"))).mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
@@ -430,13 +463,13 @@ def keep_first(docs: DataFrame) -> DataFrame:
     def run(batches):
         for batch in batches:
             keep, texts = [], []
-            for raw, spans in zip(batch.column(text).cast(pa.binary()).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
-                kept, removed, _ = _cut(raw or b"", spans)
+            for raw, none, spans in zip(V.unpacked(batch.column(text)), batch.column(batch.num_columns - 2).to_pylist(), batch.column(batch.num_columns - 1).to_pylist()):
+                kept, removed, _ = _cut(raw, spans)
                 left = kept.decode("utf-8", "ignore")
                 keep.append(not removed or bool(left))
-                texts.append(None if raw is None else left)
-            columns = list(batch.columns[:-1])
-            columns[text] = pa.array(texts, columns[text].type)
+                texts.append(None if none else left)
+            columns = list(batch.columns[:-2])
+            columns[text] = pa.array(texts, pa.string())
             if chars is not None:
                 columns[chars] = pa.array([n if t is None else len(t) for n, t in zip(columns[chars].to_pylist(), texts)], columns[chars].type)
             yield pa.record_batch(columns, schema.names).filter(pa.array(keep, pa.bool_()))
