@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import textvec as V
+from blockloom.llm.session import release
 
 #: The lexicon's words occur in this share of the documents, and in LEAST_DOCUMENTS at least.  It has at
 #: most (distinct words of a document, on average) / BAND[0] words, whatever the number of documents.
@@ -136,9 +137,9 @@ def fingerprint(docs: DataFrame, words: np.ndarray) -> DataFrame:
 
 
 def _in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, guest, key, doc_id, text: ranges of descending ids, each followed by the next range's first rows as guests."""
+    """bucket, guest, key, tie, doc_id, text (packed): ranges of descending ids, each followed by the next range's first rows as guests."""
     lowest = -(2**63)
-    keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(lowest)).alias("key"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(lowest)).alias("key"), F.xxhash64(docs["text"].cast("string")).alias("tie"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     cuts = np.unique(np.array(keyed.select("key").approxQuantile("key", [k / buckets for k in range(1, buckets)], 0.25 / buckets), np.float64)) if buckets > 1 else np.zeros(0)
     cuts = np.unique(cuts.astype(np.int64))
 
@@ -166,11 +167,11 @@ def _in_order(docs: DataFrame, buckets: int) -> DataFrame:
             guests = np.flatnonzero(key == top)
             both = np.concatenate([np.arange(len(key)), guests])
             to = np.concatenate([b, np.array([host[x] for x in b[guests].tolist()], np.int64)])
-            picked = batch.take(pa.array(both))
-            yield pa.record_batch([pa.array(to), pa.array(np.repeat([0, 1], [len(key), len(guests)]).astype(np.int32)), *picked.columns], ["bucket", "guest", "key", "doc_id", "text"])
+            columns = [*batch.columns[:-1], V.packed(batch.column(3))]
+            yield pa.record_batch([pa.array(to), pa.array(np.repeat([0, 1], [len(key), len(guests)]).astype(np.int32)), *(c.take(pa.array(both)) for c in columns)], ["bucket", "guest", "key", "tie", "doc_id", "text"])
 
-    rows = keyed.mapInArrow(dealt, "bucket long, guest int, key long, doc_id long, text string")
-    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "text")
+    rows = keyed.mapInArrow(dealt, "bucket long, guest int, key long, tie long, doc_id long, text binary")
+    return rows.repartition("bucket").sortWithinPartitions("bucket", "guest", F.desc("key"), "tie")
 
 
 def edited_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -179,10 +180,10 @@ def edited_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     In the edited text the last half of the characters is replaced by the first as many of the
     next document in descending doc_id, after the last one of the first.  Null texts count as
-    empty.  Rows that share a doc_id follow each other by text; a null doc_id comes last.
+    empty.  Rows that share a doc_id follow each other by a hash of the text; a null doc_id comes last.
     """
     words = lexicon(docs)
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the counts' shuffle files
+    release(docs.sparkSession)
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(raw: list[bytes]):
@@ -210,14 +211,14 @@ def edited_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
 
         def answer(rows):
             ask = [k for k in range(len(rows) - 1) if not rows[k][1]]
-            return judged([r[2] for r in rows], [r[3] or "" for r in rows], ask, [k + 1 for k in ask])
+            return judged([r[2] for r in rows], [r[3] for r in rows], ask, [k + 1 for k in ask])
 
         for batch in batches:
-            for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()):
+            for r in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(4).to_pylist(), (t.decode() for t in V.unpacked(batch.column(5)))):
                 if r[1] and rows and rows[-1][1] and rows[-1][0] == r[0]:
                     continue  # of several guests the first is the next document
                 rows.append(r)
-                size += len(r[3] or "")
+                size += len(r[3])
                 if size >= V.CHUNK_BYTES and len(rows) > 1:
                     yield answer(rows)
                     rows, size = rows[-1:], 0
