@@ -244,9 +244,23 @@ def _tie(text: Column) -> Column:
     return F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))
 
 
+def _identity(docs: DataFrame) -> list[Column]:
+    """given, key, tie: rows equal in them are one document; in this order documents come one after another.
+
+    Rows without doc_id (given is false, so they come first) have a key of 64 bits of the
+    text's hash, turned so that it sorts by _tie first, and a tie of 23 bits of another hash.
+    """
+    text, ident = docs["text"].cast("string"), docs["doc_id"].cast("long")
+    hashed = F.coalesce(F.xxhash64(text), F.lit(0))
+    turned = F.shiftleft(hashed, 41).bitwiseOR(F.shiftrightunsigned(hashed, 23)).bitwiseXOR(F.lit(-(2**63)))
+    return [
+        ident.isNotNull().alias("given"), F.coalesce(ident, turned).alias("key"),
+        F.when(ident.isNotNull(), _tie(text)).otherwise(F.hash(text).cast("long").bitwiseAND(F.lit((1 << 23) - 1))).alias("tie"),
+    ]
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
-    text = docs["text"].cast("string")
-    return docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("key"), _tie(text).alias("tie"), text.alias("text"))
+    return docs.select(*_identity(docs), docs["text"].cast("string").alias("text"))
 
 
 def _packed(df: DataFrame, text: str) -> DataFrame:
@@ -263,47 +277,63 @@ def _packed(df: DataFrame, text: str) -> DataFrame:
 
 
 def _anchored(docs: DataFrame) -> DataFrame:
-    """anchor, content, key, place of every segment; done if it is a later copy of one nearby.
+    """anchor, content, given, key, place of every segment; done if it is a later copy of one nearby.
 
-    Such copies are known before the shuffle.  They travel under a key of their own, so an
+    Of repeated rows, which are one document, a chunk brings the segments once.  Later copies are known before the shuffle.  They travel under a key of their own, so an
     anchor that very many documents share brings one row for each content and chunk of text.
     """
 
     def run(batches):
         for batch in batches:
-            key, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            for rows, data, offsets, base in _pieces(batch.column(2)):
+            known, key, tie = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
+            for rows, data, offsets, base in _pieces(batch.column(3)):
                 doc, position, n, anchor, content = segments(data, offsets)
                 row = rows[doc]
                 place = tie[row] << 40 | position + base[doc] << 7 | n
-                order = np.lexsort((place, key[row], content, anchor))
-                done, owner = np.zeros(len(order), bool), key[row]
-                done[order[1:]] = (anchor[order][1:] == anchor[order][:-1]) & (content[order][1:] == content[order][:-1])
+                order = np.lexsort((place, key[row], known[row], content, anchor))
+                given, owner, place, anchor, content = (x[order] for x in (known[row], key[row], place, anchor, content))
+                done = np.zeros(len(order), bool)
+                done[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+                again = done.copy()
+                again[1:] &= (given[1:] == given[:-1]) & (owner[1:] == owner[:-1]) & (place[1:] == place[:-1])
+                if again.any():
+                    given, owner, place, anchor, content, done = (x[~again] for x in (given, owner, place, anchor, content, done))
                 anchor = np.where(done, V.mix(place.view(np.uint64) ^ V.mix(owner.view(np.uint64))), anchor)
-                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(owner), pa.array(place), pa.array(done)], ["anchor", "content", "key", "place", "done"])
+                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(given), pa.array(owner), pa.array(place), pa.array(done)], ["anchor", "content", "given", "key", "place", "done"])
 
-    return _keyed(docs).mapInArrow(run, "anchor long, content long, key long, place long, done boolean")
+    return _keyed(docs).mapInArrow(run, "anchor long, content long, given boolean, key long, place long, done boolean")
 
 
 def _met(anchored: DataFrame) -> DataFrame:
-    """Of the sorted segments: later copies (fetch false), and the first of each content if its anchor has several (fetch true)."""
+    """Of the sorted segments: later copies (fetch false), and the first of each content if its anchor has several (fetch true).
+
+    The segment of a repeated row has the first one's place as well: it is that segment, no copy of it.
+    """
 
     def run(batches):
-        before = np.full((1, 5), 0, np.int64)[:0]  # the last first-of-content: anchor, content, key, place, known to be wanted
+        before = np.full((1, 6), 0, np.int64)[:0]  # the last first-of-content: anchor, content, given, key, place, known to be wanted
 
         def emit(rows: np.ndarray, fetch: np.ndarray):
-            return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 2]), pa.array(rows[:, 3]), pa.array(fetch)], ["anchor", "key", "place", "fetch"])
+            return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 2].astype(bool)), pa.array(rows[:, 3]), pa.array(rows[:, 4]), pa.array(fetch)], ["anchor", "given", "key", "place", "fetch"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([*(c.to_numpy() for c in batch.columns[:4]), np.zeros(batch.num_rows, np.int64)], 1)
-            done = batch.column(4).to_numpy(zero_copy_only=False)
+            rows = np.stack([*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]), np.zeros(batch.num_rows, np.int64)], 1)
+            done = batch.column(5).to_numpy(zero_copy_only=False)
             if done.any():
                 yield emit(rows[done], np.zeros(int(done.sum()), bool))
                 rows = rows[~done]
                 if not len(rows):
                     continue
+            again = np.zeros(len(rows), bool)
+            again[1:] = (rows[1:, :5] == rows[:-1, :5]).all(1)
+            if len(before):
+                again[0] = (rows[0, :5] == before[0, :5]).all()
+            if again.any():
+                rows = rows[~again]
+                if not len(rows):
+                    continue
             new = np.ones(len(rows), bool)
             new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
             if len(before):
@@ -311,15 +341,15 @@ def _met(anchored: DataFrame) -> DataFrame:
             copies = rows[~new]
             firsts = np.concatenate([before, rows[new]])
             joined = firsts[1:, 0] == firsts[:-1, 0]
-            firsts[1:, 4] |= joined
-            firsts[:-1, 4] |= joined
+            firsts[1:, 5] |= joined
+            firsts[:-1, 5] |= joined
             before = firsts[-1:].copy()
-            wanted = firsts[:-1][firsts[:-1, 4] == 1]
+            wanted = firsts[:-1][firsts[:-1, 5] == 1]
             yield emit(np.concatenate([copies, wanted]), np.repeat([False, True], [len(copies), len(wanted)]))
-        if len(before) and before[0, 4]:
+        if len(before) and before[0, 5]:
             yield emit(before, np.array([True]))
 
-    return anchored.repartition("anchor").sortWithinPartitions("anchor", "content", "key", "place").mapInArrow(run, "anchor long, key long, place long, fetch boolean")
+    return anchored.repartition("anchor").sortWithinPartitions("anchor", "content", "given", "key", "place").mapInArrow(run, "anchor long, given boolean, key long, place long, fetch boolean")
 
 
 def _unpack(place: np.ndarray):
@@ -327,11 +357,11 @@ def _unpack(place: np.ndarray):
 
 
 def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, key, place, large, bytes of the wanted segments."""
+    """anchor, given, key, place, large, bytes of the wanted segments, of repeated rows once."""
 
     def run(batches):
         for batch in batches:
-            texts, key, asked = V.unpacked(batch.column("text")), batch.column("key").to_numpy(), batch.column("asked")
+            texts, given, key, asked = V.unpacked(batch.column("text")), batch.column("given"), batch.column("key").to_numpy(), batch.column("asked")
             rows = asked.flatten()
             lengths = np.diff(asked.offsets.to_numpy())
             row = np.repeat(np.arange(batch.num_rows), lengths)
@@ -342,10 +372,11 @@ def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             size = n + SPAN - 1
             body = data[V.ragged(begin, size)]
             edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.record_batch([rows.field("anchor"), pa.array(key[row]), pa.array(place), rows.field("large"), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(body)])], ["anchor", "key", "place", "large", "bytes"])
+            yield pa.record_batch([rows.field("anchor"), given.take(pa.array(row)), pa.array(key[row]), pa.array(place), rows.field("large"), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(body)])], ["anchor", "given", "key", "place", "large", "bytes"])
 
-    asked = wanted.withColumn("tie", F.shiftright("place", 40)).groupBy("key", "tie").agg(F.collect_list(F.struct("anchor", "place", "large")).alias("asked"))
-    return _packed(_keyed(docs), "text").join(asked, ["key", "tie"]).select("key", "text", "asked").mapInArrow(run, "anchor long, key long, place long, large boolean, bytes binary")
+    asked = wanted.withColumn("tie", F.shiftright("place", 40)).groupBy("given", "key", "tie").agg(F.collect_list(F.struct("anchor", "place", "large")).alias("asked"))
+    met = _packed(_keyed(docs), "text").join(asked, ["given", "key", "tie"]).dropDuplicates(["given", "key", "tie"])
+    return met.select("given", "key", "text", "asked").mapInArrow(run, "anchor long, given boolean, key long, place long, large boolean, bytes binary")
 
 
 def _ranges(offsets: np.ndarray) -> list[tuple[int, int]]:
@@ -354,12 +385,12 @@ def _ranges(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(fetched: DataFrame) -> DataFrame:
-    """key, tie, begin, stop: bytes to remove, from the suffix arrays of blocks of whole anchors."""
+    """given, key, tie, begin, stop: bytes to remove, from the suffix arrays of blocks of whole anchors."""
 
     def block(rows: list[tuple]):
-        found = repeated_starts([r[3] for r in rows], [r[2] & 127 for r in rows], [(r[1], r[2] >> 40, r[2] >> 7 & (1 << 33) - 1) for r in rows])
-        out = [(r[1], r[2] >> 40, p + a, p + b + SPAN - 1) for r, offsets in zip(rows, found) for p in [r[2] >> 7 & (1 << 33) - 1] for a, b in _ranges(offsets)]
-        return pa.record_batch([pa.array(c, pa.int64()) for c in (zip(*out) if out else [()] * 4)], ["key", "tie", "begin", "stop"])
+        found = repeated_starts([r[4] for r in rows], [r[3] & 127 for r in rows], [(r[1], r[2], r[3] >> 40, r[3] >> 7 & (1 << 33) - 1) for r in rows])
+        out = [(r[1], r[2], r[3] >> 40, p + a, p + b + SPAN - 1) for r, offsets in zip(rows, found) for p in [r[3] >> 7 & (1 << 33) - 1] for a, b in _ranges(offsets)]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, [pa.bool_()] + [pa.int64()] * 4)], ["given", "key", "tie", "begin", "stop"])
 
     def run(batches):
         rows, group, size = [], [], 0
@@ -371,24 +402,24 @@ def _compared(fetched: DataFrame) -> DataFrame:
                         yield block(rows)
                         rows, size = [], 0
                 group.append(r)
-                size += len(r[3])
+                size += len(r[4])
         if rows or group:
             yield block(rows + group)
 
-    return fetched.where("NOT large").select("anchor", "key", "place", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "key long, tie long, begin long, stop long")
+    return fetched.where("NOT large").select("anchor", "given", "key", "place", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "given boolean, key long, tie long, begin long, stop long")
 
 
 def _compared_by_start(fetched: DataFrame) -> DataFrame:
     """The same for anchors with too many distinct segments: each string meets its own copies."""
-    starts = fetched.where("large").select("key", F.shiftright("place", 40).alias("tie"), F.shiftright("place", 7).bitwiseAND(F.lit((1 << 33) - 1)).alias("base"), "place", "bytes")
+    starts = fetched.where("large").select("given", "key", F.shiftright("place", 40).alias("tie"), F.shiftright("place", 7).bitwiseAND(F.lit((1 << 33) - 1)).alias("base"), "place", "bytes")
     starts = starts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("place").bitwiseAND(F.lit(127)).cast("int") - 1)))
-    starts = starts.select(F.expr(f"substring(bytes, o + 1, {SPAN})").alias("string"), F.struct("key", "tie", (F.col("base") + F.col("o")).alias("begin")).alias("at"))
+    starts = starts.select(F.expr(f"substring(bytes, o + 1, {SPAN})").alias("string"), F.struct("given", "key", "tie", (F.col("base") + F.col("o")).alias("begin")).alias("at"))
     first = starts.groupBy("string").agg(F.min("at").alias("first"))
-    return starts.join(first, "string").where("at > first").select("at.key", "at.tie", "at.begin", (F.col("at.begin") + SPAN).alias("stop"))
+    return starts.join(first, "string").where("at > first").select("at.given", "at.key", "at.tie", "at.begin", (F.col("at.begin") + SPAN).alias("stop"))
 
 
 def removals(docs: DataFrame) -> DataFrame:
-    """key, tie, begin, stop: byte ranges to remove, which may overlap."""
+    """given, key, tie, begin, stop: byte ranges to remove, which may overlap."""
     met = checkpoint(_met(_anchored(docs)))
     release(docs.sparkSession)
     wanted = met.where("fetch").drop("fetch")
@@ -396,7 +427,7 @@ def removals(docs: DataFrame) -> DataFrame:
     fetched = checkpoint(_fetched(docs, wanted.join(weight, "anchor")))
     release(docs.sparkSession)
     position = F.shiftright("place", 7).bitwiseAND(F.lit((1 << 33) - 1))
-    copies = met.where("NOT fetch").select("key", F.shiftright("place", 40).alias("tie"), position.alias("begin"), (position + F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1).alias("stop"))
+    copies = met.where("NOT fetch").select("given", "key", F.shiftright("place", 40).alias("tie"), position.alias("begin"), (position + F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1).alias("stop"))
     compared = checkpoint(_compared(fetched))
     release(docs.sparkSession)
     return copies.unionByName(compared).unionByName(_compared_by_start(fetched))
@@ -412,11 +443,11 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """The columns, named d0, d1, ..., the text packed, then whether it was null and its spans."""
-    spans = removals(docs).groupBy("key", "tie").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    spans = removals(docs).groupBy("given", "key", "tie").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     names = {c: f"d{k}" for k, c in enumerate(docs.columns)}
     text = docs["text"].cast("string")
-    plain = docs.select(*((text if c == "text" else docs[c]).alias(n) for c, n in names.items()), F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63))).alias("key"), _tie(text).alias("tie"), text.isNull().alias("none"))
-    return _packed(plain, names["text"]).join(spans, ["key", "tie"], "left").drop("key", "tie")
+    plain = docs.select(*((text if c == "text" else docs[c]).alias(n) for c, n in names.items()), *_identity(docs), text.isNull().alias("none"))
+    return _packed(plain, names["text"]).join(spans, ["given", "key", "tie"], "left").drop("given", "key", "tie")
 
 
 def _cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -436,8 +467,9 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row.
 
     Null texts count as empty; texts shorter than SPAN stay whole.  Rows with equal doc_id and
-    text count as one document; rows that share only the doc_id count as documents in a fixed
-    order of their own.  A null doc_id comes before all others.
+    text count as one document, and so do rows of equal text without doc_id; rows that share
+    only the doc_id count as documents in a fixed order of their own.  A null doc_id comes
+    before all others.
     """
 
     def run(batches):
@@ -455,7 +487,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     """The documents with what is left of their texts and, if there is such a column, n_chars.
 
     A character of which a byte is removed goes with it.  Documents of which nothing is left
-    go; empty and null texts stay as they are.
+    go; empty and null texts stay as they are.  Rows that count as one document stay or go together.
     """
     text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     schema = docs.schema
