@@ -59,9 +59,49 @@ def rolling_windows(steps: DataFrame, size: int, overlap: int) -> DataFrame:
     return steps.withColumn("window", F.explode(F.sequence(first.cast("long"), last.cast("long"))))
 
 
+#: Points are ranked along their axis in ranges of about this many, at most RANGES of them.
+RANGE_ROWS, RANGES = 20_000, 256
+
+
+def nearest_on_axis(points: DataFrame, k: int, axis: str) -> DataFrame:
+    """(id, other, distance, rank): of each point its k nearest among all others, by one coordinate.
+
+    They are among the k distinct coordinates before and after it in sorted order, and of each
+    coordinate among the k + 1 least ids.  The axis is cut into ranges of about equal numbers
+    of points; a range also gets the k coordinates before and after it, so no group is
+    unbounded.  Ties go to the least id; points without coordinate have no neighbours.
+    """
+    spark = points.sparkSession
+    there = points.where(F.col(axis).isNotNull()).select("id", F.col(axis).cast("double").alias("_x"))
+    least = Window.partitionBy("_x").orderBy("id")
+    values = there.withColumn("_n", F.row_number().over(least)).where(F.col("_n") <= k + 1).groupBy("_x").agg(F.array_sort(F.collect_list("id")).alias("_ids"))
+    ranges = min(RANGES, 1 + there.count() // RANGE_ROWS)
+    cuts = there.agg(F.percentile_approx("_x", [j / ranges for j in range(1, ranges)], 10_000)).first()[0] if ranges > 1 else []
+    cuts = sorted(set(cuts or []))
+    held = F.array(*(F.lit(c) for c in cuts)) if cuts else F.array().cast("array<double>")
+    values = values.withColumn("_range", F.size(F.filter(held, lambda c: c <= F.col("_x"))))
+    up, down = (Window.partitionBy("_range").orderBy(o) for o in (F.col("_x").asc(), F.col("_x").desc()))
+    edges = values.withColumns({"_up": F.row_number().over(up), "_down": F.row_number().over(down)}).where(f"_up <= {k} OR _down <= {k}")
+    found = sorted((r["_x"], r["_range"], r["_ids"]) for r in edges.select("_x", "_range", "_ids").collect())  # at most 2 k rows a range
+    halo = []
+    for j in range(len(cuts) + 1):
+        before, after = [r for r in found if r[1] < j], [r for r in found if r[1] > j]
+        halo += [(x, ids, j, False) for x, _, ids in [*before[-k:], *after[:k]]]
+    own = values.withColumn("_own", F.lit(True))
+    both = own.unionByName(spark.createDataFrame(halo, own.select("_x", "_ids", "_range", "_own").schema)) if halo else own
+    around = Window.partitionBy("_range").orderBy("_x").rowsBetween(-k, k)
+    met = both.withColumn("_near", F.collect_list(F.struct("_x", "_ids")).over(around)).where("_own").select("_x", "_near")
+    other = F.flatten(F.transform("_near", lambda v: F.transform(v["_ids"], lambda i: F.struct(F.abs(F.col("_x") - v["_x"]).alias("distance"), i.alias("other")))))
+    ranked = there.join(met, "_x").select("id", F.slice(F.array_sort(F.filter(other, lambda o: o["other"] != F.col("id"))), 1, k).alias("_o"))
+    return ranked.select("id", F.posexplode("_o").alias("_k", "_e")).select("id", "_e.other", "_e.distance", (F.col("_k") + 1).alias("rank"))
+
+
 def nearest(points: DataFrame, k: int, axes: list[str], cell: float, rings: int = 1) -> DataFrame:
     """(id, other, distance, rank): of each point its k nearest among those within `rings` cells of `cell` width.
 
+    A point with nearer ones further off, or with fewer than k there, does not get its k
+    nearest; nearest_on_axis() has no such bound.
+
     Points of the same and of neighbouring grid cells meet, so the work follows the density and
     not the square of the number of points.  Ties go to the least id.
     """

@@ -527,7 +527,7 @@ ORACLE["nearest_symmetric"] = f"SELECT DISTINCT a, b FROM ({ORACLE.pop('_nearest
 
 def nearest_symmetric(spark, sf):
     points = _t(spark, sf, "customer").select(F.col("c_custkey").alias("id"), F.col("c_acctbal").alias("x"))
-    return timeseries.symmetrized(timeseries.nearest(points, 3, ["x"], 200.0))
+    return timeseries.symmetrized(timeseries.nearest_on_axis(points, 3, "x"))
 
 
 QUERIES["nearest_symmetric"] = nearest_symmetric
