@@ -579,8 +579,10 @@ def append_and_shave(spark, sf):
 
 @query("SELECT row_id, col_id, val FROM nnz WHERE row_id < 50 UNION ALL SELECT row_id + 1000000, col_id, 2 * val FROM nnz WHERE row_id < 50")
 def append_rows(spark, sf):
-    few = from_orders(spark, sf).nnz.where("row_id < 50").select("row_id", "col_id", "val")
-    return M.append_rows(few, M.scalar_mult(few, 2.0), 1_000_000)
+    """The doubled matrix under the matrix, its rows from 1,000,000 on, or from above the greatest id if that is more."""
+    n = from_orders(spark, sf).nnz.select("row_id", "col_id", "val")
+    greatest = n.agg(F.max("row_id")).first()[0]
+    return M.append_rows(n, M.scalar_mult(n, 2.0), max(1_000_000, 1 + (greatest or 0)))
 
 
 @query("SELECT row_id, col_id, val FROM nnz UNION ALL SELECT row_id, row_id + 100000, hi FROM \"rows\"")
