@@ -13,6 +13,9 @@ place by its rank among the pieces of its length.
 from __future__ import annotations
 
 import bisect
+import json
+import os
+import re
 import zlib
 from dataclasses import dataclass, field
 from functools import lru_cache
@@ -220,18 +223,64 @@ def _coder(ranks_path: str, pattern: str) -> bpe.Words:
     return bpe.Words(lambda words: [(core.encode_single_piece(w), b"") for w in words])
 
 
+@lru_cache(2)
+def added_tokens(ranks_path: str) -> tuple[tuple[bytes, int], ...]:
+    """Bytes and id of the added tokens of the .json beside the ranks, which that file's library finds inside texts; none without the file.
+
+    Only tokens taken as they stand are known here: none that strip space, ask for whole words or are normalised.
+    """
+    path = os.path.splitext(ranks_path)[0] + ".json"
+    if not os.path.exists(path):
+        return ()
+    with open(path, encoding="utf-8") as f:
+        found = json.load(f).get("added_tokens") or []
+    if odd := [t["content"] for t in found if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]:
+        raise ValueError(f"added tokens of a kind that is not done: {odd}")
+    return tuple((t["content"].encode(), t["id"]) for t in found)
+
+
+def _ids(memory: bpe.Words, data: np.ndarray, offsets: np.ndarray, added: tuple[tuple[bytes, int], ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of all documents one after another, and where each begins; an added token is one id and parts the text."""
+    pattern = re.compile(b"|".join(re.escape(t) for t, _ in sorted(added, key=lambda a: -len(a[0])))) if added else None
+    raw = data.tobytes() if added else b""
+    if not added or not pattern.search(raw):
+        return tuple(bpe.pieces_to_ids(memory, data, offsets, False))
+    known, edges, special = dict(added), [], {}
+    first = [0]
+    for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
+        at = a
+        for m in pattern.finditer(raw, a, b):
+            if m.start() > at:
+                edges.append(at)
+            special[len(edges)] = known[m[0]]
+            edges.append(m.start())
+            at = m.end()
+        if at < b or at == a:
+            edges.append(at)
+        first.append(len(edges))
+    ids, at = bpe.pieces_to_ids(memory, data, np.array([*edges, len(data)], offsets.dtype), False)
+    where = np.array(list(special), np.int64)
+    keep = np.ones(len(ids), bool)
+    keep[V.ragged(at[where] + 1, at[where + 1] - at[where] - 1)] = False
+    ids = ids.copy()
+    ids[at[where]] = np.array(list(special.values()), ids.dtype)
+    kept = np.concatenate([[0], np.cumsum(keep)])
+    return ids[keep], kept[at[np.array(first)]]
+
+
 def cut(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of each document's pieces.
 
     A document is its ids and one id 0; only one longer than the capacity is cut, and then its
-    first piece is the one that may be shorter.  A null text counts as empty.
+    first piece is the one that may be shorter.  A null text counts as empty.  Ids are those of
+    the tokenizers library without special tokens around the text: added tokens within it count.
     """
 
     def run(batches):
-        memory = _coder(ranks_path, pattern)
+        memory, added = _coder(ranks_path, pattern), added_tokens(ranks_path)
         for batch in batches:
             for i, j, data, offsets in V.parts(batch.column(1)):
-                ids, at = bpe.pieces_to_ids(memory, data, offsets, False)
+                ids, at = _ids(memory, data, offsets, added)
                 n = np.diff(at) + 1
                 pieces = -(-n // capacity)
                 doc = np.repeat(np.arange(j - i), pieces)
