@@ -24,7 +24,7 @@ def op1_matroska_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_snapshot_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
     from blockloom.llm import chat
 
-    return chat.collapse_and_render(table(spark, sf_dir, "conversations"))
+    return chat.collapse_whole(table(spark, sf_dir, "conversations"))
 
 
 def op3_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:

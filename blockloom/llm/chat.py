@@ -3,8 +3,9 @@
 Each turn adds a hash of its place and content to its conversation's rolling prefix hash, so
 two conversations agree on their first k turns exactly if their hashes at k do.  Conversations
 whose whole hash is another's proper prefix go by an anti-join, of equal ones the least id
-stays, and what remains is rendered.  Long conversations are handled in blocks of turns, so
-no group is unbounded.  Only DataFrame functions.
+stays, and what remains is rendered.  Long conversations are handled in blocks of turns, which
+are cut further where many turns have one number or none, so no group but the whole text of
+a conversation is unbounded.  Only DataFrame functions.
 """
 
 from __future__ import annotations
@@ -12,8 +13,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Turns numbered within one multiple of this are summed, and rendered, together.
+#: Turns numbered within one multiple of this are placed together; a part has this many turns.
 BLOCK = 1024
+#: If those are more than BLOCK, about one in CUT_AT of them cuts the rest.
+CUT_AT = 1024
 OPEN, BETWEEN, CLOSE = "<|im_start|>", "\n", "<|im_end|>\n"
 _LANES = ("_h0", "_h1", "_h2", "_h3")
 _ORDER = ("turn", "role", "text")
@@ -33,7 +36,12 @@ def turns(conversations: DataFrame) -> DataFrame:
     Turns are ordered by number, role and text, nulls first; rows repeated in full count once.
     """
     rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
-    rows = rows.withColumn("_block", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**53))))
+    rows = rows.withColumn("_range", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**53))))
+    place, drawn = F.struct(*_ORDER), F.pmod(F.xxhash64(*_ORDER), F.lit(CUT_AT)) == 0
+    crowded = rows.groupBy("conv_id", "_range").agg(F.count(F.lit(1)).alias("_many"), F.array_sort(F.collect_list(F.when(drawn, place))).alias("_cuts")).where(F.col("_many") > BLOCK)
+    rows = rows.alias("r").join(F.broadcast(crowded.alias("c")), F.expr("r.conv_id <=> c.conv_id AND r._range = c._range"), "left").select("r.*", "c._cuts")
+    sub = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
+    rows = rows.withColumn("_block", F.struct("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(sub).alias("sub"))).drop("_cuts", "_range")
     within = Window.partitionBy("conv_id", "_block").orderBy(*(F.col(c).asc_nulls_first() for c in _ORDER))
     whole = Window.partitionBy("conv_id")
     blocks = rows.groupBy("conv_id", "_block").agg(F.count(F.lit(1)).alias("_turns"))
@@ -41,9 +49,9 @@ def turns(conversations: DataFrame) -> DataFrame:
         "conv_id", "_block",
         F.coalesce(F.sum("_turns").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_turns").over(whole).alias("_n"),
-        (F.row_number().over(whole.orderBy("_block")) - 1).alias("_part"),
     )
-    placed = rows.withColumn("_in_block", F.row_number().over(within)).alias("r").join(blocks.alias("b"), F.expr("r.conv_id <=> b.conv_id AND r._block = b._block")).select("r.*", "b._n", "b._part", (F.col("b._before") + F.col("r._in_block")).alias("_k"))
+    placed = rows.withColumn("_in_block", F.row_number().over(within)).alias("r").join(blocks.alias("b"), F.expr("r.conv_id <=> b.conv_id AND r._block = b._block")).select("r.*", "b._n", (F.col("b._before") + F.col("r._in_block")).alias("_k"))
+    placed = placed.withColumn("_part", F.floor((F.col("_k") - 1) / BLOCK))
     content = F.sha2(F.concat_ws(":", F.col("_k").cast("string"), F.to_json(F.struct("role", "text"))), 256)
     lanes = placed.withColumn("_g", content).withColumns({h: F.conv(F.substring("_g", 1 + 8 * k, 8), 16, 10).cast("long") for k, h in enumerate(_LANES)}).drop("_g")
     running = Window.partitionBy("conv_id", "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
@@ -65,7 +73,7 @@ def maximal(rolled: DataFrame) -> DataFrame:
 def collapse_and_render(conversations: DataFrame) -> DataFrame:
     """conv_id, part, n_turns, rendered: the maximal conversations as text.
 
-    A part has at most the turns of one block; a conversation of turns 0..1023 has one part, 0.
+    A part has BLOCK turns, the last one what is left; a conversation of up to BLOCK turns has one part, 0.
     A null text is rendered as empty and a null role as `unknown`; turns with null ids form
     one conversation.  No rows give no rows; other columns are ignored.
     """
@@ -78,6 +86,12 @@ def collapse_and_render(conversations: DataFrame) -> DataFrame:
     return joined.select("conv_id", F.col("_part").cast("int").alias("part"), F.col("_n").alias("n_turns"), F.array_join(F.col("_all._segment"), "").alias("rendered"))
 
 
+def collapse_whole(conversations: DataFrame) -> DataFrame:
+    """The same with one row a conversation, at every size: its parts joined as part 0."""
+    parts = collapse_and_render(conversations).groupBy("conv_id", "n_turns").agg(F.array_sort(F.collect_list(F.struct("part", "rendered"))).alias("_all"))
+    return parts.select("conv_id", F.lit(0).alias("part"), "n_turns", F.array_join(F.col("_all.rendered"), "").alias("rendered"))
+
+
 ORACLE = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations
