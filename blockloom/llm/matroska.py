@@ -158,16 +158,18 @@ def scan(data: bytes) -> Iterator[tuple]:
     """("track", number, type, codec), ("packet", Packet) and ("cue", time_ns, track, place), in file order."""
     scale, cluster, cluster_at, segment = 10**6, 0, -1, 0
     stack: list[list] = []  # [id, end, state]
+    durations: dict[int, int] = {}  # of each track that tells it, ns a frame
     at, n = 0, len(data)
     while at < n or stack:
         while stack and at >= stack[-1][1]:
             ident, _, got = stack.pop()
             if ident == TRACK_ENTRY:
+                durations[got.get(TRACK_NUMBER, 0)] = got.get(DEFAULT_DURATION, 0)
                 yield "track", got.get(TRACK_NUMBER, 0), got.get(TRACK_TYPE, 0), got.get(CODEC, "")
             elif ident == CUE_POSITIONS:
                 yield "cue", stack[-1][2].get(CUE_TIME, 0) * scale, got.get(CUE_TRACK, 0), got.get(CUE_CLUSTER, 0) + segment
             elif ident == BLOCK_GROUP and BLOCK in got:
-                yield from (("packet", p) for p in _block(data, *got[BLOCK], cluster, cluster_at, scale, REFERENCE not in got))
+                yield from (("packet", p) for p in _block(data, *got[BLOCK], cluster, cluster_at, scale, durations, REFERENCE not in got))
         if at >= n:
             if stack:
                 raise Damaged(f"the file ends within an element at {at}")
@@ -194,31 +196,32 @@ def scan(data: bytes) -> Iterator[tuple]:
         elif ident == TIMESTAMP:
             cluster = int.from_bytes(data[at:end], "big")
         elif ident == SIMPLE_BLOCK:
-            yield from (("packet", p) for p in _block(data, at, end, cluster, cluster_at, scale, None))
+            yield from (("packet", p) for p in _block(data, at, end, cluster, cluster_at, scale, durations, None))
         elif ident == BLOCK:
             got[ident] = (at, end)
         elif ident == CODEC:
             got[ident] = data[at:end].decode("ascii", "replace")
-        elif ident in (TRACK_NUMBER, TRACK_TYPE, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE):
+        elif ident in (TRACK_NUMBER, TRACK_TYPE, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE, DEFAULT_DURATION):
             got[ident] = int.from_bytes(data[at:end], "big")
         at = end
 
 
-def _block(data: bytes, at: int, end: int, cluster: int, cluster_at: int, scale: int, key: bool | None) -> Iterator[Packet]:
+def _block(data: bytes, at: int, end: int, cluster: int, cluster_at: int, scale: int, durations: dict[int, int], key: bool | None) -> Iterator[Packet]:
     track, at = read_vint(data, at, False)
     if at + 3 > end:
         raise Damaged(f"the block ends within its head at {at}")
     relative, flags = struct.unpack_from(">hB", data, at)
     at, sizes = frame_sizes(data, at + 3, end, flags & 6)
     for k, size in enumerate(sizes):
-        yield Packet(track, (cluster + relative) * scale, at, size, bool(flags & 0x80) if key is None else key, cluster_at, k)
+        yield Packet(track, (cluster + relative) * scale + k * durations.get(track, 0), at, size, bool(flags & 0x80) if key is None else key, cluster_at, k)
         at += size
 
 
 def packets(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per frame: id, packet, track, timestamp_ns (of its block), lace, offset, size, keyframe, cluster, error.
+    """One row per frame: id, packet, track, timestamp_ns, lace, offset, size, keyframe, cluster, error.
 
-    Null media give no row.  Damaged media give the packets before the damage and then one
+    A laced frame's time is its block's and as many of its track's default durations as frames
+    stand before it; where the track tells none, it is the block's.  Null media give no row.  Damaged media give the packets before the damage and then one
     row whose packet is null and whose error says where it is.  Other columns are ignored.
     """
 
