@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding.
 
-A text is cut into the matches of the vocabulary's pattern; each distinct match is merged
-once per Python worker.  Merging runs in DuckDB: token-position rows join the merge table
+A text is cut into the matches of the vocabulary's pattern; each distinct match, told by its
+bytes, is merged once per Python worker.  Merging runs in DuckDB: token-position rows join the merge table
 and a recursive query contracts the leftmost pair of least rank in every word until no pair
 is left; ordered aggregation then gives each word's ids and its decoded bytes.
 """
@@ -23,12 +23,12 @@ from blockloom.llm import textvec as V
 LONG_WORD = 192
 #: Words merged by one run of the recursive query.
 WORDS_PER_QUERY = 60_000
-#: Distinct words that a worker remembers; beyond it, the memory starts anew.
-REMEMBERED = 400_000
+#: Distinct words, and bytes of them, that a worker remembers; beyond either, the memory starts anew.
+REMEMBERED, REMEMBERED_BYTES = 400_000, 16 << 20
 
 CONTRACT = """
 WITH RECURSIVE step(w, p, tok, live) AS (
-  SELECT w, p, tok, true FROM start
+  SELECT w, p, tok, open FROM start
   UNION ALL
   (
     WITH pairs AS (
@@ -65,7 +65,7 @@ def _database(path: str):
     known = ranks(path)
     rows = [(known[t[:k]], known[t[k:]], i) for t, i in known.items() for k in range(1, len(t)) if t[:k] in known and t[k:] in known]
     l, r, m = (np.array(x, np.int32) for x in zip(*rows)) if rows else (np.zeros(0, np.int32),) * 3
-    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+    con = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": ""})  # it spills nothing to a machine's own folder
     con.register("pairs_in", pa.table({"l": l, "r": r, "merged": m}))
     con.execute("CREATE TABLE pair AS SELECT l, r, merged::BIGINT AS merged FROM pairs_in")
     con.unregister("pairs_in")
@@ -101,13 +101,11 @@ def merge_long(word: bytes, known: dict[bytes, int]) -> list[int]:
 
 
 def contract(words: list[bytes], path: str) -> list[tuple[list[int], bytes]]:
-    """(ids, decoded bytes) of each word.  A word that is a token as it stands keeps that id."""
+    """(ids, decoded bytes) of each word.  A word that is a token as it stands is that one token."""
     known, out = ranks(path), [None] * len(words)
     todo = []
     for k, word in enumerate(words):
-        if (i := known.get(word)) is not None:
-            out[k] = ([i], word)
-        elif len(word) > LONG_WORD:
+        if len(word) > LONG_WORD and word not in known:
             back = _inverse(path)
             out[k] = (ids := merge_long(word, known)), b"".join(back[i] for i in ids)
         else:
@@ -117,14 +115,16 @@ def contract(words: list[bytes], path: str) -> list[tuple[list[int], bytes]]:
     con, single = _database(path), np.array([known[bytes([b])] for b in range(256)], np.int64)
     for at in range(0, len(todo), WORDS_PER_QUERY):
         part = todo[at : at + WORDS_PER_QUERY]
-        sizes = np.array([len(words[k]) for k in part])
-        data = np.frombuffer(b"".join(words[k] for k in part), np.uint8)
+        whole = np.array([known.get(words[k], -1) for k in part], np.int64)
+        sizes = np.where(whole >= 0, 1, [len(words[k]) for k in part])
+        data = np.frombuffer(b"".join(words[k] if t < 0 else b"\0" for k, t in zip(part, whole.tolist())), np.uint8)
         w = np.repeat(np.arange(len(part), dtype=np.int64), sizes)
         p = V.ragged(np.zeros(len(part), np.int64), sizes)
-        con.register("start", pa.table({"w": w, "p": p, "tok": single[data]}))
-        for k, ids, text in con.execute(CONTRACT).fetchall():
-            out[part[k]] = (ids, bytes.fromhex(text))
+        con.register("start", pa.table({"w": w, "p": p, "tok": np.where(whole[w] >= 0, whole[w], single[data]), "open": pa.array(whole[w] < 0)}))
+        found = con.sql(CONTRACT).to_arrow_table()
         con.unregister("start")
+        for k, ids, text in zip(found["w"].to_pylist(), found["ids"].to_pylist(), found["decoded"].to_pylist()):
+            out[part[k]] = (ids, bytes.fromhex(text))
     return out
 
 
@@ -134,39 +134,45 @@ def _inverse(path: str) -> dict[int, bytes]:
 
 
 class Words:
-    """Ids (and decoded bytes) of all words met so far, found by the word's hash."""
+    """Ids (and decoded bytes) of all words met so far, found by the word's bytes."""
 
-    def __init__(self, encode):
-        self.encode = encode
+    def __init__(self, encode, most: int = REMEMBERED):
+        self.encode, self.most = encode, most
         self.clear()
 
     def clear(self):
-        self.place: dict[int, int] = {}
+        self.place: dict[bytes, int] = {}
+        self.size = 0
         self.ids, self.text = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
         self.n_ids, self.n_text = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.flat = None
 
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of each span, its word's place in tables()."""
-        if len(self.place) > REMEMBERED:
+        """Of each span, its word's place in tables().  Spans of one hash are compared byte by byte."""
+        if len(self.place) > self.most or self.size > REMEMBERED_BYTES:
             self.clear()
-        keys = V.span_hash(V.prefix_hash(data), starts, ends)
-        distinct, first, inverse = np.unique(keys, return_index=True, return_inverse=True)
-        listed = distinct.tolist()
-        at = [self.place.get(k, -1) for k in listed]
-        if new := [k for k, x in enumerate(at) if x < 0]:
-            raw = data.tobytes()
-            s, e = starts[first[new]].tolist(), ends[first[new]].tolist()
-            found = self.encode([raw[a:b] for a, b in zip(s, e)])
-            base = len(self.place)
-            for n, k in enumerate(new):
-                at[k] = self.place[listed[k]] = base + n
+        at = V.lanes(data)
+        _, first, inverse = np.unique(V.hashes(at, data, starts, ends), return_index=True, return_inverse=True)
+        odd = unlike(at, starts, ends, first[inverse])
+        raw = data.tobytes()
+        spans = np.concatenate([first, odd])
+        listed = [raw[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist())]
+        places = [self.place.get(w, -1) for w in listed]
+        if new := list(dict.fromkeys(w for w, k in zip(listed, places) if k < 0)):
+            found = self.encode(new)
+            for w in new:
+                self.place[w] = len(self.place)
+                self.size += len(w)
             self.ids.append(np.array([i for ids, _ in found for i in ids], np.uint32))
             self.text.append(np.frombuffer(b"".join(t for _, t in found), np.uint8))
             self.n_ids.append(np.array([len(ids) for ids, _ in found], np.int64))
             self.n_text.append(np.array([len(t) for _, t in found], np.int64))
             self.flat = None
-        return np.array(at, np.int64)[inverse]
+            places = [self.place[w] for w in listed]
+        places = np.array(places, np.int64)
+        out = places[inverse]
+        out[odd] = places[len(first) :]
+        return out
 
     def tables(self):
         """(ids, starts, lengths) and (bytes, starts, lengths) by place."""
@@ -178,6 +184,20 @@ class Words:
         return self.flat
 
 
+def unlike(at: np.ndarray, starts: np.ndarray, ends: np.ndarray, model: np.ndarray) -> np.ndarray:
+    """The spans whose bytes are not those of the span that model names.  at is textvec.lanes of the bytes."""
+    size = ends - starts
+    wrong = size != size[model]
+    live = np.flatnonzero(~wrong & (model != np.arange(len(model))))
+    a, b, left = starts[live], starts[model[live]], size[live]
+    while len(live):
+        differ = ((at[a] ^ at[b]) & V._MASK[np.minimum(left, 8)]) != 0
+        wrong[live[differ]] = True
+        on = ~differ & (left > 8)
+        live, a, b, left = live[on], a[on] + 8, b[on] + 8, left[on] - 8
+    return np.flatnonzero(wrong)
+
+
 @lru_cache(2)
 def _words(path: str) -> Words:
     return Words(lambda words: contract(words, path))
@@ -202,6 +222,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     repeated results, a null id is carried along, other columns are ignored.
     """
 
+    @V.tidy
     def run(batches):
         memory = _words(path)
         for batch in batches:
@@ -216,6 +237,7 @@ def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
 def decode(tokens: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids") -> DataFrame:
     """(id, text binary): the bytes of each list of ids; null and empty lists give empty bytes."""
 
+    @V.tidy
     def run(batches):
         back = _inverse(path)
         for batch in batches:
@@ -227,6 +249,7 @@ def decode(tokens: DataFrame, path: str, id_col: str = "id", ids_col: str = "ids
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of each document, by the steps of encode()."""
 
+    @V.tidy
     def run(batches):
         memory = _words(path)
         for batch in batches:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import textvec as V
-from blockloom.llm.session import release
+from blockloom.llm.session import let_go
 
 #: The lexicon's words occur in this share of the documents, and in LEAST_DOCUMENTS at least.  It has at
 #: most (distinct words of a document, on average) / BAND[0] words, whatever the number of documents.
@@ -35,7 +35,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """(hashes, document) of each document's distinct words in ascending order; A-Z count as a-z."""
     data = V.lower(data)
     starts, ends, first = V.words(data, offsets)
-    key = V.span_hash(V.prefix_hash(data), starts, ends)
+    key = V.hashes(V.lanes(data), data, starts, ends)
     doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
     order = np.lexsort((key, doc))
     key, doc = key[order], doc[order]
@@ -69,8 +69,10 @@ def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
 
     n = docs.count()
     counts = docs.select(docs["text"].cast("string")).mapInArrow(run, "word long, documents long").groupBy("word").agg(F.sum("documents").alias("documents"))
-    found = counts.where(F.col("documents").between(max(LEAST_DOCUMENTS, band[0] * n), band[1] * n)).select("word").toArrow()
-    return np.sort(found.column(0).to_numpy().view(np.uint64))
+    chosen = counts.where(F.col("documents").between(max(LEAST_DOCUMENTS, band[0] * n), band[1] * n)).select("word")
+    found = chosen.toArrow().column(0).to_numpy().view(np.uint64)
+    let_go(chosen)
+    return np.sort(found)
 
 
 def fingerprints(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -85,7 +87,6 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np
     inside |= few[doc]
     key, doc = key[inside], doc[inside]
     out = np.zeros((n, HASHES), np.uint16)
-    powers = V.powers(len(key) + 1)[0]
     word, left, column = None, 0, 0
     for level in range(LEVELS + 1):
         bits = 2 * level
@@ -100,8 +101,8 @@ def fingerprints(data: np.ndarray, offsets: np.ndarray, words: np.ndarray) -> np
             if len(mine):
                 d = doc[mine]
                 first = np.searchsorted(d, np.arange(n + 1))
-                rank = np.arange(len(mine)) - first[d]
-                sums = np.concatenate([[np.uint64(0)], np.cumsum(V.mix(key[mine]) * powers[rank])])
+                rank = (np.arange(len(mine)) - first[d]).astype(np.uint64)
+                sums = np.concatenate([[np.uint64(0)], np.cumsum(V.mix(key[mine] + rank * np.uint64(0x9E3779B97F4A7C15)))])
                 hashed = V.mix(sums[first[1:]] - sums[first[:-1]]) >> np.uint64(48)
                 out[:, column] = np.where(np.diff(first) > 0, np.maximum(hashed, np.uint64(1)), 0)
             column += 1
@@ -183,7 +184,6 @@ def edited_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
     empty.  Rows that share a doc_id follow each other by a hash of the text; a null doc_id comes last.
     """
     words = lexicon(docs)
-    release(docs.sparkSession)
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def pack(raw: list[bytes]):

@@ -35,6 +35,8 @@ GROUPS = 64
 LARGE = (1 / 4, 1 / 3, 2 / 5, 1 / 2)
 #: Lengths are rounded up to a multiple of this in the configuration program.
 GRAIN = 8
+#: Distinct words that a worker remembers; the library is quick enough to tell the others again.
+REMEMBERED = 120_000
 #: Pieces of one length are ranked in buckets of about this many.
 RANKED_TOGETHER = 200_000
 
@@ -220,7 +222,7 @@ def _coder(ranks_path: str, pattern: str) -> bpe.Words:
     import tiktoken
 
     core = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=bpe.ranks(ranks_path), special_tokens={})._core_bpe
-    return bpe.Words(lambda words: [(core.encode_single_piece(w), b"") for w in words])
+    return bpe.Words(lambda words: [(core.encode_single_piece(w), b"") for w in words], REMEMBERED)
 
 
 @lru_cache(2)
@@ -276,6 +278,7 @@ def cut(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY
     the tokenizers library without special tokens around the text: added tokens within it count.
     """
 
+    @V.tidy
     def run(batches):
         memory, added = _coder(ranks_path, pattern), added_tokens(ranks_path)
         for batch in batches:

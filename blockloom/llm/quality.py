@@ -52,8 +52,9 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     length = ends - starts
     out += [_per_document(length <= 2, first) / some, _per_document(length >= 14, first) / some]
     doc = np.repeat(np.arange(n), words)
-    prefix = V.prefix_hash(V.lower(data))
-    key = V.span_hash(prefix, starts, ends) ^ V.mix(doc.astype(np.uint64) + np.uint64(1))
+    low = V.lower(data)
+    lane = V.lanes(low)
+    key = V.hashes(lane, low, starts, ends) ^ V.mix(doc.astype(np.uint64) + np.uint64(1))
     distinct, at, count = np.unique(key, return_index=True, return_counts=True)
     out.append(np.bincount(doc[at], minlength=n) / some)
     most = np.zeros(n, np.int64)
@@ -70,7 +71,7 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     cut, stop = cut[keep], stop[keep]
     in_doc = np.searchsorted(offsets, cut, "right") - 1
     lines = np.bincount(in_doc, minlength=n)
-    own = np.unique(V.span_hash(prefix, cut, stop) ^ V.mix(in_doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
+    own = np.unique(V.hashes(lane, low, cut, stop) ^ V.mix(in_doc.astype(np.uint64) + np.uint64(1)), return_index=True)[1]
     out.append(1 - np.bincount(in_doc[own], minlength=n) / np.maximum(lines, 1) * (lines > 0) - (lines == 0))
     out.append(lines / some)
     out.append(np.minimum(_per_document(length, first) / some, 40) / 10)

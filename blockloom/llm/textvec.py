@@ -1,14 +1,16 @@
 """Vectorised work on UTF-8 buffers: spans, hashes, segmentation.
 
 All functions take the raw bytes of an Arrow string column, so no Python string is made for
-a document.  Hashes are 64-bit tabulated polynomials modulo 2**64; one prefix array gives
-the hash of any span in O(1).
+a document.  Spans are hashed eight bytes at a time with a finaliser after every step; there is
+no polynomial whose factors texts could share.
 """
 
 from __future__ import annotations
 
+import ctypes
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, wraps
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -17,44 +19,88 @@ import zstandard
 
 U64 = np.uint64
 #: Bytes of text handled at once; a longer single document is handled alone.
-CHUNK_BYTES = 2 << 20
-_BASE = 0x9E3779B97F4A7C15
-_TABLE = np.random.Generator(np.random.PCG64(20240131)).integers(1, 2**64, 256, dtype=np.uint64)
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+CHUNK_BYTES = 1 << 20
+#: Longer spans are hashed one by one.
+LONG_SPAN = 1024
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser: every input bit reaches every output bit."""
     x = x ^ (x >> U64(32))
-    x = x * U64(0xD6E8FEB86659FD93)
-    x = x ^ (x >> U64(29))
-    x = x * U64(0xA0761D6478BD642F)
-    return x ^ (x >> U64(32))
-
-
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """base**0 .. base**(n-1) and their inverses."""
-    if len(_powers[0]) < n:
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 2**64))):
-            steps = np.full(n, base, np.uint64)
-            steps[0] = 1
-            _powers[k] = np.cumprod(steps)
-    return _powers[0][:n], _powers[1][:n]
-
-
-def prefix_hash(data: np.ndarray) -> np.ndarray:
-    """Array h of len(data)+1 for span_hash."""
-    out = np.zeros(len(data) + 1, np.uint64)
-    values = _TABLE[data]
-    values *= powers(len(data))[0]
-    np.cumsum(values, out=out[1:])
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(29)
+    x *= U64(0xA0761D6478BD642F)
+    x ^= x >> U64(32)
+    return x
+
+
+def lanes(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on as one number; zeros follow the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).astype(np.uint64)
+
+
+def hashes(at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they stand.  at is lanes(data)."""
+    size = ends - starts
+    out = mix(size.astype(np.uint64) + U64(0x9E3779B97F4A7C15 + 2 * seed))
+    if len(far := np.flatnonzero(size > LONG_SPAN)):
+        raw = memoryview(np.ascontiguousarray(data))
+        out[far] = [int.from_bytes(blake2b(raw[a:b], digest_size=8, person=b"%d" % seed).digest(), "little") for a, b in zip(starts[far].tolist(), ends[far].tolist())]
+    live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
+    place, left, value = starts[live], size[live], out[live]
+    while len(live):
+        value = mix(value ^ (at[place] & _MASK[np.minimum(left, 8)]))
+        done = left <= 8
+        out[live[done]] = value[done]
+        on = ~done
+        live, place, left, value = live[on], place[on] + 8, left[on] - 8, value[on]
     return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hash of each data[start:end]; equal bytes give equal hashes wherever they stand."""
-    inverse = powers(len(prefix))[1]
-    return mix((prefix[end] - prefix[start]) * inverse[start])
+def windows(at: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the bytes place..place+width-1 of every place at which so many follow; width is at least 8."""
+    n = len(at) - width
+    if n <= 0:
+        return np.zeros(0, np.uint64)
+    out, have, odd = at, 8, U64(0x9FB21C651E98DF25)
+    while 2 * have <= width:
+        out, have = _two(out[: len(out) - have], out[have:], odd), 2 * have
+    if have < width:
+        out = _two(out[:n], out[width - have :][:n], odd)
+    return mix(out[:n])
+
+
+def _two(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
+    x = a * odd
+    x ^= x >> U64(31)
+    x += b
+    x *= U64(0xD6E8FEB86659FD93)
+    x ^= x >> U64(32)
+    return x
+
+
+def trim() -> None:
+    """Gives memory that numpy and Arrow have freed back to the system, so that an idle worker holds little."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not glibc
+        pass
+
+
+def tidy(run):
+    """A function of batches that ends with trim()."""
+
+    @wraps(run)
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return wrapped
 
 
 def buffers(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
