@@ -2,8 +2,8 @@
 
 Every string of SPAN bytes has one anchor, the leftmost of its K-byte windows of least hash.
 Neighbouring starts that share an anchor form a segment, so equal strings always lie in
-segments with equal anchors.  Segments meet at their anchor: copies of a segment are removed
-at once, and the distinct segments of an anchor go into a suffix array, built by linear
+segments with equal anchors.  Segments meet at their anchor: copies of a segment, equal in the
+anchor's hash and in 96 bits of two hashes of all their bytes, are removed at once, and the distinct segments of an anchor go into a suffix array, built by linear
 grouping, in which equal strings are neighbours.  Only these segments' bytes are fetched.
 """
 
@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from blockloom.llm import textvec as V
-from blockloom.llm.session import checkpoint, release
+from blockloom.llm.session import checkpoint
 
 SPAN = 100
 K = 40
@@ -27,7 +27,9 @@ BLOCK_BYTES = 48 << 10
 #: Distinct segments of one anchor beyond this many bytes are compared start by start.
 ANCHOR_BYTES = 1 << 20
 #: Documents longer than this are cut, with SPAN - 1 bytes of overlap, while anchors are sought.
-PIECE_BYTES = 6 << 20
+PIECE_BYTES = 2 << 20
+#: Bytes of segments passed on together.
+FETCHED_TOGETHER = 32 << 20
 
 
 # --- linear grouping -----------------------------------------------------------------------
@@ -144,7 +146,7 @@ def _worth_sorting(segments: list[bytes], starts: list[int], span: int) -> tuple
     begins = np.cumsum(sizes) - sizes
     at = V.ragged(begins, counts)
     which = np.repeat(np.arange(len(segments)), counts)
-    _, back, times = np.unique(V.span_hash(V.prefix_hash(data), at, at + span), return_inverse=True, return_counts=True)
+    _, back, times = np.unique(V.hashes(V.lanes(data), data, at, at + span), return_inverse=True, return_counts=True)
     again = times[back] > 1
     first, last = np.full(len(segments), 2**62), np.full(len(segments), -1)
     offset = at - begins[which]
@@ -203,15 +205,14 @@ def _sliding_least(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = K):
-    """(document, position, starts, anchor hash, content hash) of all segments of the documents."""
+    """(document, position, starts, anchor hash, content hash, another) of all segments of the documents."""
     width = span - k + 1
     if len(data) < span:
-        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 2
-    prefix = V.prefix_hash(data)
-    at = np.arange(len(data) - k + 1)
-    hashes = V.span_hash(prefix, at, at + k)
+        return (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64),) * 3
+    lane = V.lanes(data)
+    hashes = V.windows(lane, k)
     low = np.uint64(24)
-    least = _sliding_least(hashes >> low << low | at.astype(np.uint64), width)
+    least = _sliding_least(hashes >> low << low | np.arange(len(hashes), dtype=np.uint64), width)
     valid = np.zeros(len(data) + 1, np.int8)
     long = np.flatnonzero(np.diff(offsets) >= span)
     valid[offsets[long]] += 1
@@ -225,7 +226,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = K
     s, e = np.flatnonzero(head), np.flatnonzero(stop) + 1
     anchor = hashes[(least[s] & np.uint64((1 << 24) - 1)).astype(np.int64)]
     doc = np.searchsorted(offsets, s, "right") - 1
-    return doc, s - offsets[doc], e - s, anchor, V.span_hash(prefix, s, e + span - 1)
+    return doc, s - offsets[doc], e - s, anchor, V.hashes(lane, data, s, e + span - 1), V.hashes(lane, data, s, e + span - 1, 1)
 
 
 def _pieces(column):
@@ -239,34 +240,44 @@ def _pieces(column):
                 yield np.array([i]), part, np.array([0, len(part)]), np.array([a])
 
 
-# A start's place: bits 40..62 tell apart rows of one doc_id, 7..39 give the position, the rest how many starts.
+# A start's place: the lowest 7 bits tell how many starts, the rest the position.
+ID = ("given", "key", "tie", "more")
+
+
 def _tie(text: Column) -> Column:
-    return F.xxhash64(text).bitwiseAND(F.lit((1 << 23) - 1))
+    return F.xxhash64(text)
+
+
+def _told_apart(docs: DataFrame) -> bool:
+    """Whether some row has no doc_id or some doc_id has several texts; else the doc_id alone tells documents apart."""
+    text = docs["text"].cast("string")
+    hashed = docs.select(docs["doc_id"].cast("long").alias("key"), F.struct(_tie(text).alias("a"), F.xxhash64(F.lit(1), text).alias("b")).alias("h"))
+    return bool(hashed.groupBy("key").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).where("key IS NULL OR lo <> hi").limit(1).count())
 
 
-def _identity(docs: DataFrame) -> list[Column]:
-    """given, key, tie: rows equal in them are one document; in this order documents come one after another.
+def _identity(docs: DataFrame, by_text: bool) -> list[Column]:
+    """given, key, tie, more: rows equal in them are one document; in this order documents come one after another.
 
-    Rows without doc_id (given is false, so they come first) have a key of 64 bits of the
-    text's hash, turned so that it sorts by _tie first, and a tie of 23 bits of another hash.
+    given is false for rows without doc_id, which come first; tie and more are 128 bits of
+    hashes of the text, and 0 where by_text says that no row needs them.
     """
     text, ident = docs["text"].cast("string"), docs["doc_id"].cast("long")
-    hashed = F.coalesce(F.xxhash64(text), F.lit(0))
-    turned = F.shiftleft(hashed, 41).bitwiseOR(F.shiftrightunsigned(hashed, 23)).bitwiseXOR(F.lit(-(2**63)))
+    none = F.lit(0).cast("long")
     return [
-        ident.isNotNull().alias("given"), F.coalesce(ident, turned).alias("key"),
-        F.when(ident.isNotNull(), _tie(text)).otherwise(F.hash(text).cast("long").bitwiseAND(F.lit((1 << 23) - 1))).alias("tie"),
+        ident.isNotNull().alias("given"), F.coalesce(ident, none).alias("key"),
+        (_tie(text) if by_text else none).alias("tie"), (F.xxhash64(F.lit(1), text) if by_text else none).alias("more"),
     ]
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(*_identity(docs), docs["text"].cast("string").alias("text"))
+def _keyed(docs: DataFrame, by_text: bool) -> DataFrame:
+    return docs.select(*_identity(docs, by_text), docs["text"].cast("string").alias("text"))
 
 
 def _packed(df: DataFrame, text: str) -> DataFrame:
     """df with its text column packed for a shuffle."""
     at = df.columns.index(text)
 
+    @V.tidy
     def run(batches):
         for batch in batches:
             columns = list(batch.columns)
@@ -276,32 +287,37 @@ def _packed(df: DataFrame, text: str) -> DataFrame:
     return df.mapInArrow(run, T.StructType([T.StructField(f.name, T.BinaryType() if f.name == text else f.dataType) for f in df.schema]))
 
 
-def _anchored(docs: DataFrame) -> DataFrame:
-    """anchor, content, given, key, place of every segment; done if it is a later copy of one nearby.
+def _anchored(docs: DataFrame, by_text: bool) -> DataFrame:
+    """anchor, content, check, given, key, tie, more, place of every segment; done if it is a later copy of one nearby.
 
     Of repeated rows, which are one document, a chunk brings the segments once.  Later copies are known before the shuffle.  They travel under a key of their own, so an
     anchor that very many documents share brings one row for each content and chunk of text.
     """
 
+    @V.tidy
     def run(batches):
         for batch in batches:
-            known, key, tie = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(), batch.column(2).to_numpy()
-            for rows, data, offsets, base in _pieces(batch.column(3)):
-                doc, position, n, anchor, content = segments(data, offsets)
+            ids = [batch.column(0).to_numpy(zero_copy_only=False), *(batch.column(k).to_numpy() for k in (1, 2, 3))]
+            for rows, data, offsets, base in _pieces(batch.column(4)):
+                doc, position, n, anchor, content, check = segments(data, offsets)
                 row = rows[doc]
-                place = tie[row] << 40 | position + base[doc] << 7 | n
-                order = np.lexsort((place, key[row], known[row], content, anchor))
-                given, owner, place, anchor, content = (x[order] for x in (known[row], key[row], place, anchor, content))
+                place, check = position + base[doc] << 7 | n, (check >> np.uint64(33)).astype(np.int32)
+                own = [x[row] for x in ids]
+                order = np.lexsort((place, *own[::-1], check, content, anchor))
+                place, anchor, content, check, own = place[order], anchor[order], content[order], check[order], [x[order] for x in own]
+                same = lambda *xs: np.logical_and.reduce([x[1:] == x[:-1] for x in xs])
                 done = np.zeros(len(order), bool)
-                done[1:] = (anchor[1:] == anchor[:-1]) & (content[1:] == content[:-1])
+                done[1:] = same(anchor, content, check)
                 again = done.copy()
-                again[1:] &= (given[1:] == given[:-1]) & (owner[1:] == owner[:-1]) & (place[1:] == place[:-1])
+                again[1:] &= same(place, *own)
                 if again.any():
-                    given, owner, place, anchor, content, done = (x[~again] for x in (given, owner, place, anchor, content, done))
-                anchor = np.where(done, V.mix(place.view(np.uint64) ^ V.mix(owner.view(np.uint64))), anchor)
-                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(given), pa.array(owner), pa.array(place), pa.array(done)], ["anchor", "content", "given", "key", "place", "done"])
+                    place, anchor, content, check, done = (x[~again] for x in (place, anchor, content, check, done))
+                    own = [x[~again] for x in own]
+                anchor = np.where(done, V.mix(place.view(np.uint64) ^ V.mix(own[1].view(np.uint64) ^ V.mix(own[2].view(np.uint64)))), anchor)
+                content, check = np.where(done, np.uint64(0), content), np.where(done, np.int32(0), check)
+                yield pa.record_batch([pa.array(anchor.view(np.int64)), pa.array(content.view(np.int64)), pa.array(check), *(pa.array(x) for x in own), pa.array(place), pa.array(done)], ["anchor", "content", "check", *ID, "place", "done"])
 
-    return _keyed(docs).mapInArrow(run, "anchor long, content long, given boolean, key long, place long, done boolean")
+    return _keyed(docs, by_text).mapInArrow(run, "anchor long, content long, check int, given boolean, key long, tie long, more long, place long, done boolean")
 
 
 def _met(anchored: DataFrame) -> DataFrame:
@@ -310,73 +326,76 @@ def _met(anchored: DataFrame) -> DataFrame:
     The segment of a repeated row has the first one's place as well: it is that segment, no copy of it.
     """
 
+    @V.tidy
     def run(batches):
-        before = np.full((1, 6), 0, np.int64)[:0]  # the last first-of-content: anchor, content, given, key, place, known to be wanted
+        before = np.zeros((0, 9), np.int64)  # the last first-of-content: anchor, content, check, given, key, tie, more, place, known to be wanted
 
         def emit(rows: np.ndarray, fetch: np.ndarray):
-            return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 2].astype(bool)), pa.array(rows[:, 3]), pa.array(rows[:, 4]), pa.array(fetch)], ["anchor", "given", "key", "place", "fetch"])
+            return pa.record_batch([pa.array(rows[:, 0]), pa.array(rows[:, 3].astype(bool)), *(pa.array(rows[:, k]) for k in (4, 5, 6, 7)), pa.array(fetch)], ["anchor", *ID, "place", "fetch"])
 
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = np.stack([*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:5]), np.zeros(batch.num_rows, np.int64)], 1)
-            done = batch.column(5).to_numpy(zero_copy_only=False)
+            rows = np.stack([*(c.to_numpy(zero_copy_only=False).astype(np.int64) for c in batch.columns[:8]), np.zeros(batch.num_rows, np.int64)], 1)
+            done = batch.column(8).to_numpy(zero_copy_only=False)
             if done.any():
                 yield emit(rows[done], np.zeros(int(done.sum()), bool))
                 rows = rows[~done]
                 if not len(rows):
                     continue
             again = np.zeros(len(rows), bool)
-            again[1:] = (rows[1:, :5] == rows[:-1, :5]).all(1)
+            again[1:] = (rows[1:, :8] == rows[:-1, :8]).all(1)
             if len(before):
-                again[0] = (rows[0, :5] == before[0, :5]).all()
+                again[0] = (rows[0, :8] == before[0, :8]).all()
             if again.any():
                 rows = rows[~again]
                 if not len(rows):
                     continue
             new = np.ones(len(rows), bool)
-            new[1:] = (rows[1:, 0] != rows[:-1, 0]) | (rows[1:, 1] != rows[:-1, 1])
+            new[1:] = (rows[1:, :3] != rows[:-1, :3]).any(1)
             if len(before):
-                new[0] = rows[0, 0] != before[0, 0] or rows[0, 1] != before[0, 1]
+                new[0] = (rows[0, :3] != before[0, :3]).any()
             copies = rows[~new]
             firsts = np.concatenate([before, rows[new]])
             joined = firsts[1:, 0] == firsts[:-1, 0]
-            firsts[1:, 5] |= joined
-            firsts[:-1, 5] |= joined
+            firsts[1:, 8] |= joined
+            firsts[:-1, 8] |= joined
             before = firsts[-1:].copy()
-            wanted = firsts[:-1][firsts[:-1, 5] == 1]
+            wanted = firsts[:-1][firsts[:-1, 8] == 1]
             yield emit(np.concatenate([copies, wanted]), np.repeat([False, True], [len(copies), len(wanted)]))
-        if len(before) and before[0, 5]:
+        if len(before) and before[0, 8]:
             yield emit(before, np.array([True]))
 
-    return anchored.repartition("anchor").sortWithinPartitions("anchor", "content", "given", "key", "place").mapInArrow(run, "anchor long, given boolean, key long, place long, fetch boolean")
+    return anchored.repartition("anchor").sortWithinPartitions("anchor", "content", "check", *ID, "place").mapInArrow(run, "anchor long, given boolean, key long, tie long, more long, place long, fetch boolean")
 
 
 def _unpack(place: np.ndarray):
-    return place >> 40, place >> 7 & (1 << 33) - 1, place & 127
+    return place >> 7, place & 127
 
 
-def _fetched(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """anchor, given, key, place, large, bytes of the wanted segments, of repeated rows once."""
+def _fetched(docs: DataFrame, wanted: DataFrame, by_text: bool) -> DataFrame:
+    """anchor, given, key, tie, more, place, large, bytes of the wanted segments, of repeated rows once."""
+    together = FETCHED_TOGETHER // (SPAN + 127)
 
+    @V.tidy
     def run(batches):
         for batch in batches:
-            texts, given, key, asked = V.unpacked(batch.column("text")), batch.column("given"), batch.column("key").to_numpy(), batch.column("asked")
-            rows = asked.flatten()
-            lengths = np.diff(asked.offsets.to_numpy())
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            place = rows.field("place").to_numpy()
-            _, position, n = _unpack(place)
-            data = np.frombuffer(b"".join(texts), np.uint8)
-            begin = (np.cumsum([0, *(len(t) for t in texts)])[:-1])[row] + position
-            size = n + SPAN - 1
-            body = data[V.ragged(begin, size)]
-            edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            yield pa.record_batch([rows.field("anchor"), given.take(pa.array(row)), pa.array(key[row]), pa.array(place), rows.field("large"), pa.BinaryArray.from_buffers(pa.binary(), len(row), [None, pa.py_buffer(edges), pa.py_buffer(body)])], ["anchor", "given", "key", "place", "large", "bytes"])
-
-    asked = wanted.withColumn("tie", F.shiftright("place", 40)).groupBy("given", "key", "tie").agg(F.collect_list(F.struct("anchor", "place", "large")).alias("asked"))
-    met = _packed(_keyed(docs), "text").join(asked, ["given", "key", "tie"]).dropDuplicates(["given", "key", "tie"])
-    return met.select("given", "key", "text", "asked").mapInArrow(run, "anchor long, given boolean, key long, place long, large boolean, bytes binary")
+            packed, asked, ids = batch.column("text"), batch.column("asked"), [batch.column(c) for c in ID]
+            wanted = asked.flatten()
+            row = np.repeat(np.arange(batch.num_rows), np.diff(asked.offsets.to_numpy()))
+            for a in range(0, len(row), together):
+                own, part = row[a : a + together], wanted.slice(a, together)
+                texts = V.unpacked(packed.slice(int(own[0]), int(own[-1] - own[0]) + 1))
+                data = np.frombuffer(b"".join(texts), np.uint8)
+                position, n = _unpack(part.field("place").to_numpy())
+                size = n + SPAN - 1
+                body = data[V.ragged(np.cumsum([0, *(len(t) for t in texts)])[own - own[0]] + position, size)]
+                edges = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+                yield pa.record_batch([part.field("anchor"), *(c.take(pa.array(own)) for c in ids), part.field("place"), part.field("large"), pa.BinaryArray.from_buffers(pa.binary(), len(own), [None, pa.py_buffer(edges), pa.py_buffer(body)])], ["anchor", *ID, "place", "large", "bytes"])
+
+    asked = wanted.groupBy(*ID).agg(F.collect_list(F.struct("anchor", "place", "large")).alias("asked"))
+    met = _packed(_keyed(docs, by_text), "text").join(asked, [*ID]).dropDuplicates([*ID])
+    return met.select(*ID, "text", "asked").mapInArrow(run, "anchor long, given boolean, key long, tie long, more long, place long, large boolean, bytes binary")
 
 
 def _ranges(offsets: np.ndarray) -> list[tuple[int, int]]:
@@ -385,13 +404,15 @@ def _ranges(offsets: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _compared(fetched: DataFrame) -> DataFrame:
-    """given, key, tie, begin, stop: bytes to remove, from the suffix arrays of blocks of whole anchors."""
+    """given, key, tie, more, begin, stop: bytes to remove, from the suffix arrays of blocks of whole anchors."""
 
     def block(rows: list[tuple]):
-        found = repeated_starts([r[4] for r in rows], [r[3] & 127 for r in rows], [(r[1], r[2], r[3] >> 40, r[3] >> 7 & (1 << 33) - 1) for r in rows])
-        out = [(r[1], r[2], r[3] >> 40, p + a, p + b + SPAN - 1) for r, offsets in zip(rows, found) for p in [r[3] >> 7 & (1 << 33) - 1] for a, b in _ranges(offsets)]
-        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, [pa.bool_()] + [pa.int64()] * 4)], ["given", "key", "tie", "begin", "stop"])
+        """rows: anchor, given, key, tie, more, place, bytes."""
+        found = repeated_starts([r[6] for r in rows], [r[5] & 127 for r in rows], [(*r[1:5], r[5] >> 7) for r in rows])
+        out = [(*r[1:5], p + a, p + b + SPAN - 1) for r, offsets in zip(rows, found) for p in [r[5] >> 7] for a, b in _ranges(offsets)]
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, [pa.bool_()] + [pa.int64()] * 5)], [*ID, "begin", "stop"])
 
+    @V.tidy
     def run(batches):
         rows, group, size = [], [], 0
         for batch in batches:
@@ -402,34 +423,32 @@ def _compared(fetched: DataFrame) -> DataFrame:
                         yield block(rows)
                         rows, size = [], 0
                 group.append(r)
-                size += len(r[4])
+                size += len(r[6])
         if rows or group:
             yield block(rows + group)
 
-    return fetched.where("NOT large").select("anchor", "given", "key", "place", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "given boolean, key long, tie long, begin long, stop long")
+    return fetched.where("NOT large").select("anchor", *ID, "place", "bytes").repartition("anchor").sortWithinPartitions("anchor").mapInArrow(run, "given boolean, key long, tie long, more long, begin long, stop long")
 
 
 def _compared_by_start(fetched: DataFrame) -> DataFrame:
     """The same for anchors with too many distinct segments: each string meets its own copies."""
-    starts = fetched.where("large").select("given", "key", F.shiftright("place", 40).alias("tie"), F.shiftright("place", 7).bitwiseAND(F.lit((1 << 33) - 1)).alias("base"), "place", "bytes")
+    starts = fetched.where("large").select(*ID, F.shiftright("place", 7).alias("base"), "place", "bytes")
     starts = starts.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("place").bitwiseAND(F.lit(127)).cast("int") - 1)))
-    starts = starts.select(F.expr(f"substring(bytes, o + 1, {SPAN})").alias("string"), F.struct("given", "key", "tie", (F.col("base") + F.col("o")).alias("begin")).alias("at"))
+    starts = starts.select(F.expr(f"substring(bytes, o + 1, {SPAN})").alias("string"), F.struct(*ID, (F.col("base") + F.col("o")).alias("begin")).alias("at"))
     first = starts.groupBy("string").agg(F.min("at").alias("first"))
-    return starts.join(first, "string").where("at > first").select("at.given", "at.key", "at.tie", "at.begin", (F.col("at.begin") + SPAN).alias("stop"))
+    return starts.join(first, "string").where("at > first").select(*(f"at.{c}" for c in ID), "at.begin", (F.col("at.begin") + SPAN).alias("stop"))
 
 
-def removals(docs: DataFrame) -> DataFrame:
-    """given, key, tie, begin, stop: byte ranges to remove, which may overlap."""
-    met = checkpoint(_met(_anchored(docs)))
-    release(docs.sparkSession)
+def removals(docs: DataFrame, by_text: bool) -> DataFrame:
+    """given, key, tie, more, begin, stop: byte ranges to remove, which may overlap."""
+    met = checkpoint(_met(_anchored(docs, by_text)))
     wanted = met.where("fetch").drop("fetch")
-    weight = wanted.groupBy("anchor").agg((F.sum(F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1) > ANCHOR_BYTES).alias("large"))
-    fetched = checkpoint(_fetched(docs, wanted.join(weight, "anchor")))
-    release(docs.sparkSession)
-    position = F.shiftright("place", 7).bitwiseAND(F.lit((1 << 33) - 1))
-    copies = met.where("NOT fetch").select("given", "key", F.shiftright("place", 40).alias("tie"), position.alias("begin"), (position + F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1).alias("stop"))
+    size = F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1
+    weight = wanted.groupBy("anchor").agg((F.sum(size) > ANCHOR_BYTES).alias("large"))
+    fetched = checkpoint(_fetched(docs, wanted.join(weight, "anchor"), by_text))
+    position = F.shiftright("place", 7)
+    copies = met.where("NOT fetch").select(*ID, position.alias("begin"), (position + size).alias("stop"))
     compared = checkpoint(_compared(fetched))
-    release(docs.sparkSession)
     return copies.unionByName(compared).unionByName(_compared_by_start(fetched))
 
 
@@ -443,11 +462,12 @@ def merged(begin: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def _with_spans(docs: DataFrame) -> DataFrame:
     """The columns, named d0, d1, ..., the text packed, then whether it was null and its spans."""
-    spans = removals(docs).groupBy("given", "key", "tie").agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
+    by_text = _told_apart(docs)
+    spans = removals(docs, by_text).groupBy(*ID).agg(F.collect_list(F.struct("begin", "stop")).alias("spans"))
     names = {c: f"d{k}" for k, c in enumerate(docs.columns)}
     text = docs["text"].cast("string")
-    plain = docs.select(*((text if c == "text" else docs[c]).alias(n) for c, n in names.items()), *_identity(docs), text.isNull().alias("none"))
-    return _packed(plain, names["text"]).join(spans, ["given", "key", "tie"], "left").drop("given", "key", "tie")
+    plain = docs.select(*((text if c == "text" else docs[c]).alias(n) for c, n in names.items()), *_identity(docs, by_text), text.isNull().alias("none"))
+    return _packed(plain, names["text"]).join(spans, [*ID], "left").drop(*ID)
 
 
 def _cut(raw: bytes, spans: list[dict] | None) -> tuple[bytes, int, int]:
@@ -472,6 +492,7 @@ def digests(docs: DataFrame) -> DataFrame:
     before all others.
     """
 
+    @V.tidy
     def run(batches):
         for batch in batches:
             rows = []
@@ -492,6 +513,7 @@ def keep_first(docs: DataFrame) -> DataFrame:
     text, chars = docs.columns.index("text"), docs.columns.index("n_chars") if "n_chars" in docs.columns else None
     schema = docs.schema
 
+    @V.tidy
     def run(batches):
         for batch in batches:
             keep, texts = [], []

@@ -32,5 +32,33 @@ def test_repeats_within_a_repeated_row_go_once(spark):
 
 def test_rows_without_id_are_told_apart_by_more_than_the_tie(spark):
     df = spark.createDataFrame([(None, f"{k}") for k in range(20000)], "doc_id long, text string")
-    assert df.select(*suffix_dedup._identity(df)).distinct().count() == 20000
-    assert df.select(suffix_dedup._tie(df["text"])).distinct().count() < 20000
+    assert df.select(*suffix_dedup._identity(df, True)).distinct().count() == 20000
+
+
+def test_texts_of_one_id_are_told_apart_by_their_whole_hash(spark):
+    """Of many texts under one doc_id, and without any, none loses bytes that stand nowhere else."""
+    texts = [f"{k} " + f"{k:x}{k * 7919:x}{k * 104729:x}-" * 12 for k in range(10000)]
+    df = spark.createDataFrame([(None if k % 2 else 7, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    assert df.select(*suffix_dedup._identity(df, True)).distinct().count() == len(texts)
+    out = suffix_dedup.digests(df).collect()
+    seen, repeats = set(), 0
+    for t in texts:  # within each text its own repeats go, nothing else
+        raw = t.encode()
+        assert not seen & (own := {raw[p : p + 100] for p in range(len(raw) - 99)})
+        seen |= own
+        repeats += len(raw) - 99 > len(own)
+    assert sum(r.n_removed > 0 for r in out) == repeats
+
+
+def test_thue_morse_words_do_not_meet(spark):
+    """Two different texts whose hashes agree under any polynomial modulo 2**64."""
+    a = "a"
+    while len(a) < 4096:
+        a += a.translate({97: 98, 98: 97})
+    b = a.translate({97: 98, 98: 97})
+    head = "one beginning that both texts share, of more than forty bytes in all, "
+    out = suffix_dedup.digests(spark.createDataFrame([(1, head + a), (2, head + b)], "doc_id long, text string")).collect()
+    from tests.llm.test_dedup import removed
+
+    want = removed([(1, head + a), (2, head + b)])
+    assert {r.doc_id: r.n_removed for r in out} == {k: int(m.sum()) for (k, _), m in want.items()}
