@@ -2,9 +2,11 @@
 
 Shingles have one global order: frequent ones last, the rest by hash.  Two sets that overlap
 enough share one of the first few shingles in that order, so documents meet at those; the
-least document met is the hub of all that meet there, and each hub's sets go into one trie.
-Sets probe the trie with what overlap its shared paths give, and leave every subtree whose
-remaining lengths cannot reach the bound.  Links become components by star contractions.
+least set met is the hub of all that meet there, and each hub's sets go into one trie, or
+several where they are many: each of these also holds the hub's set, and only sets that are not
+connected to it there meet the sets of the other tries.  Sets probe a trie with what overlap its
+shared paths give, and leave every subtree whose remaining lengths cannot reach the bound.
+Links become components by star contractions.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ WORDS = 5
 #: Two sets link when SIMILARITY[1] * intersection >= SIMILARITY[0] * union.
 SIMILARITY = (80, 100)
 #: Shingles counted at once where frequent ones are sought, and how often one must occur among them to be counted.
-COUNTED_TOGETHER, COUNTED_FROM = 4_000_000, 8
+COUNTED_TOGETHER, COUNTED_FROM = 2_000_000, 8
 #: So many of the most frequent shingles stand last in the global order; which ones they are only changes the work.
 FREQUENT = 100_000
 FREQUENT_FROM = 48
-#: Sets of one trie; a hub with more meets in pairs of blocks.
-BLOCK = 1024
+#: Sets of one trie; a hub with more has them in blocks.
+BLOCK = 256
 SALTS = 32
 #: Beyond the first shingles that a link needs, one in so many of a set's shingles is looked at too; a set of which
 #: fewer than as many meet another set there cannot link.
@@ -46,7 +48,7 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
     n = len(offsets) - 1
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(n + 1, np.int64)
-    h = V.span_hash(V.prefix_hash(data), starts, ends)
+    h = V.hashes(V.lanes(data), data, starts, ends)
     count = np.diff(first)
     doc = np.repeat(np.arange(n), count)
     size = np.minimum(count, words)[doc]  # words of the shingle that begins here
@@ -68,30 +70,39 @@ def shingles(data: np.ndarray, offsets: np.ndarray, words: int) -> tuple[np.ndar
 
 
 def _classes(keys: np.ndarray, first: np.ndarray) -> np.ndarray:
-    """One hash per set: equal sets, equal class."""
-    total = np.concatenate([[np.uint64(0)], np.cumsum(V.mix(keys + np.uint64(77)))])
-    return V.mix((total[first[1:]] - total[first[:-1]]) + np.diff(first).astype(np.uint64)).view(np.int64)
+    """Two hashes of each set (rows), 128 bits in all: equal sets, equal class."""
+    size = np.diff(first).astype(np.uint64)
+    out = []
+    for salt, odd in ((77, 1), (1009, 0x9E3779B97F4A7C15)):
+        total = np.concatenate([[np.uint64(0)], np.cumsum(V.mix(keys * np.uint64(odd) + np.uint64(salt)))])
+        out.append(V.mix((total[first[1:]] - total[first[:-1]]) + size).view(np.int64))
+    return np.stack(out)
 
 
 def _text(docs: DataFrame) -> DataFrame:
-    return docs.where(docs["doc_id"].isNotNull()).select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+    """doc_id, h, text: h is a hash of the text, which finds the texts without doc_id again."""
+    text = docs["text"].cast("string")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def _summary(docs: DataFrame, words: int) -> DataFrame:
-    """Of every document (n not null) its class and size; of shingles frequent somewhere (n null) their count there."""
+    """Of every row (n not null) its class and size; of shingles frequent somewhere (n null) their count there."""
+    names = ["doc_id", "h", "class", "more", "n", "count"]
 
     def counted(keys: list[np.ndarray]):
         distinct, count = np.unique(np.concatenate(keys), return_counts=True)
         often = count >= COUNTED_FROM
         m = int(often.sum())
-        return pa.record_batch([pa.nulls(m, pa.int64()), pa.array(distinct[often].view(np.int64)), pa.nulls(m, pa.int64()), pa.array(count[often])], ["doc_id", "class", "n", "count"])
+        return pa.record_batch([pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(distinct[often].view(np.int64)), pa.nulls(m, pa.int64()), pa.nulls(m, pa.int64()), pa.array(count[often])], names)
 
+    @V.tidy
     def run(batches):
         seen, size = [], 0
         for batch in batches:
-            for i, j, data, offsets in V.parts(batch.column(1)):
+            for i, j, data, offsets in V.parts(batch.column(2)):
                 keys, first = shingles(data, offsets, words)
-                yield pa.record_batch([batch.column(0)[i:j], pa.array(_classes(keys, first)), pa.array(np.diff(first)), pa.nulls(j - i, pa.int64())], ["doc_id", "class", "n", "count"])
+                one, two = _classes(keys, first)
+                yield pa.record_batch([batch.column(0)[i:j], batch.column(1)[i:j], pa.array(one), pa.array(two), pa.array(np.diff(first)), pa.nulls(j - i, pa.int64())], names)
                 seen.append(keys)
                 size += len(keys)
                 if size >= COUNTED_TOGETHER:
@@ -100,7 +111,7 @@ def _summary(docs: DataFrame, words: int) -> DataFrame:
         if size:
             yield counted(seen)
 
-    return _text(docs).mapInArrow(run, "doc_id long, class long, n long, count long")
+    return _text(docs).mapInArrow(run, "doc_id long, h long, class long, more long, n long, count long")
 
 
 def _ordered(keys: np.ndarray, first: np.ndarray, frequent: np.ndarray) -> np.ndarray:
@@ -122,16 +133,18 @@ def _shared(docs: DataFrame, words: int, similarity: tuple[int, int], frequent:
     """
     a, b = similarity
 
+    @V.tidy
     def first_ones(batches):
         for batch in batches:
-            for _, _, data, offsets in V.parts(batch.column(1)):
+            for _, _, data, offsets in V.parts(batch.column(0)):
                 keys, first = shingles(data, offsets, words)
                 n = np.diff(first)
                 take = np.minimum(n, n - -(-a * n // b) + np.maximum(1, n // EXTRA))
-                own = np.repeat(_classes(keys, first), take)
+                own = np.repeat(_classes(keys, first)[0], take)
                 keys = _ordered(keys, first, frequent)[V.ragged(first[:-1], take)]
                 yield pa.record_batch([pa.array(keys.view(np.int64)), pa.array(own), pa.array(np.repeat(n, take))], ["shingle", "class", "n"])
 
+    @V.tidy
     def several(batches):
         """Rows that share a shingle with another class of a size that could link, each class once.
 
@@ -157,7 +170,7 @@ def _shared(docs: DataFrame, words: int, similarity: tuple[int, int], frequent:
             before = rows[-1:].copy(), (met | told)[-1:].copy()
             yield pa.record_batch([pa.array(out[:, k]) for k in range(3)], ["shingle", "class", "n"])
 
-    rows = _text(docs).mapInArrow(first_ones, "shingle long, class long, n long")
+    rows = docs.select(docs["text"].cast("string")).mapInArrow(first_ones, "shingle long, class long, n long")
     return rows.repartition("shingle").sortWithinPartitions("shingle", "n", "class").mapInArrow(several, "shingle long, class long, n long")
 
 
@@ -167,6 +180,7 @@ def _met(shared: DataFrame, similarity: tuple[int, int]) -> DataFrame:
     least = F.greatest(F.lit(1), F.floor(F.floor((a * F.col("n") + b - 1) / b) / EXTRA))
     enough = shared.groupBy("class", "n").agg(F.count(F.lit(1)).alias("met")).where(F.col("met") >= least).select("class")
 
+    @V.tidy
     def hubs(batches):
         last, hub = np.zeros((0, 3), np.int64), None  # the row before the batch, and its shingle's hub
         for batch in batches:
@@ -305,54 +319,100 @@ def trie_links(sets: list[np.ndarray], similarity: tuple[int, int], side: np.nda
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, words: int, frequent: np.ndarray) -> DataFrame:
-    """class, shingles (binary): the sets of the wanted classes; wanted has class and the doc_id to read."""
+    """class, more, shingles (binary): the sets of the wanted classes; wanted has class, more and the doc_id and h of a row."""
 
+    @V.tidy
     def run(batches):
         for batch in batches:
-            asked = batch.column(0).to_numpy()
-            for i, j, data, offsets in V.parts(pa.array(V.unpacked(batch.column(1)), pa.binary())):
+            asked = np.stack([batch.column(k).to_numpy() for k in (0, 1)])
+            for i, j, data, offsets in V.parts(pa.array(V.unpacked(batch.column(2)), pa.binary())):
                 keys, first = shingles(data, offsets, words)
                 own = _classes(keys, first)
                 keys = _ordered(keys, first, frequent)
                 raw, at = keys.astype("<u8").tobytes(), (8 * first).tolist()
-                right = np.flatnonzero(own == asked[i:j]).tolist()
-                yield pa.record_batch([pa.array(own[right]), pa.array([raw[at[k] : at[k + 1]] for k in right], pa.binary())], ["class", "shingles"])
+                right = np.flatnonzero((own == asked[:, i:j]).all(0)).tolist()
+                yield pa.record_batch([pa.array(own[0, right]), pa.array(own[1, right]), pa.array([raw[at[k] : at[k + 1]] for k in right], pa.binary())], ["class", "more", "shingles"])
 
+    @V.tidy
     def pack(batches):
         for batch in batches:
-            yield pa.record_batch([batch.column(0), V.packed(batch.column(1))], ["doc_id", "text"])
+            yield pa.record_batch([*batch.columns[:2], V.packed(batch.column(2))], ["key", "h", "text"])
 
-    return _text(docs).mapInArrow(pack, "doc_id long, text binary").join(wanted, "doc_id").select("class", "text").mapInArrow(run, "class long, shingles binary").dropDuplicates(["class"])
+    packed = _text(docs).select(F.coalesce("doc_id", "h").alias("key"), "h", "text").mapInArrow(pack, "key long, h long, text binary")
+    asked = wanted.select(F.coalesce("doc_id", "h").alias("key"), "h", "class", "more")
+    return packed.join(asked, ["key", "h"]).select("class", "more", "text").mapInArrow(run, "class long, more long, shingles binary").dropDuplicates(["class", "more"])
 
 
 def _linked(met: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> DataFrame:
-    """a, b: classes that link, enough of them to connect whatever links connect."""
+    """a, b: sets (class:more) that link, enough of them to connect whatever links connect.
 
-    def run(batches):
-        def bucket(rows):
-            one = [np.frombuffer(r[4], "<u8") for r in rows]
-            side = None if rows[0][1] == rows[0][2] else np.array([r[5] for r in rows])
-            return [(rows[a][3], rows[b][3]) for a, b in trie_links(one, similarity, side)]
+    A hub of many sets has them in blocks, each with the hub's set.  Sets that a block connects
+    with the hub are connected with each other; the others (loose) then meet every other block.
+    """
+    schema = "a string, b string, hub long, class long, more long, block int"
+    names = ["a", "b", "hub", "class", "more", "block"]
 
-        rows, out = [], []
+    def groups(batches):
+        """Lists of the rows with equal first three columns; a list may span batches."""
+        rows = []
         for batch in batches:
             for r in zip(*(c.to_pylist() for c in batch.columns)):
                 if rows and r[:3] != rows[-1][:3]:
-                    out += bucket(rows)
+                    yield rows
                     rows = []
                 rows.append(r)
+        if rows:
+            yield rows
+
+    def told(out):
+        return pa.record_batch([pa.array(c, k) for c, k in zip(zip(*out), [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int32()])], names)
+
+    name = lambda r: f"{r[3]}:{r[4]}"
+
+    @V.tidy
+    def within(batches):
+        """Rows: hub, block, whether the hub has several, class, more, shingles."""
+        for rows in groups(batches):
+            found = trie_links([np.frombuffer(r[5], "<u8") for r in rows], similarity)
+            out = [(name(rows[a]), name(rows[b]), None, None, None, None) for a, b in found]
+            if rows[0][2]:
+                near, edges = {k for k, r in enumerate(rows) if r[3] == r[0]}, [(a, b) for a, b in found]
+                grown = True
+                while grown:
+                    grown = False
+                    for a, b in edges:
+                        if (a in near) != (b in near):
+                            near |= {a, b}
+                            grown = True
+                out += [(None, None, r[0], r[3], r[4], r[1]) for k, r in enumerate(rows) if k not in near]
             if out:
-                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
-                out = []
-        if rows and (out := bucket(rows)):
-            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out)], ["a", "b"])
+                yield told(out)
+
+    @V.tidy
+    def between(batches):
+        """Rows: hub, x, y, class, more, shingles, block: the loose sets of block x and all sets of y."""
+        for rows in groups(batches):
+            side = np.array([r[6] != r[1] for r in rows])
+            if out := [(name(rows[a]), name(rows[b]), None, None, None, None) for a, b in trie_links([np.frombuffer(r[5], "<u8") for r in rows], similarity, side)]:
+                yield told(out)
 
     blocks = met.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    member = met.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
-    paired = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    buckets = paired.select("hub", F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "class", "block")
-    full = buckets.join(sets, "class").select("hub", "x", "y", "class", "shingles", "block")
-    return full.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(run, "a long, b long")
+    full = met.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    own = F.when((F.col("class") == F.col("hub")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
+    dealt = full.select("hub", F.explode(own).alias("block"), (F.col("blocks") > 1).alias("several"), "class").join(sets, "class").select("hub", "block", "several", "class", "more", "shingles")
+    first = checkpoint(dealt.repartition("hub", "block").sortWithinPartitions("hub", "block").mapInArrow(within, schema))
+    links = first.where("hub IS NULL").select("a", "b")
+    loose = first.where("hub IS NOT NULL")
+    if not loose.limit(1).count():
+        return links
+    from_x = loose.select("hub", F.col("block").alias("x"), "class", "more").distinct()
+    others = full.where("blocks > 1").select("hub", F.col("block").alias("y")).distinct()
+    pairs = from_x.select("hub", "x").distinct().join(others, "hub").where("x <> y")
+    probes = from_x.join(pairs, ["hub", "x"]).select("hub", "x", "y", "class", "more", F.col("x").alias("block"))
+    there = pairs.join(full.where("blocks > 1").withColumnRenamed("block", "y"), ["hub", "y"]).join(sets.select("class", "more"), "class").select("hub", "x", "y", "class", "more", F.col("y").alias("block"))
+    both = probes.unionByName(there).join(sets, ["class", "more"]).select("hub", "x", "y", "class", "more", "shingles", "block")
+    second = both.repartition("hub", "x", "y").sortWithinPartitions("hub", "x", "y").mapInArrow(between, schema).select("a", "b")
+    return links.unionByName(second)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -372,35 +432,62 @@ def components(edges: DataFrame) -> DataFrame:
         edges = small
 
 
-def component_ids(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row.
+def _node():
+    return F.concat_ws(":", "class", "more")
 
-    Equal sets link.  Documents without words, null and empty texts among them, have no
-    shingle and stay alone.  A null doc_id takes no part: its component is null, its n_shingles
-    too.  Rows that share a doc_id are one document whose links are those of all its texts.
-    """
+
+def _joined(docs: DataFrame, words: int, similarity: tuple[int, int]) -> tuple[DataFrame, DataFrame]:
+    """(doc_id, h, class, more, n of every row; node, component, component_id of every set with shingles)."""
     summary = checkpoint(_summary(docs, words))
-    own = summary.where("n IS NOT NULL").select("doc_id", "class", "n")
+    own = summary.where("n IS NOT NULL").select("doc_id", "h", "class", "more", "n")
     often = summary.where("n IS NULL").groupBy("class").agg(F.sum("count").alias("count")).where(F.col("count") >= FREQUENT_FROM).orderBy(F.desc("count"), "class").limit(FREQUENT).collect()
     frequent = np.sort(np.array([r["class"] for r in often], np.int64).view(np.uint64))
-    first = checkpoint(own.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("doc_id")))
+    some = own.where("n > 0")
+    first = checkpoint(some.groupBy("class", "more").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "h")).alias("r")).select("class", "more", "r.doc_id", "r.h"))
     met = checkpoint(_gathered(_met(checkpoint(_shared(docs, words, similarity, frequent)), similarity)))
-    docs.sparkSession.sparkContext._jvm.System.gc()  # lets go of the shingles' shuffle files
     wanted = met.select("class").distinct().join(first, "class")
-    links = checkpoint(_linked(met, _sets(docs, wanted, words, frequent), similarity))
-    named = links.join(first.select(F.col("class").alias("a"), F.col("doc_id").alias("x")), "a").join(first.select(F.col("class").alias("b"), F.col("doc_id").alias("y")), "b").select(F.col("x").alias("a"), F.col("y").alias("b"))
-    same = own.where("n > 0").groupBy("doc_id").agg(F.min("class").alias("p"), F.max("class").alias("q")).where("p <> q")  # several texts of one doc_id
-    own_first = own.where("n > 0").join(same.select("doc_id"), "doc_id", "left_semi").join(first.select("class", F.col("doc_id").alias("b")), "class").select(F.col("doc_id").alias("a"), "b")
-    found = components(named.unionByName(own_first))
-    by_class = first.join(found, first["doc_id"] == found["node"], "left").select("class", F.coalesce("component", "doc_id").alias("component_id"))
-    salted = by_class.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    with_words = own.where("n > 0").withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["class", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
+    sets = checkpoint(_sets(docs, wanted, words, frequent))
+    links = _linked(met, sets, similarity)
+    named = some.where("doc_id IS NOT NULL").select("doc_id", _node().alias("node"))
+    several = named.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("z")).where("a <> z").select("doc_id", "a")  # several texts of one doc_id
+    found = components(links.unionByName(named.join(several, "doc_id").select("a", F.col("node").alias("b"))))
+    nodes = first.select(_node().alias("node"), "doc_id").join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"), "doc_id")
+    least = nodes.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    return own, nodes.select("node", "component").join(least, "component")
+
+
+def component_ids(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
+    """doc_id, n_shingles, component_id (least doc_id reachable by links) of every row.
+
+    Equal sets link.  Documents without words, null and empty texts among them, have no
+    shingle and stay alone.  Rows without doc_id link like others; where nothing they reach has
+    a doc_id, their component is null.  Rows that share a doc_id are one document whose links
+    are those of all its texts.
+    """
+    own, nodes = _joined(docs, words, similarity)
+    salted = nodes.select("node", "component_id").withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    named = own.where("n > 0").select("doc_id", "n", _node().alias("node"), F.pmod(F.coalesce(F.xxhash64("doc_id"), F.floor(F.rand(5) * SALTS)), F.lit(SALTS)).cast("int").alias("salt"))
+    with_words = named.join(salted, ["node", "salt"]).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
     alone = own.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    nulls = docs.where(docs["doc_id"].isNull()).select(F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("n_shingles"), F.lit(None).cast("long").alias("component_id"))
-    return with_words.unionByName(alone).unionByName(nulls)
+    return with_words.unionByName(alone)
 
 
 def keep_one(docs: DataFrame, words: int = WORDS, similarity: tuple[int, int] = SIMILARITY) -> DataFrame:
-    """Of each component the document of least id, with all columns; documents without an id stay."""
-    kept = component_ids(docs, words, similarity).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns).unionByName(docs.where(docs["doc_id"].isNull()))
+    """Of each component the document of least id, with all columns.
+
+    Of rows that share this id one stays, that whose text has the least hash.  A component in
+    which nothing has an id keeps one row; rows without id and without words all stay.
+    """
+    own, nodes = _joined(docs, words, similarity)
+    keys = ["_given", "_key", "_h"]
+    named = own.where("n > 0").select("doc_id", "h", _node().alias("node")).distinct()
+    placed = named.join(nodes, "node")
+    by_id = placed.where("doc_id = component_id").select("doc_id", "h").unionByName(own.where("n = 0 AND doc_id IS NOT NULL").join(placed.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "h"))
+    by_id = by_id.groupBy("doc_id").agg(F.min("h").alias("_h")).select(F.lit(True).alias("_given"), F.col("doc_id").alias("_key"), "_h")
+    without = placed.where("component_id IS NULL").groupBy("component").agg(F.min("h").alias("_h")).select(F.lit(False).alias("_given"), F.lit(0).cast("long").alias("_key"), "_h")
+    ident, text = docs["doc_id"].cast("long"), docs["text"].cast("string")
+    columns = {c: f"d{k}" for k, c in enumerate(docs.columns)}
+    rows = docs.select(*(docs[c].alias(n) for c, n in columns.items()), ident.isNotNull().alias("_given"), F.coalesce(ident, F.lit(0).cast("long")).alias("_key"), F.xxhash64(text).alias("_h"), (ident.isNull() & ~F.coalesce(text, F.lit("")).rlike("[^\\x20\\x09-\\x0D]")).alias("_bare"))
+    back = [F.col(n).alias(c) for c, n in columns.items()]
+    kept = rows.join(by_id.unionByName(without), keys, "left_semi").dropDuplicates(keys).select(*back)
+    return kept.unionByName(rows.where("_bare").select(*back))

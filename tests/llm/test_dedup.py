@@ -71,7 +71,9 @@ def shingle_sets(rows, words):
 
 def components(rows, words, similarity):
     a, b = similarity
-    texts, n = shingle_sets([r for r in rows if r[0] is not None], words)
+    """Rows without id are documents of their own; a component's name is its least id, None if it has none."""
+    rows = [(i if i is not None else f"row {k}", t) for k, (i, t) in enumerate(rows)]
+    texts, n = shingle_sets(rows, words)
     parent = {i: i for i in texts}
 
     def find(i):
@@ -89,8 +91,9 @@ def components(rows, words, similarity):
             j, t = flat[m]
             if b * both >= a * (len(s) + len(t) - both):
                 x, y = find(i), find(j)
-                parent[max(x, y)] = min(x, y)
-    return {i: find(i) for i in texts}, n
+                parent[max(x, y, key=lambda i: (isinstance(i, str), i))] = min(x, y, key=lambda i: (isinstance(i, str), i))
+    named = lambda i: None if isinstance(i, str) else i
+    return [(named(i), n[(i, t)], named(find(i))) for i, t in rows]
 
 
 @pytest.mark.parametrize(("words", "similarity", "block"), [(4, (85, 100), 1024), (5, (80, 100), 2)])
@@ -101,9 +104,8 @@ def test_jaccard(spark, docs, odd, clashing, monkeypatch, words, similarity, blo
     more = docs.select("doc_id", "text").unionByName(spark.createDataFrame(near, "doc_id long, text string"))
     for df in (more, odd, clashing, odd.limit(0)):
         rows = [(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()]
-        want, n = components(rows, words, similarity)
         got = jaccard.component_ids(df, words, similarity).collect()
-        assert sorted(((str(r.doc_id), r.n_shingles, r.component_id) for r in got), key=str) == sorted(((str(i), None if i is None else n[(i, t)], None if i is None else want[i]) for i, t in rows), key=str)
+        assert sorted((tuple(r) for r in got), key=str) == sorted(components(rows, words, similarity), key=str)
 
 
 def test_frequent_shingles_only_change_the_order(docs, monkeypatch):
@@ -121,7 +123,39 @@ def test_long_chains_become_one_component(spark):
 def test_keep_one(clashing):
     out = jaccard.keep_one(clashing)
     assert out.columns == clashing.columns
-    assert sorted(str(r.doc_id) for r in out.collect()) == sorted(["1", "3", "4", "5", "6", "7", "8", "9", "None"])
+    assert sorted(r.doc_id for r in out.collect()) == [1, 3, 4, 5, 6, 7, 8, 9]  # the row without id has the shingles of 1
+
+
+def test_rows_without_id_go_where_another_stands_for_them(spark):
+    a, b = ("alpha beta gamma delta epsilon zeta eta theta " * 2).strip(), "one two three four five six seven"
+    df = spark.createDataFrame([(None, a), (None, a), (5, a), (None, b), (None, b), (None, ""), (None, None), (6, ""), (6, "x y z"), (6, "")], "doc_id long, text string")
+    assert sorted(((r.doc_id, r.text) for r in jaccard.keep_one(df).collect()), key=str) == sorted([(5, a), (None, b), (None, ""), (None, None), (6, "x y z")], key=str)
+
+
+def test_thue_morse_words_do_not_link(spark):
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    rows = [(1, a), (2, a.translate({97: 98, 98: 97})), (3, a)]
+    got = jaccard.component_ids(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(1, 1), (2, 2), (3, 1)}
+
+
+def test_large_groups_in_blocks(spark, monkeypatch):
+    """Near copies of one text, some of which only link with some others, in many blocks."""
+    monkeypatch.setattr(jaccard, "BLOCK", 5)
+    rng = np.random.default_rng(2)
+    base = [f"w{k}" for k in range(60)]
+    rows = []
+    for k in range(120):
+        words = list(base)
+        for p in rng.choice(60, int(rng.integers(0, 4)), replace=False):
+            words[p] = f"x{rng.integers(40)}"
+        rows.append((k, " ".join(words)))
+    want = components(rows, 4, (85, 100))
+    got = jaccard.component_ids(spark.createDataFrame(rows, "doc_id long, text string"), 4, (85, 100)).collect()
+    assert sorted(tuple(r) for r in got) == sorted(want)
+    assert len({w[2] for w in want}) > 1
 
 
 def test_fingerprints(docs, odd, clashing):
