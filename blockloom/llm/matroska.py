@@ -3,7 +3,8 @@
 `scan` walks the variable-length elements of a file and yields every frame of every block,
 laced or not, with its track, timestamp and byte range; `packets` and `cues` do so for a
 column.  `write` muxes the frames of one audio track.  `text_media` stores texts as 8-bit
-samples this way and reads them back through the packet table.
+samples this way and reads them back through the packet table: cue by cue, each cluster's
+packets by their times.
 """
 
 from __future__ import annotations
@@ -154,20 +155,38 @@ def frame_sizes(data: bytes, at: int, end: int, kind: int) -> tuple[int, list[in
     return at, sizes
 
 
+def unsigned(data: bytes, at: int, end: int) -> int:
+    if end - at > 8:
+        raise Damaged(f"a number of more than 8 bytes at {at}")
+    return int.from_bytes(data[at:end], "big")
+
+
+def within(value: int, bits: int, what: str, at: int) -> int:
+    """value, if a signed integer of so many bits holds it."""
+    if not -(1 << bits - 1) <= value < 1 << bits - 1:
+        raise Damaged(f"{what} beyond {bits} bits at {at}")
+    return value
+
+
 def scan(data: bytes) -> Iterator[tuple]:
-    """("track", number, type, codec), ("packet", Packet) and ("cue", time_ns, track, place), in file order."""
+    """("track", number, type, codec), ("packet", Packet) and ("cue", time_ns, track, place), in file order.
+
+    An element of unknown size ends where what holds it ends, a cluster also before the next
+    element of its own level, a segment before the next segment or file head.
+    """
     scale, cluster, cluster_at, segment = 10**6, 0, -1, 0
-    stack: list[list] = []  # [id, end, state]
+    stack: list[list] = []  # [id, end, state, whether its size is unknown]
     durations: dict[int, int] = {}  # of each track that tells it, ns a frame
     at, n = 0, len(data)
     while at < n or stack:
         while stack and at >= stack[-1][1]:
-            ident, _, got = stack.pop()
+            ident, _, got, _ = stack.pop()
             if ident == TRACK_ENTRY:
                 durations[got.get(TRACK_NUMBER, 0)] = got.get(DEFAULT_DURATION, 0)
                 yield "track", got.get(TRACK_NUMBER, 0), got.get(TRACK_TYPE, 0), got.get(CODEC, "")
             elif ident == CUE_POSITIONS:
-                yield "cue", stack[-1][2].get(CUE_TIME, 0) * scale, got.get(CUE_TRACK, 0), got.get(CUE_CLUSTER, 0) + segment
+                point = stack[-1][2] if stack else {}
+                yield "cue", within(point.get(CUE_TIME, 0) * scale, 64, "a cue's time", at), within(got.get(CUE_TRACK, 0), 32, "a track", at), within(got.get(CUE_CLUSTER, 0) + segment, 64, "a cue's place", at)
             elif ident == BLOCK_GROUP and BLOCK in got:
                 yield from (("packet", p) for p in _block(data, *got[BLOCK], cluster, cluster_at, scale, durations, REFERENCE not in got))
         if at >= n:
@@ -177,14 +196,18 @@ def scan(data: bytes) -> Iterator[tuple]:
         begin = at
         ident, at = read_vint(data, at, True)
         size, at = read_vint(data, at, False)
-        if ident in TOP:  # ends a cluster or segment of unknown size
-            while stack and stack[-1][1] >= n and stack[-1][0] == CLUSTER:
+        if ident in TOP:
+            ends = (CLUSTER, SEGMENT) if ident in (SEGMENT, EBML) else (CLUSTER,)
+            while stack and stack[-1][3] and stack[-1][0] in ends:
                 stack.pop()
-        end = n if size < 0 else at + size
-        if end > (stack[-1][1] if stack else n):
+        limit = stack[-1][1] if stack else n
+        if size < 0 and ident not in MASTERS:
+            raise Damaged(f"an element without a size at {begin}")
+        end = limit if size < 0 else at + size
+        if end > limit:
             raise Damaged(f"an element at {begin} is longer than what holds it")
         if ident in MASTERS:
-            stack.append([ident, end, {}])
+            stack.append([ident, end, {}, size < 0])
             if ident == SEGMENT:
                 segment = at
             elif ident == CLUSTER:
@@ -192,9 +215,9 @@ def scan(data: bytes) -> Iterator[tuple]:
             continue
         got = stack[-1][2] if stack else {}
         if ident == TIMESTAMP_SCALE:
-            scale = int.from_bytes(data[at:end], "big")
+            scale = unsigned(data, at, end)
         elif ident == TIMESTAMP:
-            cluster = int.from_bytes(data[at:end], "big")
+            cluster = unsigned(data, at, end)
         elif ident == SIMPLE_BLOCK:
             yield from (("packet", p) for p in _block(data, at, end, cluster, cluster_at, scale, durations, None))
         elif ident == BLOCK:
@@ -202,7 +225,7 @@ def scan(data: bytes) -> Iterator[tuple]:
         elif ident == CODEC:
             got[ident] = data[at:end].decode("ascii", "replace")
         elif ident in (TRACK_NUMBER, TRACK_TYPE, CUE_TIME, CUE_TRACK, CUE_CLUSTER, REFERENCE, DEFAULT_DURATION):
-            got[ident] = int.from_bytes(data[at:end], "big")
+            got[ident] = unsigned(data, at, end)
         at = end
 
 
@@ -210,10 +233,12 @@ def _block(data: bytes, at: int, end: int, cluster: int, cluster_at: int, scale:
     track, at = read_vint(data, at, False)
     if at + 3 > end:
         raise Damaged(f"the block ends within its head at {at}")
+    within(track, 32, "a track", at)
     relative, flags = struct.unpack_from(">hB", data, at)
     at, sizes = frame_sizes(data, at + 3, end, flags & 6)
     for k, size in enumerate(sizes):
-        yield Packet(track, (cluster + relative) * scale + k * durations.get(track, 0), at, size, bool(flags & 0x80) if key is None else key, cluster_at, k)
+        time = within((cluster + relative) * scale + k * durations.get(track, 0), 64, "a timestamp", at)
+        yield Packet(track, time, at, size, bool(flags & 0x80) if key is None else key, cluster_at, k)
         at += size
 
 
@@ -252,20 +277,57 @@ def packets(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
 
 
 def cues(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """One row per cue: id, time_ns, track, cluster (its byte place); null media give none, damage ends the list."""
+    """One row per cue: id, time_ns, track, cluster (its byte place), error.
+
+    Null media give none; damaged media give the cues before the damage and then one row with
+    nothing but the error.
+    """
 
     def run(batches):
         for batch in batches:
             rows = []
             for ident, media in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 try:
-                    rows += [(ident, *x[1:]) for x in scan(media or b"") if x[0] == "cue"]
-                except Damaged:
-                    pass
-            cols = list(zip(*rows)) if rows else [()] * 4
-            yield pa.record_batch([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()), pa.array(cols[3], pa.int64())], ["id", "time_ns", "track", "cluster"])
+                    for what, *x in scan(media or b""):
+                        if what == "cue":
+                            rows.append((ident, *x, None))
+                except Damaged as e:
+                    rows.append((ident, None, None, None, str(e)))
+            cols = list(zip(*rows)) if rows else [()] * 5
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, [batch.schema.field(0).type, pa.int64(), pa.int32(), pa.int64(), pa.string()])], ["id", "time_ns", "track", "cluster", "error"])
+
+    return df.select(df[id_col].alias("id"), df[media_col]).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, time_ns long, track int, cluster long, error string")
+
+
+#: Columns of a packet table.
+PACKETS = ("track", "timestamp_ns", "offset", "size", "cluster", "lace")
+
+
+def packet_table(media: bytes) -> tuple[dict[str, np.ndarray], np.ndarray]:
+    """(a column each of PACKETS in file order; time and cluster of the cues, by time) of a whole file."""
+    rows, points = [], []
+    for what, *x in scan(media):
+        if what == "packet":
+            p = x[0]
+            rows.append((p.track, p.timestamp_ns, p.offset, p.size, p.cluster, p.lace))
+        elif what == "cue":
+            points.append((x[0], x[2]))
+    table = np.array(rows, np.int64).reshape(-1, len(PACKETS))
+    return dict(zip(PACKETS, table.T)), np.array(sorted(points), np.int64).reshape(-1, 2)
+
 
-    return df.select(df[id_col].alias("id"), df[media_col]).mapInArrow(run, f"id {df.schema[id_col].dataType.simpleString()}, time_ns long, track int, cluster long")
+def read_back(media: bytes, table: dict[str, np.ndarray], points: np.ndarray) -> np.ndarray:
+    """The samples: the clusters in the order of their cues, the packets of a cluster by time."""
+    turn = np.full(len(table["cluster"]), -1)
+    by_place = np.argsort(points[:, 1], kind="stable")
+    at = np.searchsorted(points[by_place, 1], table["cluster"])
+    cued = at < len(points)
+    cued[cued] &= points[by_place[at[cued]], 1] == table["cluster"][cued]
+    turn[cued] = by_place[at[cued]]
+    if (turn < 0).any():
+        raise Damaged("a cluster without a cue")
+    order = np.lexsort((table["lace"], table["timestamp_ns"], turn))
+    return np.frombuffer(media, np.uint8)[V.ragged(table["offset"][order], table["size"][order])]
 
 
 def payload(text: bytes) -> bytes:
@@ -273,23 +335,24 @@ def payload(text: bytes) -> bytes:
     return text + PAD * (max(1, -(-len(text) // FRAME)) * FRAME - len(text))
 
 
-def feature(samples: np.ndarray, found: list[Packet]) -> str:
-    """Packets, mean, deviation, crossings of the mean, and the energy of 8 parts of the track."""
+def feature(samples: np.ndarray, table: dict[str, np.ndarray], points: np.ndarray) -> str:
+    """Packets, cues, mean, deviation, crossings of the mean, and the energy of 8 parts of the track."""
     x = samples.astype(np.float64)
     centred = x - x.mean()
     crossings = int(np.count_nonzero(np.signbit(centred[1:]) != np.signbit(centred[:-1])))
     energy = [float((part * part).mean()) if len(part) else 0.0 for part in np.array_split(centred, 8)]
-    return f"{len(found)}:{x.mean():.4f}:{x.std():.4f}:{crossings}:" + ",".join(f"{e:.2f}" for e in energy)
+    return f"{len(table['size'])}:{len(points)}:{x.mean():.4f}:{x.std():.4f}:{crossings}:" + ",".join(f"{e:.2f}" for e in energy)
 
 
 def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
-    """Each whole text stored as a file and read back by its packets.
+    """Each whole text stored as a file and read back by its cues and packets.
 
     doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256,
     feature, packets, and with keep_media the file as `media`.  Null and empty texts give one
     frame of filling; equal texts give equal values; repeated rows are repeated.
     """
 
+    @V.tidy
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in V.parts(batch.column(1)):
@@ -297,9 +360,10 @@ def text_media(docs: DataFrame, keep_media: bool = False) -> DataFrame:
                 for a, b in zip(at, at[1:]):
                     body = payload(raw[a:b])
                     media = write([body[k : k + FRAME] for k in range(0, len(body), FRAME)])
-                    found = [x[1] for x in scan(media) if x[0] == "packet"]
-                    back = b"".join([media[p.offset : p.offset + p.size] for p in found])
-                    rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(np.frombuffer(back, np.uint8), found), len(found), *[media] * keep_media))
+                    table, points = packet_table(media)
+                    samples = read_back(media, table, points)
+                    back = samples.tobytes()
+                    rows.append((b - a, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(samples, table, points), len(table["size"]), *[media] * keep_media))
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int32(), pa.binary()]
                 yield pa.record_batch([batch.column(0)[i:j], *(pa.array(c, k) for c, k in zip(zip(*rows), kinds))], names)
 
