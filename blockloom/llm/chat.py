@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from blockloom.llm.session import checkpoint
+
 #: Turns numbered within one multiple of this are placed together; a part has this many turns.
 BLOCK = 1024
 #: If those are more than BLOCK, about one in CUT_AT of them cuts the rest.
@@ -22,16 +24,8 @@ _LANES = ("_h0", "_h1", "_h2", "_h3")
 _ORDER = ("turn", "role", "text")
 
 
-def _same(a: DataFrame, b: DataFrame, names: list[str]):
-    """Equality that holds for nulls too."""
-    out = F.lit(True)
-    for n in names:
-        out = out & a[n].eqNullSafe(b[n])
-    return out
-
-
-def turns(conversations: DataFrame) -> DataFrame:
-    """Distinct turns with their place _k (from 1) in the conversation, its length _n, and the rolling hash.
+def placed(conversations: DataFrame) -> DataFrame:
+    """conv_id, turn, role, text, _block, _k, _n of distinct turns: the place (from 1) in the conversation and its length.
 
     Turns are ordered by number, role and text, nulls first; rows repeated in full count once.
     """
@@ -39,7 +33,7 @@ def turns(conversations: DataFrame) -> DataFrame:
     rows = rows.withColumn("_range", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**53))))
     place, drawn = F.struct(*_ORDER), F.pmod(F.xxhash64(*_ORDER), F.lit(CUT_AT)) == 0
     crowded = rows.groupBy("conv_id", "_range").agg(F.count(F.lit(1)).alias("_many"), F.array_sort(F.collect_list(F.when(drawn, place))).alias("_cuts")).where(F.col("_many") > BLOCK)
-    rows = rows.alias("r").join(F.broadcast(crowded.alias("c")), F.expr("r.conv_id <=> c.conv_id AND r._range = c._range"), "left").select("r.*", "c._cuts")
+    rows = rows.alias("r").join(crowded.alias("c"), F.expr("r.conv_id <=> c.conv_id AND r._range = c._range"), "left").select("r.*", "c._cuts")
     sub = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
     rows = rows.withColumn("_block", F.struct("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(sub).alias("sub"))).drop("_cuts", "_range")
     within = Window.partitionBy("conv_id", "_block").orderBy(*(F.col(c).asc_nulls_first() for c in _ORDER))
@@ -50,17 +44,20 @@ def turns(conversations: DataFrame) -> DataFrame:
         F.coalesce(F.sum("_turns").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_turns").over(whole).alias("_n"),
     )
-    placed = rows.withColumn("_in_block", F.row_number().over(within)).alias("r").join(blocks.alias("b"), F.expr("r.conv_id <=> b.conv_id AND r._block = b._block")).select("r.*", "b._n", (F.col("b._before") + F.col("r._in_block")).alias("_k"))
-    placed = placed.withColumn("_part", F.floor((F.col("_k") - 1) / BLOCK))
+    return rows.withColumn("_in_block", F.row_number().over(within)).alias("r").join(blocks.alias("b"), F.expr("r.conv_id <=> b.conv_id AND r._block = b._block")).select("r.conv_id", *(f"r.{c}" for c in _ORDER), "r._block", (F.col("b._before") + F.col("r._in_block")).alias("_k"), "b._n")
+
+
+def rolling(turns: DataFrame) -> DataFrame:
+    """conv_id, _k, _n and the rolling hash at every place; turns is placed(...)."""
     content = F.sha2(F.concat_ws(":", F.col("_k").cast("string"), F.to_json(F.struct("role", "text"))), 256)
-    lanes = placed.withColumn("_g", content).withColumns({h: F.conv(F.substring("_g", 1 + 8 * k, 8), 16, 10).cast("long") for k, h in enumerate(_LANES)}).drop("_g")
+    lanes = turns.select("conv_id", "_block", "_k", "_n", content.alias("_g")).withColumns({h: F.conv(F.substring("_g", 1 + 8 * k, 8), 16, 10).cast("long") for k, h in enumerate(_LANES)}).drop("_g")
     running = Window.partitionBy("conv_id", "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = lanes.groupBy("conv_id", "_block").agg(*(F.sum(h).alias(h) for h in _LANES))
-    earlier = whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("conv_id", "_block", *(F.coalesce(F.sum(h).over(earlier), F.lit(0)).alias(f"{h}b") for h in _LANES))
     rolled = lanes.withColumns({h: F.sum(h).over(running) for h in _LANES})
     joined = rolled.alias("r").join(sums.alias("s"), F.expr("r.conv_id <=> s.conv_id AND r._block = s._block"))
-    return joined.select("r.conv_id", "r.turn", "r.role", "r.text", "r._part", "r._k", "r._n", *((F.col(f"r.{h}") + F.col(f"s.{h}b")).alias(h) for h in _LANES))
+    return joined.select("r.conv_id", "r._k", "r._n", *((F.col(f"r.{h}") + F.col(f"s.{h}b")).alias(h) for h in _LANES))
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
@@ -77,13 +74,13 @@ def collapse_and_render(conversations: DataFrame) -> DataFrame:
     A null text is rendered as empty and a null role as `unknown`; turns with null ids form
     one conversation.  No rows give no rows; other columns are ignored.
     """
-    rolled = turns(conversations)
-    kept = maximal(rolled)
-    parts = rolled.select("conv_id", "_part").distinct().alias("p").join(kept.alias("k"), F.expr("p.conv_id <=> k.conv_id"), "left_semi")
+    plain = conversations.select("conv_id", "turn", "role", "text")
+    kept = maximal(checkpoint(rolling(placed(plain))))  # read twice
+    own = plain.alias("c").join(kept.alias("k"), F.expr("c.conv_id <=> k.conv_id"), "left_semi").select("c.*")
     segment = F.concat(F.lit(OPEN), F.coalesce("role", F.lit("unknown")), F.lit(BETWEEN), F.coalesce("text", F.lit("")), F.lit(CLOSE))
-    chosen = rolled.select("conv_id", "_part", "_k", "_n", segment.alias("_segment")).alias("r").join(parts.alias("p"), F.expr("r.conv_id <=> p.conv_id AND r._part = p._part"), "left_semi")
-    joined = chosen.groupBy("conv_id", "_part", "_n").agg(F.array_sort(F.collect_list(F.struct("_k", "_segment"))).alias("_all"))
-    return joined.select("conv_id", F.col("_part").cast("int").alias("part"), F.col("_n").alias("n_turns"), F.array_join(F.col("_all._segment"), "").alias("rendered"))
+    part = F.floor((F.col("_k") - 1) / BLOCK).cast("int")
+    joined = placed(own).groupBy("conv_id", part.alias("part"), "_n").agg(F.array_sort(F.collect_list(F.struct("_k", segment.alias("_segment")))).alias("_all"))
+    return joined.select("conv_id", "part", F.col("_n").alias("n_turns"), F.array_join(F.col("_all._segment"), "").alias("rendered"))
 
 
 def collapse_whole(conversations: DataFrame) -> DataFrame:
@@ -96,7 +93,7 @@ ORACLE = """
 WITH t AS (
   SELECT DISTINCT conv_id, turn, role, text FROM conversations
 ), c AS (
-  SELECT conv_id, count(*) AS n, list(coalesce(role, '') || chr(31) || coalesce(text, '') ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
+  SELECT conv_id, count(*) AS n, list(coalesce('is ' || role, 'none') || chr(31) || coalesce('is ' || text, 'none') ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS turns,
     string_agg('<|im_start|>' || coalesce(role, 'unknown') || chr(10) || coalesce(text, '') || '<|im_end|>' || chr(10), '' ORDER BY turn NULLS FIRST, role NULLS FIRST, text NULLS FIRST) AS rendered
   FROM t GROUP BY conv_id
 ), once AS (

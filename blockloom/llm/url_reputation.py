@@ -74,8 +74,10 @@ def reputation(pages: DataFrame, outcomes: DataFrame) -> DataFrame:
     pages has page_id and _host; outcomes has page_id and good (0 or 1), several of one page
     count as their least.  Hosts without outcomes take their domain's rate.
     """
-    known = outcomes.where(F.col("good").isin(0, 1)).groupBy("page_id").agg(F.min("good").alias("good"))
-    hosts = pages.join(known, "page_id", "left").groupBy("_host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
+    known = outcomes.where(F.col("good").isin(0, 1) & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.min("good").alias("good"))
+    named = pages.where("page_id IS NOT NULL").join(known, "page_id", "left").select("_host", "good")
+    hosts = named.unionByName(pages.where("page_id IS NULL").select("_host", F.lit(None).cast("int").alias("good")))  # these meet no outcome, and not each other
+    hosts = hosts.groupBy("_host").agg(F.count("good").alias("n"), F.coalesce(F.sum("good"), F.lit(0)).alias("good"))
     hosts = checkpoint(hosts.withColumns({"_domain": domain_of(F.col("_host")), "_suffix": suffix_of(F.col("_host"))}))  # read by every level
     domains = hosts.groupBy("_domain", "_suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
     suffixes = domains.groupBy("_suffix").agg(F.sum("n").alias("n"), F.sum("good").alias("good"))
@@ -107,7 +109,7 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules: list[Rule]) -> DataFrame
 
 RULES: list[Rule] = [("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"), ("block", "net", "/es/"), ("block", "net", "/fr/")]
 
-ORACLE = """
+ORACLE = f"""
 WITH own AS (
   SELECT page_id,
     translate(coalesce(regexp_extract(url, '://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
@@ -117,8 +119,10 @@ WITH own AS (
   SELECT doc_id AS page_id, min(quality) AS good FROM labels WHERE quality IN (0, 1) GROUP BY doc_id
 ), hosts AS (
   SELECT host, count(good) AS n, coalesce(sum(good), 0) AS good,
-    array_to_string(list_slice(string_split(host, '.'), greatest(len(string_split(host, '.')) - 1, 1), len(string_split(host, '.'))), '.') AS domain,
-    list_extract(string_split(host, '.'), -1) AS suffix
+    string_split(host, '.') AS labels,
+    array_to_string(labels[-2:], '.') IN ({", ".join(f"'{x}'" for x in LONG_SUFFIXES)}) AS long,
+    array_to_string(labels[(CASE WHEN long THEN -3 ELSE -2 END):], '.') AS domain,
+    array_to_string(labels[(CASE WHEN long THEN -2 ELSE -1 END):], '.') AS suffix
   FROM own LEFT JOIN known USING (page_id) GROUP BY host
 ), domains AS (
   SELECT domain, suffix, sum(n) AS n, sum(good) AS good FROM hosts GROUP BY domain, suffix
@@ -128,17 +132,17 @@ WITH own AS (
   SELECT *, (SELECT (sum(good) + 1.0) / (sum(n) + 2.0) FROM suffixes) AS rate FROM suffixes
 ), sa AS (
   SELECT CASE WHEN scale = 0 OR beyond <= 0 THEN 5000.0 ELSE least(greatest(scale / beyond - 1, 1.0), 5000.0) END AS s
-  FROM (SELECT sum(pow(good - n * rate, 2) - n * rate * (1 - rate)) AS beyond, sum(n * (n - 1) * rate * (1 - rate)) AS scale FROM a)
+  FROM (SELECT sum(pow(good - n * p, 2) - n * p * (1 - p)) AS beyond, sum(n * (n - 1) * p * (1 - p)) AS scale FROM (SELECT *, least(greatest(rate, 0.001), 0.999) AS p FROM a))
 ), b AS (
   SELECT d.domain, d.n, d.good, (a.good + s * a.rate) / (a.n + s) AS rate FROM domains d JOIN a USING (suffix), sa
 ), sb AS (
   SELECT CASE WHEN scale = 0 OR beyond <= 0 THEN 5000.0 ELSE least(greatest(scale / beyond - 1, 1.0), 5000.0) END AS s
-  FROM (SELECT sum(pow(good - n * rate, 2) - n * rate * (1 - rate)) AS beyond, sum(n * (n - 1) * rate * (1 - rate)) AS scale FROM b)
+  FROM (SELECT sum(pow(good - n * p, 2) - n * p * (1 - p)) AS beyond, sum(n * (n - 1) * p * (1 - p)) AS scale FROM (SELECT *, least(greatest(rate, 0.001), 0.999) AS p FROM b))
 ), c AS (
   SELECT h.host, h.n, h.good, (b.good + s * b.rate) / (b.n + s) AS rate FROM hosts h JOIN b USING (domain), sb
 ), sc AS (
   SELECT CASE WHEN scale = 0 OR beyond <= 0 THEN 5000.0 ELSE least(greatest(scale / beyond - 1, 1.0), 5000.0) END AS s
-  FROM (SELECT sum(pow(good - n * rate, 2) - n * rate * (1 - rate)) AS beyond, sum(n * (n - 1) * rate * (1 - rate)) AS scale FROM c)
+  FROM (SELECT sum(pow(good - n * p, 2) - n * p * (1 - p)) AS beyond, sum(n * (n - 1) * p * (1 - p)) AS scale FROM (SELECT *, least(greatest(rate, 0.001), 0.999) AS p FROM c))
 ), hosts_rated AS (
   SELECT host, n, s, (good + s * rate) / (n + s) AS good_rate FROM c, sc
 ), rules(action, rule_host, rule_path) AS (
