@@ -1,9 +1,13 @@
 """Quality classifier: hierarchical empirical Bayes over documents and the sites they stand on.
 
-A logistic classifier gives each text its evidence.  Labelled outcomes are summed for each
-host and each path below it; rates shrink from path to host and from host to the global rate,
-with strengths fitted to how much the sites really differ.  A document's posterior combines
-both: the classifier's log odds moved by its site's.
+A logistic classifier gives each text its evidence, from its words and its shape.  Labelled
+outcomes are summed for each host and each path below it; rates shrink from path to host and
+from host to the global rate, with strengths fitted to how much the sites really differ.  A
+document's posterior combines both: the classifier's log odds moved by its site's.
+
+Documents are dealt into folds by their id.  What judges a document, classifier and rates, has
+seen the labels of the other folds only, so a document's own label never vouches for it and the
+posteriors of labelled documents measure how good the judgement is.
 """
 
 from __future__ import annotations
@@ -20,7 +24,13 @@ from blockloom.llm.session import checkpoint
 
 #: Labelled documents of either class that the classifier is fitted on; of more, those least by hash.
 TRAIN_PER_CLASS = 3000
-#: Sites are broadcast up to this many rows (of about 100 bytes), and joined by salted keys beyond.
+#: Of these, texts of more bytes are not learned from.
+TRAIN_BYTES = 64 << 10
+#: Folds of documents; each is judged by the labels of the others.
+FOLDS = 5
+#: Words are told apart by so many buckets in the lexical feature.
+BUCKETS = 1 << 14
+#: Sites (FOLDS rows each) are broadcast up to this many rows (of about 100 bytes), and joined by salted keys beyond.
 BROADCAST_SITES = 50_000
 SALTS = 32
 #: A document stays if its posterior is this at least.
@@ -28,7 +38,7 @@ KEEP_AT = 0.5
 #: Prior strengths stay within these numbers of labels.
 STRENGTH = (2.0, 2000.0)
 
-FEATURES = ("log_words", "symbols", "digits", "capitals", "commas_stops", "bars", "short_words", "long_words", "distinct_words", "most_frequent_word", "marked_words", "repeated_lines", "lines_per_word", "word_length")
+FEATURES = ("log_words", "symbols", "digits", "capitals", "commas_stops", "bars", "short_words", "long_words", "distinct_words", "most_frequent_word", "marked_words", "repeated_lines", "lines_per_word", "word_length")  # and the lexical one
 _SYMBOL = np.isin(np.arange(256), np.frombuffer(b"#$%&*@^~=+<>{}[]\\/_", np.uint8))
 _STOP = np.isin(np.arange(256), np.frombuffer(b".,;:!?", np.uint8))
 _DIGIT = np.isin(np.arange(256), np.frombuffer(b"0123456789", np.uint8))
@@ -78,15 +88,40 @@ def features(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return np.stack(out, 1) if n else np.zeros((0, len(FEATURES)))
 
 
+def vocabulary(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, first of each document): the distinct buckets of each document's words and pairs of neighbouring words."""
+    low = V.lower(data)
+    starts, ends, first = V.words(low, offsets)
+    one = V.hashes(V.lanes(low), low, starts, ends)
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(first))
+    pairs = V.mix(one[1:] + V.mix(one[:-1])) if len(one) else one
+    same = doc[1:] == doc[:-1]
+    key = np.concatenate([doc, doc[1:][same]]) * BUCKETS + (np.concatenate([one, pairs[same]]) >> np.uint64(40)).astype(np.int64) % BUCKETS
+    key = np.unique(key)
+    return key % BUCKETS, np.searchsorted(key, np.arange(len(offsets)) * BUCKETS)
+
+
 @dataclass
 class Classifier:
+    words: np.ndarray  # of each bucket the log odds of good
     mean: np.ndarray
     scale: np.ndarray
     weights: np.ndarray
 
-    def evidence(self, x: np.ndarray) -> np.ndarray:
-        """Log odds of good, of which the share of good documents is already taken out."""
-        return np.clip(expand((x - self.mean) / self.scale) @ self.weights, -12, 12)
+    def evidence(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Log odds of good of each text, of which the share of good documents is already taken out."""
+        buckets, first = vocabulary(data, offsets)
+        return self.combined(features(data, offsets), _mean(self.words[buckets], first))
+
+    def combined(self, x: np.ndarray, lexical: np.ndarray) -> np.ndarray:
+        return np.clip((expand((np.column_stack([x, lexical]) - self.mean) / self.scale) * self.weights).sum(1), -12, 12)
+
+
+def _mean(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Of each document the mean of its values, 0 without any."""
+    total = np.zeros(len(first) - 1)
+    np.add.at(total, np.repeat(np.arange(len(total)), np.diff(first)), values)
+    return total / np.maximum(np.diff(first), 1)
 
 
 def expand(z: np.ndarray) -> np.ndarray:
@@ -94,11 +129,20 @@ def expand(z: np.ndarray) -> np.ndarray:
     return np.concatenate([np.ones((len(z), 1)), z, z * z / 4], 1)
 
 
-def train(x: np.ndarray, y: np.ndarray) -> Classifier:
-    """Ridge logistic regression by Newton steps, both classes weighing the same."""
+def train(x: np.ndarray, buckets: np.ndarray, first: np.ndarray, y: np.ndarray) -> Classifier:
+    """Ridge logistic regression by Newton steps, both classes weighing the same.
+
+    x has the shapes, buckets and first the words of the texts.  The lexical feature of a text
+    is the mean log odds of its words, counted without the text itself.
+    """
+    d = len(FEATURES) + 1
     if len(np.unique(y)) < 2:
-        d = len(FEATURES)
-        return Classifier(np.zeros(d), np.ones(d), np.zeros(1 + 2 * d))
+        return Classifier(np.zeros(BUCKETS), np.zeros(d), np.ones(d), np.zeros(1 + 2 * d))
+    own = y[np.repeat(np.arange(len(y)), np.diff(first))]
+    hits, totals = np.stack([np.bincount(buckets[own == k], minlength=BUCKETS) for k in (0, 1)]).astype(np.float64), np.bincount(y, minlength=2)
+    odds = lambda good, bad, n_good, n_bad: np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
+    alone = odds(hits[1][buckets] - own, hits[0][buckets] - (1 - own), totals[1] - own, totals[0] - (1 - own))
+    x = np.column_stack([x, _mean(alone, first)])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     a = expand((x - mean) / scale)
     w = np.zeros(a.shape[1])
@@ -110,7 +154,12 @@ def train(x: np.ndarray, y: np.ndarray) -> Classifier:
         w = w + step
         if np.abs(step).max() < 1e-6:
             break
-    return Classifier(mean, scale, w)
+    return Classifier(odds(hits[1], hits[0], *totals[::-1]), mean, scale, w)
+
+
+def fold(column: Column) -> Column:
+    """crc32 of the id as text, modulo FOLDS; a null id, which has no label, counts as fold 0."""
+    return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(0)).cast("int")
 
 
 def outcomes(labels: DataFrame, label: str = "quality") -> DataFrame:
@@ -118,20 +167,31 @@ def outcomes(labels: DataFrame, label: str = "quality") -> DataFrame:
     return labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.min("y").alias("y"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> Classifier:
-    """The classifier, from at most per_class labelled documents of either class."""
+def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) -> list[Classifier]:
+    """For each fold the classifier of the other folds, from at most per_class labelled documents of either class in all.
+
+    Of rows that share a doc_id the least text counts.
+    """
     known = outcomes(labels)
     pick = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
     sample = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(F.broadcast(pick[0].unionAll(pick[1])), "doc_id")
+    sample = sample.where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
     def run(batches):
         for batch in batches:
-            for i, j, data, offsets in V.parts(batch.column(1)):
-                yield pa.record_batch([batch.column(0)[i:j], pa.array(list(features(data, offsets)), pa.list_(pa.float64()))], ["y", "x"])
+            for i, j, data, offsets in V.parts(batch.column(2)):
+                buckets, first = vocabulary(data, offsets)
+                yield pa.record_batch([*(batch.column(k)[i:j] for k in range(2)), pa.array(list(features(data, offsets)), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets, pa.int32()))], ["fold", "y", "x", "words"])
+
+    rows = sample.select(fold(F.col("doc_id")), "y", "text").mapInArrow(run, "fold int, y int, x array<double>, words array<int>").collect()  # 2 * per_class rows of at most BUCKETS numbers
+    rows.sort(key=lambda r: (r.y, r.x, r.words))
+    return [_trained([r for r in rows if r.fold != k]) for k in range(FOLDS)]
+
 
-    rows = sample.select("y", "text").mapInArrow(run, "y int, x array<double>").collect()  # 2 * per_class short rows at most
-    rows.sort(key=lambda r: (r.y, r.x))
-    return train(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.array([r.y for r in rows], np.int64))
+def _trained(rows: list) -> Classifier:
+    words = [np.array(r.words, np.int64) for r in rows]
+    first = np.cumsum([0, *(len(w) for w in words)])
+    return train(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.concatenate([np.zeros(0, np.int64), *words]), first, np.array([r.y for r in rows], np.int64))
 
 
 def strength(groups: DataFrame, rate: Column) -> float:
@@ -149,45 +209,58 @@ def strength(groups: DataFrame, rate: Column) -> float:
 
 
 def sites(docs: DataFrame, labels: DataFrame, host: str = "source", path: str = "lang") -> DataFrame:
-    """_host, _path, site_rate, site_labels of every site with documents, and the global rate.
+    """_host, _path, _fold, site_rate, host_rate, site_labels, global_rate of every site with documents.
 
-    Sums are per group, so the map side combines a hot host.  Null hosts and paths are a site
-    of their own.
+    The rates for a fold are of the labels of all other folds.  Sums are per group, so the map
+    side combines a hot host.  Null hosts and paths are a site of their own.
     """
     key = docs.select("doc_id", F.coalesce(F.col(host).cast("string"), F.lit("\0")).alias("_host"), F.coalesce(F.col(path).cast("string"), F.lit("\0")).alias("_path"))
-    counts = checkpoint(key.join(outcomes(labels), "doc_id", "left").groupBy("_host", "_path").agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good")))  # read five times
-    total = counts.agg(F.sum("n").alias("n"), F.sum("good").alias("good")).first()
-    overall = ((total["good"] or 0) + 1) / ((total["n"] or 0) + 2)
-    hosts = counts.groupBy("_host").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
-    a = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_good").alias("good")), F.lit(overall))
+    named = key.where("doc_id IS NOT NULL").join(outcomes(labels), "doc_id", "left").unionByName(key.where("doc_id IS NULL").withColumn("y", F.lit(None).cast("int")))  # no label belongs to a null id
+    counts = checkpoint(named.groupBy("_host", "_path", fold(F.col("doc_id")).alias("_in")).agg(F.count("y").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("good")))  # read several times
+    folds = F.explode(F.sequence(F.lit(0), F.lit(FOLDS - 1))).alias("_fold")
+    others = counts.select("_host", "_path", "_in", folds, "n", "good").groupBy("_host", "_path", "_fold").agg(*(F.sum(F.when(F.col("_in") != F.col("_fold"), F.col(c)).otherwise(0)).alias(c) for c in ("n", "good")))
+    hosts = others.groupBy("_host", "_fold").agg(F.sum("n").alias("host_n"), F.sum("good").alias("host_good"))
+    totals = {r["_fold"]: r for r in others.groupBy("_fold").agg(F.sum("n").alias("n"), F.sum("good").alias("good")).collect()}  # FOLDS rows
+    rate_of = {k: (r["good"] + 1) / (r["n"] + 2) for k, r in totals.items()}
+    overall = F.lit(0.5)
+    for k, v in rate_of.items():
+        overall = F.when(F.col("_fold") == k, F.lit(v)).otherwise(overall)
+    a = strength(hosts.select(F.col("host_n").alias("n"), F.col("host_good").alias("good"), "_fold"), overall)
     hosts = hosts.withColumn("host_rate", (F.col("host_good") + a * overall) / (F.col("host_n") + a))
-    both = counts.join(hosts, "_host")
+    both = others.join(hosts, ["_host", "_fold"])
     b = strength(both, F.col("host_rate"))
-    return both.select("_host", "_path", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("site_rate"), "host_rate", F.col("n").alias("site_labels"), F.lit(overall).alias("global_rate"))
+    return both.select("_host", "_path", "_fold", ((F.col("good") + b * F.col("host_rate")) / (F.col("n") + b)).alias("site_rate"), "host_rate", F.col("n").alias("site_labels"), overall.alias("global_rate"))
 
 
-def judged(docs: DataFrame, labels: DataFrame, columns: list[str], host: str = "source", path: str = "lang", model: Classifier | None = None) -> DataFrame:
+def judged(docs: DataFrame, labels: DataFrame, columns: list[str], host: str = "source", path: str = "lang", models: list[Classifier] | None = None) -> DataFrame:
     """The columns, named c0, c1, ..., with _evidence, _host_rate, _site_rate and _posterior (probability of good) of each row."""
-    model = model or fit(docs, labels)
+    models = models or fit(docs, labels)
     place = len(columns)
 
+    @V.tidy
     def run(batches):
         for batch in batches:
             for i, j, data, offsets in V.parts(batch.column(place)):
                 part = batch.slice(i, j - i)
-                yield pa.record_batch([*part.columns[:place], *part.columns[place + 1 :], pa.array(model.evidence(features(data, offsets)))], names)
+                own = part.column(place + 3).to_numpy()
+                x, (buckets, first) = features(data, offsets), vocabulary(data, offsets)
+                evidence = np.zeros(j - i)
+                for k, model in enumerate(models):
+                    mine = own == k
+                    evidence[mine] = model.combined(x, _mean(model.words[buckets], first))[mine]
+                yield pa.record_batch([*part.columns[:place], *part.columns[place + 1 :], pa.array(evidence)], names)
 
     key = [F.coalesce(docs[c].cast("string"), F.lit("\0")).alias(n) for c, n in ((host, "_host"), (path, "_path"))]
     plain = [f"c{k}" for k in range(place)]
-    wide = docs.select(*(docs[c].alias(n) for c, n in zip(columns, plain)), docs["text"].cast("string").alias("_text"), *key)
-    names = [*plain, "_host", "_path", "_evidence"]
+    wide = docs.select(*(docs[c].alias(n) for c, n in zip(columns, plain)), docs["text"].cast("string").alias("_text"), *key, fold(docs["doc_id"]).alias("_fold"))
+    names = [*plain, "_host", "_path", "_fold", "_evidence"]
     scored = wide.mapInArrow(run, wide.drop("_text").withColumn("_evidence", F.lit(0.0)).schema)
     by_site = sites(docs, labels, host, path)
     if by_site.limit(BROADCAST_SITES + 1).count() <= BROADCAST_SITES:
-        joined = scored.join(F.broadcast(by_site), ["_host", "_path"])
+        joined = scored.join(F.broadcast(by_site), ["_host", "_path", "_fold"])
     else:  # a hot site meets its documents in SALTS places
         salted = by_site.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-        joined = scored.withColumn("_salt", F.pmod(F.xxhash64(F.col("_evidence")), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_path", "_salt"])
+        joined = scored.withColumn("_salt", F.pmod(F.xxhash64("_evidence", F.spark_partition_id()), F.lit(SALTS)).cast("int")).join(salted, ["_host", "_path", "_fold", "_salt"])
     odds = F.col("_evidence") + F.log(F.col("site_rate") / (1 - F.col("site_rate")))
     return joined.select(*plain, F.col("_evidence"), F.col("host_rate").alias("_host_rate"), F.col("site_rate").alias("_site_rate"), (1 / (1 + F.exp(-odds))).alias("_posterior"))
 
