@@ -302,13 +302,13 @@ def cut(docs: DataFrame, ranks_path: str, pattern: str, capacity: int = CAPACITY
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """The pieces with sequence_id and offset: sequences of at most `capacity`, gapless from 0.
 
-    pieces has length (1..capacity), doc_id and piece; it is read several times and so should
-    be written out.  Equal rows are packed as often as they occur; no rows give no rows.
+    pieces has length (1..capacity), doc_id, piece and ids_crc32; it is read several times and
+    so has to be written out.  Equal rows are packed as often as they occur; no rows give no rows.
     """
     histogram = {r[0]: r[1] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     where = slots(plan(histogram, capacity))
     buckets = max(16, sum(histogram.values()) // RANKED_TOGETHER)
-    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(buckets)).cast("int"))
+    keyed = pieces.withColumn("_bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.spark_partition_id()), F.lit(buckets)).cast("int"))
     before = keyed.groupBy("length", "_bucket").count().withColumn("_before", F.sum("count").over(Window.partitionBy("length").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1))).select("length", "_bucket", F.coalesce("_before", F.lit(0)).alias("_before"))
     ranked = keyed.withColumn("_rank", F.row_number().over(Window.partitionBy("length", "_bucket").orderBy("doc_id", "piece", "ids_crc32")) - 1).join(before, ["length", "_bucket"]).withColumn("_rank", F.col("_rank") + F.col("_before")).select(*pieces.columns, "_rank")
     key = (where["length"] << 40) + where["rank"]
