@@ -28,7 +28,7 @@ COUNTED_TOGETHER, COUNTED_FROM = 2_000_000, 8
 FREQUENT = 100_000
 FREQUENT_FROM = 48
 #: Sets of one trie; a hub with more has them in blocks.
-BLOCK = 256
+BLOCK = 512
 SALTS = 32
 #: Beyond the first shingles that a link needs, one in so many of a set's shingles is looked at too; a set of which
 #: fewer than as many meet another set there cannot link.
