@@ -45,7 +45,7 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best-fit packing", packing_stage),
 ]
 
-#: No stage but the last could be told in SQL: models, tries and suffix arrays are tested against brute force.
+#: Models, tries and suffix arrays are beyond SQL; tests/llm holds each stage's operator against plain Python.
 ORACLE_SQL = None
 
 
