@@ -10,7 +10,6 @@ is written to the checkpoint folder after every iteration.
 from __future__ import annotations
 
 import io
-import tempfile
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,8 +17,10 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators.iterate import ROW, Iterate
 from blockloom.operators.presolve import fix, fixed_columns, inequalities_to_equalities
 from blockloom.plans.lp import Problem
+from blockloom.session import checkpoint
 
 DUAL_REGULAR, PRIMAL_REGULAR = 1e-10, 1e-9
 SCHEMA = "block int, data binary"
@@ -35,6 +36,7 @@ class Solution:
     mu: float
     residual: float
     history: list[tuple[float, float]]
+    iterate: Iterate  # x, duals and gaps of the problem as it was given
 
 
 def _dump(d: dict) -> bytes:
@@ -48,13 +50,6 @@ def _load(raw: bytes) -> dict:
         return {k: z[k] for k in z.files}
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint(eager=True)
-
-
 def _dense(part: pd.DataFrame, rows: dict, cols: dict) -> np.ndarray:
     out = np.zeros((len(rows), len(cols)))
     for r, c, v in zip(part.row_id, part.col_id, part.val):
@@ -186,19 +181,20 @@ def _blocks(p: Problem) -> tuple[DataFrame, dict, dict[str, list]]:
         xi, ri = {c: k for k, c in enumerate(cols.col_id)}, {r: k for k, r in enumerate(rows.row_id)}
         entries = pdf.rename(columns={"a": "val"})
         data = {
-            "ids": cols.col_id.to_numpy(np.int64), "c": cols.a.to_numpy(float), "lb": cols.b.fillna(-np.inf).to_numpy(float), "ub": cols.c.fillna(np.inf).to_numpy(float), "b": rows.a.to_numpy(float),
+            "ids": cols.col_id.to_numpy(np.int64), "rids": rows.row_id.to_numpy(np.int64), "c": cols.a.to_numpy(float), "lb": cols.b.fillna(-np.inf).to_numpy(float), "ub": cols.c.fillna(np.inf).to_numpy(float), "b": rows.a.to_numpy(float),
             "A": _dense(entries[entries.kind == "own"], ri, xi), "T": _dense(entries[entries.kind == "root"], ri, x0), "L": _dense(entries[entries.kind == "link"], rl, xi),
         }
         return pd.DataFrame({"block": [int(pdf.block.iloc[0])], "data": [_dump(data)]})
 
-    return parts.groupBy("block").applyInPandas(build, SCHEMA), root, {"x0": [t[0] for t in root_cols]}
+    return parts.groupBy("block").applyInPandas(build, SCHEMA), root, {"x0": [t[0] for t in root_cols], "r0": [t[0] for t in root_rows], "rl": [t[0] for t in link_rows]}
 
 
 def solve(problem: Problem, max_iterations: int = 100, mu_tolerance: float = 1e-8, residual_tolerance: float = 1e-7) -> Solution:
     """Minimises; blocks are numbered from 1, the root is 0 and linking rows have block -1.
 
     Inequalities get slack columns first, and columns whose bounds meet are substituted.  Row
-    ids of equalities and inequalities may overlap.
+    ids of equalities and inequalities may overlap.  From the tenth iteration on a problem counts
+    as infeasible if its residual and complementarity have grown 1e4 times beyond their best.
     """
     fixed = fixed_columns(problem, 1e-9)
     p = inequalities_to_equalities(fix(problem, fixed))
@@ -211,7 +207,7 @@ def solve(problem: Problem, max_iterations: int = 100, mu_tolerance: float = 1e-
     blocks = checkpoint(_mapped(blocks, lambda b: _start(b, scale)))
     history: list[tuple[float, float]] = []
     status = "max_iterations"
-    mu = residual = np.inf
+    mu = residual = best = np.inf
     for _ in range(max_iterations + 1):
         x0, y_link = root["x"], yl
 
@@ -231,6 +227,11 @@ def solve(problem: Problem, max_iterations: int = 100, mu_tolerance: float = 1e-
         if mu <= mu_tolerance and residual <= residual_tolerance * scale * scale:
             status = "optimal"
             break
+        merit = float(residual + mu * pairs[4]) / (scale * scale)
+        best = min(best, merit)
+        if len(history) > 10 and (not np.isfinite(merit) or merit >= max(1e-8, 1e4 * best)):
+            status = "infeasible"
+            break
         k = np.zeros((n0 + m0 + ml, n0 + m0 + ml))
         k[: n0 + m0, : n0 + m0] = _kkt(root)
         k[:n0, n0 + m0 :], k[n0 + m0 :, :n0] = root["L"].T, root["L"]
@@ -284,17 +285,48 @@ def solve(problem: Problem, max_iterations: int = 100, mu_tolerance: float = 1e-
         root = root | {"x": root["x"] + a * d_root[0], "y": root["y"] + d * d_root[1], "g": root["g"] + d * d_root[2], "f": root["f"] + d * d_root[3]}
         yl = yl + d * z[n0 + m0 :]
 
+    spark = problem.cols.sparkSession
+    names = ["what", "id", "x", "low", "high"]
+
     def points(batches):
         for pdf in batches:
             for raw in pdf.data:
                 b = _load(raw)
-                yield pd.DataFrame({"col_id": b["ids"], "x": b["x"]})
-
-    spark = problem.cols.sparkSession
-    x = blocks.mapInPandas(points, "col_id long, x double").unionByName(spark.createDataFrame([(int(i), float(v)) for i, v in zip(ids["x0"], root["x"])], "col_id long, x double"))
-    x = x.unionByName(fixed.select("col_id", F.col("value").alias("x"))).join(problem.cols.select("col_id"), "col_id", "left_semi")
+                yield pd.DataFrame({"what": "col", "id": b["ids"], "x": b["x"], "low": b["g"], "high": b["f"]})
+                yield pd.DataFrame({"what": "row", "id": b["rids"], "x": b["y"], "low": np.nan, "high": np.nan})
+
+    none = float("nan")
+    own = [("col", int(i), float(v), float(g), float(f)) for i, v, g, f in zip(ids["x0"], root["x"], root["g"], root["f"])]
+    own += [("row", int(i), float(v), none, none) for i, v in [*zip(ids["r0"], root["y"]), *zip(ids["rl"], yl)]]
+    schema = "what string, id long, x double, low double, high double"
+    told = checkpoint(blocks.mapInPandas(points, schema).unionByName(spark.createDataFrame(own, schema)).select(*names))
+    it = _iterate(problem, fixed, told)
+    x = it.cols.select("col_id", "x")
     objective = problem.offset + (problem.cols.join(x, "col_id").agg(F.sum(F.col("cost") * F.col("x"))).first()[0] or 0.0)
-    return Solution(status, float(objective), len(history) - 1, x, float(mu), float(residual), history)
+    return Solution(status, float(objective), len(history) - 1, x, float(mu), float(residual), history, it)
+
+
+def _iterate(problem: Problem, fixed: DataFrame, told: DataFrame) -> Iterate:
+    """The solver's values by the given problem's own ids; what is a slack column there is a row's s, lam and pi here.
+
+    A column whose bounds meet has the duals that its reduced cost asks for.
+    """
+    base = problem.cols.join(fixed.select("col_id"), "col_id", "left_anti").agg(F.coalesce(F.max("col_id"), F.lit(0)) + 1).first()[0]
+    low = problem.rows.where("system = 'EQ'").agg(F.coalesce(F.max("row_id"), F.lit(-1)) + 1).first()[0]
+    cols, rows = told.where("what = 'col'"), told.where("what = 'row'")
+    y = rows.where(F.col("id") < low).select(F.lit("EQ").alias("system"), F.col("id").alias("row_id"), F.col("x").alias("y"))
+    y = y.unionByName(rows.where(F.col("id") >= low).select(F.lit("INEQ").alias("system"), (F.col("id") - low).alias("row_id"), F.col("x").alias("y")))
+    slack = cols.where(F.col("id") >= base).select(F.lit("INEQ").alias("system"), (F.col("id") - base).alias("row_id"), F.col("x").alias("s"), F.col("low").alias("lam"), F.col("high").alias("pi"))
+    r = problem.rows.join(y, ROW, "left").join(slack, ROW, "left")
+    only = lambda bound, value: F.when(F.col("s").isNotNull() & F.col(bound).isNotNull(), value)
+    whole = r.select(*ROW, "s", F.coalesce("y", F.lit(0.0)).alias("y"), only("lo", F.col("s") - F.col("lo")).alias("t"), only("hi", F.col("hi") - F.col("s")).alias("u"), only("lo", F.col("lam")).alias("lam"), only("hi", F.col("pi")).alias("pi"))
+    aty = problem.nnz.join(fixed.select("col_id"), "col_id", "left_semi").join(whole.select(*ROW, "y"), ROW).groupBy("col_id").agg(F.sum(F.col("val") * F.col("y")).alias("_aty"))
+    reduced = problem.cols.join(fixed, "col_id").join(aty, "col_id", "left").select("col_id", F.col("value").alias("x"), (F.col("cost") - F.coalesce("_aty", F.lit(0.0))).alias("_r"))
+    values = cols.where(F.col("id") < base).select(F.col("id").alias("col_id"), "x", F.col("low").alias("g"), F.col("high").alias("f")).join(fixed.select("col_id"), "col_id", "left_anti")
+    values = values.unionByName(reduced.select("col_id", "x", F.greatest("_r", F.lit(0.0)).alias("g"), F.greatest(-F.col("_r"), F.lit(0.0)).alias("f")))
+    c = problem.cols.join(values, "col_id")
+    there = lambda bound, value: F.when(F.col(bound).isNotNull(), value)
+    return Iterate(c.select("col_id", "x", there("lb", F.col("x") - F.col("lb")).alias("v"), there("ub", F.col("ub") - F.col("x")).alias("w"), there("lb", F.col("g")).alias("gamma"), there("ub", F.col("f")).alias("phi")), whole)
 
 
 def _mapped(blocks: DataFrame, f) -> DataFrame:

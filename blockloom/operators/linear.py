@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from blockloom.operators.ipm import checkpoint
+from blockloom.session import checkpoint
 
 #: A linear map of vectors (id, v).
 Map = Callable[[DataFrame], DataFrame]

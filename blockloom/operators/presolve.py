@@ -114,11 +114,12 @@ def fix(p: Problem, values: DataFrame) -> Problem:
     return p.with_(cols=p.cols.join(gone, "col_id", "left_anti"), rows=rows, nnz=p.nnz.join(gone, "col_id", "left_anti"), offset=p.offset + offset)
 
 
-def implied_bounds(p: Problem, least: float = 1e-3, only_upper: bool = False) -> DataFrame:
+def implied_bounds(p: Problem, least: float = 1e-7, only_upper: bool = False, most: float = 1e12) -> DataFrame:
     """col_id, lb, ub, lb_row, ub_row: the best bounds that rows imply for columns, in one round.
 
     The own term is taken out of the row's activity.  With only_upper lower bounds are left out,
-    as the source's acceptance test has it.  Entries below `least` are skipped.
+    as the source's acceptance test has it.  Entries below `least` are skipped, and so are
+    bounds beyond `most`.
     """
     a = F.col("val")
     terms = p.nnz.join(p.cols.select("col_id", "lb", "ub"), "col_id").join(activities(p), KEY).join(p.rows.select(*KEY, "lo", "hi"), KEY).where(F.abs("val") >= least)
@@ -126,7 +127,8 @@ def implied_bounds(p: Problem, least: float = 1e-3, only_upper: bool = False) ->
     rest_min = F.when(F.col("min_inf") - F.when(low.isNull(), 1).otherwise(0) == 0, F.col("min_act") - F.coalesce(a * low, F.lit(0.0)))
     rest_max = F.when(F.col("max_inf") - F.when(high.isNull(), 1).otherwise(0) == 0, F.col("max_act") - F.coalesce(a * high, F.lit(0.0)))
     from_hi, from_lo = (F.col("hi") - rest_min) / a, (F.col("lo") - rest_max) / a
-    upper, lower = F.when(a > 0, from_hi).otherwise(from_lo), F.when(a > 0, from_lo).otherwise(from_hi)
+    fits = lambda b: F.when(F.abs(b) <= most, b)
+    upper, lower = fits(F.when(a > 0, from_hi).otherwise(from_lo)), fits(F.when(a > 0, from_lo).otherwise(from_hi))
     row = F.col("row_id")
     best = terms.groupBy("col_id").agg(
         F.max(F.when(lower.isNotNull(), F.struct(lower.alias("b"), (-row).alias("r")))).alias("l"),
@@ -136,6 +138,19 @@ def implied_bounds(p: Problem, least: float = 1e-3, only_upper: bool = False) ->
     return best.select("col_id", (none.cast("double") if only_upper else F.col("l.b")).alias("lb"), F.col("u.b").alias("ub"), (none.cast("long") if only_upper else -F.col("l.r")).alias("lb_row"), F.col("u.r").alias("ub_row"))
 
 
+def accepted_bounds(p: Problem, implied: DataFrame, most: float = 1e10, worth: float = FEASTOL) -> DataFrame:
+    """col_id, lb, ub of the implied bounds that improve a column's own by `worth` and are smaller than `most`; null where not.
+
+    A bound below 1e-8 in size counts as 0.
+    """
+    near = lambda b: F.when(F.abs(b) < 1e-8, F.lit(0.0)).otherwise(b)
+    j = implied.select("col_id", near(F.col("lb")).alias("_l"), near(F.col("ub")).alias("_u")).join(p.cols, "col_id")
+    better = lambda new, old, gain: (F.abs(new) < most) & (F.col(old).isNull() | (gain >= worth))
+    low = F.when(better(F.col("_l"), "lb", F.col("_l") - F.col("lb")), F.col("_l"))
+    high = F.when(better(F.col("_u"), "ub", F.col("ub") - F.col("_u")), F.col("_u"))
+    return j.select("col_id", low.alias("lb"), high.alias("ub")).where("lb IS NOT NULL OR ub IS NOT NULL")
+
+
 def singleton_columns(p: Problem) -> DataFrame:
     """col_id, system, row_id, val, action of columns with one entry.
 
@@ -180,7 +195,9 @@ def parallel_rows(p: Problem) -> DataFrame:
 
 
 def drop_parallel_rows(p: Problem) -> Problem:
-    """Only each group's kept row stays, with the common interval in its own scale."""
+    """Only each group's kept row stays, with the common interval in its own scale.  Rows that contradict each other raise an error."""
+    if parallel_rows(p).where("NOT feasible").limit(1).count():
+        raise ValueError("the problem is infeasible: parallel rows contradict each other")
     rows = normalized_rows(p)
     order = Window.partitionBy("signature").orderBy(F.when(F.col("system") == "EQ", 0).otherwise(1), "row_id")
     whole = Window.partitionBy("signature")
@@ -231,6 +248,100 @@ def nearly_parallel_rows(p: Problem) -> DataFrame:
     return pairs.select(F.col("f.row_id").alias("row1"), F.col("row_id").alias("row2"), F.col("f.col").alias("col1"), F.col("col").alias("col2"), (scaled1 / scaled2).alias("slope"), ((F.col("lo") - F.col("f.lo")) / scaled2).alias("shift"))
 
 
+def _stripped(p: Problem) -> tuple[DataFrame, DataFrame]:
+    """(normalised rows without singleton columns; system, row_id, col, a, k: what such columns a row has)."""
+    single = p.nnz.groupBy("col_id").agg(F.count(F.lit(1)).alias("_n")).where("_n = 1").select("col_id")
+    alone = p.nnz.join(single, "col_id").groupBy(*KEY).agg(F.count(F.lit(1)).alias("k"), F.first("col_id").alias("col"), F.first("val").alias("a"))
+    return normalized_rows(p.with_(nnz=p.nnz.join(single, "col_id", "left_anti"))), alone
+
+
+def columns_of_nearly_parallel(p: Problem) -> DataFrame:
+    """system, row_id, col_id, lb, ub: what a parallel row without singleton column tells about the singleton column of an equality.
+
+    The equality f (n x) + a c = b and a row that bounds n x give c an interval: a point if that
+    row is an equality, which then has to go; system and row_id name that row, the least of its kind.
+    """
+    rows, alone = _stripped(p)
+    r = rows.join(alone, KEY, "left").withColumn("k", F.coalesce("k", F.lit(0)))
+    owner = r.where("system = 'EQ' AND k = 1").groupBy("signature").agg(F.min(F.struct("row_id", "col", "a", "factor", "lo")).alias("o"))
+    j = r.where("k = 0").join(owner, "signature")
+    scaled = F.col("o.a") / F.col("o.factor")
+    at = lambda side: (F.col("o.lo") - F.col(side)) / scaled
+    low, high = F.when(scaled > 0, at("hi")).otherwise(at("lo")), F.when(scaled > 0, at("lo")).otherwise(at("hi"))
+    return j.select(*KEY, F.col("o.col").alias("col_id"), low.alias("lb"), high.alias("ub"))
+
+
+def bound_by_nearly_parallel(p: Problem) -> tuple[Problem, DataFrame]:
+    """Those intervals become bounds of their columns, the rows that gave them go."""
+    told = columns_of_nearly_parallel(p)
+    bounds = told.groupBy("col_id").agg(F.max("lb").alias("lb"), F.min("ub").alias("ub"))
+    gone = told.select(*KEY)
+    return p.with_(cols=tighten(p.cols, bounds), rows=p.rows.join(gone, KEY, "left_anti"), nnz=p.nnz.join(gone, KEY, "left_anti")), told
+
+
+def nearly_parallel_inequalities(p: Problem) -> DataFrame:
+    """Inequalities that are parallel but for one singleton column each, with the same scaled sides, bounds and cost.
+
+    row1, row2, col1, col2, slope: the columns may take values x2 = slope x1 together, so row2
+    and col2 can go; row1 has the least id of such a group.
+    """
+    rows, alone = _stripped(p)
+    r = rows.where("system = 'INEQ'").join(alone.where("k = 1"), KEY).join(p.cols.select(F.col("col_id").alias("col"), "cost", "lb", "ub"), "col")
+    s = F.col("a") / F.col("factor")
+    r = r.withColumn("s", s).withColumns({"_l": F.when(F.col("s") > 0, F.col("lb")).otherwise(F.col("ub")) * F.col("s"), "_u": F.when(F.col("s") > 0, F.col("ub")).otherwise(F.col("lb")) * F.col("s")})
+    near = lambda c: F.round(c, 9)
+    same = ["signature", near(F.col("lo")).alias("_lo"), near(F.col("hi")).alias("_hi"), near(F.col("_l")).alias("_sl"), near(F.col("_u")).alias("_su"), near(F.col("cost") / F.col("s")).alias("_c")]
+    group = r.select("row_id", "col", "s", *same)
+    names = ["signature", "_lo", "_hi", "_sl", "_su", "_c"]
+    first = group.groupBy(*names).agg(F.min(F.struct("row_id", "col", "s")).alias("f"))
+    joined = group.alias("g").join(first.alias("h"), F.expr(" AND ".join(f"g.{n} <=> h.{n}" for n in names))).where("g.row_id > h.f.row_id")
+    return joined.select(F.col("h.f.row_id").alias("row1"), F.col("g.row_id").alias("row2"), F.col("h.f.col").alias("col1"), F.col("g.col").alias("col2"), (F.col("h.f.s") / F.col("g.s")).alias("slope"))
+
+
+def merge_nearly_parallel_inequalities(p: Problem, pairs: DataFrame) -> Problem:
+    """Every pair's second row and column go; x1 takes over x2's cost."""
+    cost = pairs.join(p.cols.select(F.col("col_id").alias("col2"), F.col("cost").alias("_c")), "col2").groupBy(F.col("col1").alias("col_id")).agg(F.sum(F.col("_c") * F.col("slope")).alias("_d"))
+    cols = p.cols.join(pairs.select(F.col("col2").alias("col_id")), "col_id", "left_anti").join(cost, "col_id", "left").withColumn("cost", F.col("cost") + F.coalesce("_d", F.lit(0.0))).select(*p.cols.columns)
+    gone = pairs.select(F.lit("INEQ").alias("system"), F.col("row2").alias("row_id"))
+    return p.with_(cols=cols, rows=p.rows.join(gone, KEY, "left_anti"), nnz=p.nnz.join(gone, KEY, "left_anti"))
+
+
+def free_originally(p: Problem, original: DataFrame) -> Problem:
+    """Bounds that presolve gave to columns without any in the original table (col_id, lb, ub) go again."""
+    free = original.where("lb IS NULL AND ub IS NULL").select("col_id", F.lit(True).alias("_f"))
+    none = F.lit(None).cast("double")
+    cols = p.cols.join(free, "col_id", "left").withColumns({c: F.when(F.col("_f"), none).otherwise(F.col(c)) for c in ("lb", "ub")})
+    return p.with_(cols=cols.select(*p.cols.columns))
+
+
+def column_extremes(p: Problem) -> DataFrame:
+    """col_id, least, most |a| of every column; null without entries."""
+    found = p.nnz.groupBy("col_id").agg(F.min(F.abs("val")).alias("least"), F.max(F.abs("val")).alias("most"))
+    return p.cols.select("col_id").join(found, "col_id", "left")
+
+
+def verify_activities(kept: DataFrame, p: Problem, tol: float = FEASTOL) -> DataFrame:
+    """system, row_id of rows whose kept activities (as activities() gives them) are not those of the problem; empty if all hold."""
+    now = activities(p)
+    names = ["min_act", "min_inf", "max_act", "max_inf"]
+    j = now.join(kept.select(*KEY, *(F.col(n).alias(f"_{n}") for n in names)), KEY, "full")
+    close = [F.abs(F.col(n) - F.col(f"_{n}")) <= tol * F.greatest(F.lit(1.0), F.abs(n)) for n in ("min_act", "max_act")] + [F.col(n) == F.col(f"_{n}") for n in ("min_inf", "max_inf")]
+    return j.where(~F.coalesce(close[0] & close[1] & close[2] & close[3], F.lit(False))).select(*KEY)
+
+
+def verify_counts(kept: DataFrame, p: Problem, by: str) -> DataFrame:
+    """Rows (KEY) or columns whose kept number of entries n is not that of the problem; absent ones have 0."""
+    key = KEY if by == "row_id" else [by]
+    now = p.nnz.groupBy(*key).agg(F.count(F.lit(1)).alias("_now"))
+    return now.join(kept.select(*key, "n"), key, "full").where("coalesce(n, 0) <> coalesce(_now, 0)").select(*key)
+
+
+def finalize(p: Problem) -> Problem:
+    """The problem with entries of its rows and columns only."""
+    nnz = p.nnz.join(p.cols.select("col_id"), "col_id", "left_semi").join(p.rows.select(*KEY), KEY, "left_semi")
+    return p.with_(nnz=nnz)
+
+
 def substitute_nearly_parallel(p: Problem, pairs: DataFrame) -> Problem:
     """Every pair's second row and column go: x1 takes over x2's cost and bounds, the offset its shift."""
     second = pairs.join(p.cols.select(F.col("col_id").alias("col2"), F.col("cost").alias("_c"), F.col("lb").alias("_l"), F.col("ub").alias("_u")), "col2")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from blockloom.operators.matrix import row_key
 from blockloom.operators.vector import positions
 
 
@@ -14,7 +15,7 @@ def row_links(nnz: DataFrame) -> DataFrame:
     A row of one block is local, of a block and the next one a 2-link that starts at the first,
     of more blocks global.
     """
-    g = nnz.groupBy("row_id").agg(F.countDistinct("col_block").alias("n_blocks"), F.min("col_block").alias("first_block"), F.max("col_block").alias("last_block"))
+    g = nnz.groupBy(*row_key(nnz)).agg(F.countDistinct("col_block").alias("n_blocks"), F.min("col_block").alias("first_block"), F.max("col_block").alias("last_block"))
     two = (F.col("n_blocks") == 2) & (F.col("last_block") == F.col("first_block") + 1)
     return g.withColumns({"kind": F.when(F.col("n_blocks") == 1, "local").when(two, "two_link").otherwise("global"), "start_block": F.when(two, F.col("first_block")).otherwise(-1)})
 
@@ -47,7 +48,7 @@ def subtree_map(blocks: int, subtrees: int):
 def link_order(links: DataFrame) -> DataFrame:
     """Rows with `position`: local ones, 2-links by start block, globals last; by id within."""
     rank = F.when(F.col("kind") == "local", F.lit(0)).when(F.col("kind") == "two_link", 1 + F.col("start_block")).otherwise(F.lit(1_000_000))
-    return positions(links.withColumn("_rank", rank), ["_rank", "row_id"], "position").drop("_rank")
+    return positions(links.withColumn("_rank", rank), ["_rank", "row_id", *row_key(links)[:-1]], "position").drop("_rank")
 
 
 def order_after_split(block_subtree: list[int], start_block: list[int], kept: int) -> list[int]:
@@ -56,7 +57,7 @@ def order_after_split(block_subtree: list[int], start_block: list[int], kept: in
     block_subtree maps blocks to subtrees; a row whose two blocks lie in one subtree goes down
     to it, unless it is not a 2-link (-1); `kept` rows stay above.
     """
-    inside = lambda b: b >= 0 and b + 1 < len(block_subtree) and block_subtree[b] == block_subtree[b + 1]
+    inside = lambda b: b >= 0 and block_subtree[b] == block_subtree[min(b + 1, len(block_subtree) - 1)]  # noqa: E731  one of the last block ends in it
     down = [k for k, b in enumerate(start_block) if inside(b)]
     up = [k for k, b in enumerate(start_block) if not inside(b)]
     if len(up) != kept:
@@ -67,7 +68,7 @@ def order_after_split(block_subtree: list[int], start_block: list[int], kept: in
 def row_stages(nnz: DataFrame, last_stage: int) -> DataFrame:
     """row_id, least, most, verdict: a row may touch the root and one block, or else must link."""
     child = F.when(F.col("col_block") > 0, F.col("col_block"))
-    g = nnz.groupBy("row_id").agg(F.coalesce(F.min(child), F.lit(0)).alias("least"), F.coalesce(F.max(child), F.lit(0)).alias("most"), F.first("row_block").alias("stage"))
+    g = nnz.groupBy(*row_key(nnz)).agg(F.coalesce(F.min(child), F.lit(0)).alias("least"), F.coalesce(F.max(child), F.lit(0)).alias("most"), F.first("row_block").alias("stage"))
     wanted = F.when(F.col("most") == 0, F.lit(0)).when(F.col("least") == F.col("most"), F.col("least")).otherwise(F.lit(last_stage))
     return g.withColumn("verdict", F.when(F.col("stage") == wanted, "ok").otherwise("misplaced"))
 
@@ -82,3 +83,73 @@ def schur_pattern(nnz: DataFrame) -> DataFrame:
 
 def block_sizes(df: DataFrame) -> DataFrame:
     return df.groupBy("block").agg(F.count(F.lit(1)).alias("n"))
+
+
+def linking_first_order(links: DataFrame) -> DataFrame:
+    """Columns with `position`: local ones, those of two blocks, those of more last; by id within. links has (col_id, n_blocks)."""
+    rank = F.when(F.col("n_blocks") <= 1, 0).when(F.col("n_blocks") == 2, 1).otherwise(2)
+    return positions(links.withColumn("_rank", rank), ["_rank", "col_id"], "position").drop("_rank")
+
+
+def reclassified(links: DataFrame, single: DataFrame) -> DataFrame:
+    """Links after columns of `single` (col_id) count as linking nothing; both of column_links."""
+    return links.join(single.select("col_id", F.lit(0).cast("long").alias("_n")), "col_id", "left").select("col_id", F.coalesce("_n", "n_blocks").alias("n_blocks"))
+
+
+def schur_pattern_of(nnz: DataFrame, first_block: int, last_block: int) -> DataFrame:
+    """schur_pattern with the pairs that row blocks first_block..last_block join only."""
+    linking = column_links(nnz).where("n_blocks > 1").select("col_id")
+    touched = nnz.where(F.col("row_block").between(first_block, last_block)).join(linking, "col_id").select("row_block", "col_id").distinct()
+    a, b = touched.select("row_block", F.col("col_id").alias("a")), touched.select("row_block", F.col("col_id").alias("b"))
+    return a.join(b, "row_block").where("a <= b").select("a", "b").distinct()
+
+
+def schur_most_entries(nnz: DataFrame) -> DataFrame:
+    """One row: n, an upper bound of the Schur complement's upper triangle: k (k + 1) / 2 summed over the blocks' linking columns."""
+    linking = column_links(nnz).where("n_blocks > 1").select("col_id")
+    per = nnz.join(linking, "col_id").groupBy("row_block").agg(F.countDistinct("col_id").alias("k"))
+    return per.agg(F.coalesce(F.sum((F.col("k") * (F.col("k") + 1) / 2).cast("long")), F.lit(0)).alias("n"))
+
+
+def with_subtree(df: DataFrame, subtrees: list[int], block: str = "block", name: str = "subtree") -> DataFrame:
+    """The table with each block's subtree; a block beyond the map is in none."""
+    tree = df.sparkSession.createDataFrame(list(enumerate(subtrees)), f"{block} int, {name} int")
+    return df.join(F.broadcast(tree), block, "left")  # as many rows as blocks
+
+
+def two_links_by_side(links: DataFrame, subtrees: list[int]) -> DataFrame:
+    """subtree, inside, leaving: 2-links that start in the subtree and end in it or in another one."""
+    own = with_subtree(links.where("start_block >= 0"), subtrees, "start_block", "subtree")
+    both = with_subtree(own.withColumn("_next", (F.col("start_block") + 1).cast("int")), subtrees, "_next", "_to")
+    stays = F.coalesce(F.col("_to") == F.col("subtree"), F.lit(True))  # one that starts in the last block ends there
+    return both.groupBy("subtree").agg(F.count_if(stays).alias("inside"), F.count_if(~stays).alias("leaving"))
+
+
+def split_sizes(block_sizes: DataFrame, links: DataFrame, subtrees: list[int]) -> DataFrame:
+    """subtree, blocks, n, own_links: sizes after a split; 2-links inside a subtree become its own."""
+    sizes = with_subtree(block_sizes, subtrees).groupBy("subtree").agg(F.count(F.lit(1)).alias("blocks"), F.sum("n").alias("n"))
+    return sizes.join(two_links_by_side(links, subtrees).select("subtree", F.col("inside").alias("own_links")), "subtree", "left").fillna({"own_links": 0})
+
+
+def shave_border(nnz: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(inner, border): the border has the entries of rows and columns that link more than two blocks."""
+    rows = row_links(nnz).where("kind = 'global'").select(*row_key(nnz), F.lit(True).alias("_r"))
+    cols = column_links(nnz).where("n_blocks > 2").select("col_id", F.lit(True).alias("_c"))
+    marked = nnz.join(rows, row_key(nnz), "left").join(cols, "col_id", "left").withColumn("_b", F.coalesce("_r", "_c", F.lit(False)))
+    return marked.where("NOT _b").select(*nnz.columns), marked.where("_b").select(*nnz.columns)
+
+
+def raise_border(inner: DataFrame, border: DataFrame) -> DataFrame:
+    """shave_border undone."""
+    return inner.unionByName(border)
+
+
+def layers(blocks: int, depth: int) -> list[list[int]]:
+    """Of each layer from the root down, every block's subtree: depth layers whose widths grow evenly in ratio."""
+    widths = [max(1, round(blocks ** ((k + 1) / (depth + 1)))) for k in range(depth)]
+    return [subtree_map(blocks, w) for w in widths]
+
+
+def collapse(df: DataFrame, names: list[str]) -> DataFrame:
+    """A split table without its subtree columns."""
+    return df.drop(*names)

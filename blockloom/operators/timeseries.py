@@ -143,3 +143,81 @@ def net_balance(flows: DataFrame, efficiency: Column, demand: DataFrame) -> Data
 def storage_levels(df: DataFrame, order: str, by: list[str]) -> DataFrame:
     """df with `level`: the running sum of inflow less outflow."""
     return df.withColumn("level", F.sum(F.col("inflow") - F.col("outflow")).over(Window.partitionBy(*by).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
+
+
+# --- model data ----------------------------------------------------------------------------------
+
+
+def roll_up(df: DataFrame, keys: list[str], value: str, weight: str) -> DataFrame:
+    """Keys, average, weighted, total, most: the plain and the weighted average, the weighted sum and the maximum."""
+    v, w = F.col(value), F.col(weight)
+    return df.groupBy(*keys).agg(F.avg(v).alias("average"), (F.sum(v * w) / F.nullif(F.sum(w), F.lit(0.0))).alias("weighted"), F.sum(v * w).alias("total"), F.max(v).alias("most"))
+
+
+def capacity(plants: DataFrame, power: float, yearly: float, near: float = 1.0) -> DataFrame:
+    """region, plant, steps, output, availability, at_capacity, over_cap.
+
+    plants has region, plant, output and available of every step; at_capacity says that some
+    step exceeds `near` of the power, over_cap that the whole output exceeds the yearly limit.
+    """
+    return plants.groupBy("region", "plant").agg(
+        F.count(F.lit(1)).alias("steps"), F.sum("output").alias("output"), F.avg("available").alias("availability"),
+        (F.max("output") > near * power).alias("at_capacity"), (F.sum("output") > yearly).alias("over_cap"),
+    )
+
+
+def emissions(plants: DataFrame, cap: float, price: float) -> DataFrame:
+    """region, emission, excess, cost: output times rate, what exceeds the cap, and its price."""
+    total = F.sum(F.col("output") * F.col("rate"))
+    return plants.groupBy("region").agg(total.alias("emission"), F.greatest(total - cap, F.lit(0.0)).alias("excess"), (total * price).alias("cost"))
+
+
+def region_size(plants: DataFrame) -> DataFrame:
+    """region, plants, size: how many plants a region has and the sum of their greatest outputs."""
+    each = plants.groupBy("region", "plant").agg(F.max("output").alias("_m"))
+    return each.groupBy("region").agg(F.count(F.lit(1)).alias("plants"), F.sum("_m").alias("size"))
+
+
+def mapped_by_ordinal(items: DataFrame, item: str, owners: DataFrame, owner: str) -> DataFrame:
+    """item, owner: the n-th item belongs to the owner of place n modulo their number."""
+    from blockloom.operators.vector import positions
+
+    n = owners.count()
+    a = positions(items, [item], "_i").withColumn("_j", F.col("_i") % max(n, 1))
+    return a.join(positions(owners, [owner], "_j"), "_j").select(item, owner)
+
+
+def nearest_exact(points: DataFrame, k: int, axes: list[str], cell: float) -> DataFrame:
+    """(id, other, distance, rank): of each point its k nearest among all others; ties go to the least id.
+
+    Points meet those of their own and the neighbouring grid cells.  One whose k-th distance is
+    within a cell's width has seen all that could be nearer; the others ask again in a grid of
+    cells twice as wide, until the grid is one neighbourhood.  Points without all coordinates
+    have no neighbours.
+    """
+    from functools import reduce
+
+    from blockloom.session import checkpoint
+
+    there = checkpoint(points.select("id", *(F.col(a).cast("double").alias(a) for a in axes)).where(reduce(lambda x, y: x & y, (F.col(a).isNotNull() for a in axes))))
+    span = there.agg(F.greatest(*(F.max(a) - F.min(a) for a in axes), F.lit(0.0)) if len(axes) > 1 else F.max(axes[0]) - F.min(axes[0])).first()[0] or 0.0
+    asking, out = there, None
+    while True:
+        place = [F.floor(F.col(a) / cell).alias(f"_{a}") for a in axes]
+        around = asking.select("id", *axes, *place)
+        for a in axes:
+            around = around.withColumn(f"_{a}", F.explode(F.array(*(F.col(f"_{a}") + d for d in (-1, 0, 1)))))
+        others = there.select(F.col("id").alias("other"), *(F.col(a).alias(f"{a}_") for a in axes), *place)
+        met = around.join(others, [f"_{a}" for a in axes]).where("id <> other")
+        squares = reduce(lambda x, y: x + y, ((F.col(a) - F.col(f"{a}_")) * (F.col(a) - F.col(f"{a}_")) for a in axes))
+        near = met.select("id", F.struct(F.sqrt(squares).alias("distance"), "other").alias("o")).groupBy("id").agg(F.slice(F.array_sort(F.collect_list("o")), 1, k).alias("_o"))
+        near = checkpoint(near.withColumn("_done", (F.size("_o") == k) & (F.col("_o")[F.size("_o") - 1]["distance"] <= cell)))
+        last = cell > span
+        found = (near if last else near.where("_done")).select("id", F.posexplode("_o").alias("_k", "_e")).select("id", "_e.other", "_e.distance", (F.col("_k") + 1).alias("rank"))
+        out = found if out is None else out.unionByName(found)
+        if last:
+            return out
+        asking = checkpoint(asking.join(near.where("_done").select("id"), "id", "left_anti"))
+        if not asking.limit(1).count():
+            return out
+        cell *= 2

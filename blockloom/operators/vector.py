@@ -14,8 +14,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from blockloom.functions.tolerance import EPS_ZERO
+from blockloom.session import checkpoint
 
 Number = float | int | Column
+#: Values that a fold takes at most.
+FOLDED = 1_000_000
 
 
 def _c(x: Number) -> Column:
@@ -30,6 +33,15 @@ def align(left: DataFrame, right: DataFrame, key: str = "id") -> DataFrame:
 # --- element-wise ---------------------------------------------------------------------------
 
 
+def negate(v: Column) -> Column:
+    return -v
+
+
+def square_root(v: Column) -> Column:
+    """Null of a negative entry."""
+    return F.when(v >= 0, F.sqrt(v))
+
+
 def set_to_constant(value: float) -> Column:
     return F.lit(float(value))
 
@@ -189,6 +201,31 @@ def for_all(condition: Column) -> Column:
     return F.coalesce(F.bool_and(condition), F.lit(True))
 
 
+def all_differ(v: Column, value: float, tol: float) -> Column:
+    return for_all(F.abs(v - value) > tol)
+
+
+def all_positive(v: Column, select: Column | None = None) -> Column:
+    return for_all(v > 0) if select is None else for_all((select == 0) | (v > 0))
+
+
+def is_zero(v: Column) -> Column:
+    return for_all(v == 0)
+
+
+def count_distinct(v: Column, eps: float = 0.0) -> Column:
+    """How many different values there are, those within one step of eps counted once."""
+    return F.countDistinct(F.round(v / eps) if eps else v)
+
+
+def extreme_sums(a: Column, b: Column, c: Column, d: Column) -> tuple[Column, Column]:
+    """The pairs with the least and the greatest |a b + c d| that is not zero: structs value, a, b, c, d."""
+    value = F.abs(a * b + c * d)
+    live = F.when(value > 0, value)
+    parts = [a.alias("a"), b.alias("b"), c.alias("c"), d.alias("d")]
+    return F.min(F.when(live.isNotNull(), F.struct(live.alias("value"), *parts))), F.max(F.when(live.isNotNull(), F.struct(live.alias("value"), *parts)))
+
+
 def all_close(v: Column, x: Column, tol: float) -> Column:
     return for_all(F.abs(v - x) <= tol)
 
@@ -214,8 +251,12 @@ def extreme_pair(a: Column, b: Column, ident: Column) -> tuple[Column, Column]:
 
 
 def fold(v: Column, start: float, step: Callable[[Column, Column], Column]) -> Column:
-    """A fold with a user's function over the collected values in ascending order; for bounded groups."""
-    return F.aggregate(F.array_sort(F.collect_list(v)), F.lit(float(start)), step)
+    """A fold with a user's function over the collected values in ascending order.
+
+    A group of more than FOLDED values raises an error instead of growing in one task.
+    """
+    values = F.when(F.count(v) <= FOLDED, F.lit(True)).otherwise(F.raise_error(F.lit(f"a fold of more than {FOLDED} values")).cast("boolean"))
+    return F.when(values, F.aggregate(F.array_sort(F.collect_list(v)), F.lit(float(start)), step))
 
 
 def blocking(df: DataFrame, pairs: dict[str, tuple[Column, Column]], ident: Column) -> DataFrame:
@@ -229,18 +270,16 @@ def blocking(df: DataFrame, pairs: dict[str, tuple[Column, Column]], ident: Colu
 def positions(df: DataFrame, keys: list[str], name: str = "new_id", first: int = 0, buckets: int = 64) -> DataFrame:
     """Rows numbered without gaps in ascending order of the keys, without one global sort task.
 
-    Ranges of the first key (a number) are counted and numbered on their own, and each begins
-    after the counts of those before; a first key that many rows share stays in one range.
+    Rows are dealt into ranges of all keys and sorted there; the ranges are written once, so
+    that every row's place within its range holds, and each range begins after the counts of
+    those before.  Rows of equal keys go to one range.
     """
-    key = F.col(keys[0])
-    ends = df.agg(F.min(key).cast("double"), F.max(key).cast("double")).first()
-    low, high = (ends[0] or 0.0), (ends[1] or 0.0)
-    width = (high - low) / buckets or 1.0
-    ranged = df.withColumn("_range", F.least(F.floor((key.cast("double") - low) / width), F.lit(buckets - 1)).cast("int"))
+    within = F.monotonically_increasing_id()
+    ranged = checkpoint(df.repartitionByRange(buckets, *keys).sortWithinPartitions(*keys).withColumn("_at", within))
+    ranged = ranged.withColumns({"_range": F.shiftright("_at", 33), "_at": F.col("_at").bitwiseAND(F.lit((1 << 33) - 1))})
     counts = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_rows"))  # at most `buckets` rows
     before = counts.withColumn("_before", F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_rows")
-    own = F.row_number().over(Window.partitionBy("_range").orderBy(*keys))
-    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + own - 1 + first).drop("_range", "_before")
+    return ranged.join(F.broadcast(before), "_range").withColumn(name, F.col("_before") + F.col("_at") + first).drop("_range", "_before", "_at")
 
 
 def remove_entries(df: DataFrame, keep: Column, ident: str = "id") -> DataFrame:

@@ -80,3 +80,28 @@ WITH cols AS (
   ) WHERE val <> 0
 )
 """
+
+
+def from_orders_mixed(spark: SparkSession, sf_dir: str) -> Problem:
+    """The same columns, but orders of even key as equalities and those of odd key as inequalities.
+
+    Either system numbers its rows by half the key, so ids of the two overlap.  Inequalities
+    whose id divides by 3 also have a lower side, a tenth of the upper one.
+    """
+    p = from_orders(spark, sf_dir)
+    system = F.when(F.col("row_id") % 2 == 0, "EQ").otherwise("INEQ")
+    half = F.floor(F.col("row_id") / 2)
+    rows = p.rows.select(system.alias("system"), half.alias("row_id"), "block", "hi")
+    low = F.when(F.col("system") == "EQ", F.col("hi")).when(F.col("row_id") % 3 == 0, F.col("hi") / 10)
+    nnz = p.nnz.select(system.alias("system"), half.alias("row_id"), "col_id", "val", "row_block", "col_block")
+    return p.with_(rows=rows.select("system", "row_id", "block", low.alias("lo"), "hi"), nnz=nnz)
+
+
+#: The mixed problem in SQL, after the tables of SQL.
+SQL_MIXED = SQL.replace('"rows" AS', "one_rows AS").replace("nnz AS", "one_nnz AS") + """, "rows" AS (
+  SELECT CASE WHEN row_id % 2 = 0 THEN 'EQ' ELSE 'INEQ' END AS system, row_id // 2 AS row_id, block,
+    CASE WHEN row_id % 2 = 0 THEN hi WHEN (row_id // 2) % 3 = 0 THEN hi / 10 END AS lo, hi FROM one_rows
+), nnz AS (
+  SELECT CASE WHEN row_id % 2 = 0 THEN 'EQ' ELSE 'INEQ' END AS system, row_id // 2 AS row_id, col_id, val, row_block, col_block FROM one_nnz
+)
+"""

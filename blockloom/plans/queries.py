@@ -224,7 +224,7 @@ _LINK_SQL = ", g AS (SELECT row_id, count(DISTINCT col_block) AS n_blocks, min(c
 
 @query(_LINK_SQL + "SELECT row_id, CAST(n_blocks AS BIGINT) AS n_blocks, first_block, last_block, kind, start_block FROM links")
 def row_links(spark, sf):
-    return structure.row_links(from_orders(spark, sf).nnz)
+    return structure.row_links(from_orders(spark, sf).nnz).select("row_id", "n_blocks", "first_block", "last_block", "kind", "start_block")
 
 
 @query(_LINK_SQL + "SELECT CAST(n_blocks AS BIGINT) AS n_blocks, CAST(count(*) AS BIGINT) AS n FROM links GROUP BY 1")
@@ -516,13 +516,11 @@ def max_normalized(spark, sf):
     return timeseries.max_normalized(_steps(spark, sf), "total", ["region"]).select("region", "step", _r("share", 6).alias("share"))
 
 
-@query("SELECT least(a.c_custkey, b.c_custkey) AS a, greatest(a.c_custkey, b.c_custkey) AS b FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey AND abs(floor(a.c_acctbal / 200) - floor(b.c_acctbal / 200)) <= 1 QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) <= 3", lp=False)
-def _nearest_sql_only(spark, sf):
-    raise NotImplementedError
-
-
-QUERIES.pop("_nearest_sql_only")
-ORACLE["nearest_symmetric"] = f"SELECT DISTINCT a, b FROM ({ORACLE.pop('_nearest_sql_only')})"
+ORACLE["nearest_symmetric"] = """
+SELECT DISTINCT least(x, y) AS a, greatest(x, y) AS b FROM (
+  SELECT a.c_custkey AS x, b.c_custkey AS y FROM customer a JOIN customer b ON a.c_custkey <> b.c_custkey
+  QUALIFY row_number() OVER (PARTITION BY a.c_custkey ORDER BY abs(a.c_acctbal - b.c_acctbal), b.c_custkey) <= 3)
+"""
 
 
 def nearest_symmetric(spark, sf):
@@ -577,7 +575,7 @@ def append_and_shave(spark, sf):
     return V.shave(longer, 4, top=False)[1].select("id", "v")
 
 
-@query("SELECT row_id, col_id, val FROM nnz WHERE row_id < 50 UNION ALL SELECT row_id + 1000000, col_id, 2 * val FROM nnz WHERE row_id < 50")
+@query("SELECT row_id, col_id, val FROM nnz UNION ALL SELECT row_id + greatest(1000000, (SELECT max(row_id) + 1 FROM nnz)), col_id, 2 * val FROM nnz")
 def append_rows(spark, sf):
     """The doubled matrix under the matrix, its rows from 1,000,000 on, or from above the greatest id if that is more."""
     n = from_orders(spark, sf).nnz.select("row_id", "col_id", "val")

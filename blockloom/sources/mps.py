@@ -39,15 +39,19 @@ def _pairs(data: DataFrame, skip: int) -> DataFrame:
     return data.select("line", first.alias("set"), rest.alias("rest")).where(F.size("rest") >= 2).withColumn("k", at).select("line", "set", F.col("rest")[F.col("k")].alias("name"), F.col("rest")[F.col("k") + 1].try_cast("double").alias("value"))
 
 
-def read(spark: SparkSession, path: str) -> tuple[Problem, DataFrame, DataFrame]:
+def read(spark: SparkSession, path: str, linear: bool = True) -> tuple[Problem, DataFrame, DataFrame]:
     """(problem, row names, column names) of a file; every row and column is in block 0.
 
+    With linear a file with a quadratic objective is refused; quadratic() reads that part.
+
     The first N row is the objective.  Of right-hand sides, ranges and bounds the first set
     counts.  A side of the objective row is a constant taken off; a maximisation is turned
     round.  Rows without a range have one side; bounds are 0 and none unless they are given.
     """
     data = lines(spark, path).cache()
     f = F.col("fields")
+    if linear and data.where("section IN ('QUADOBJ', 'QMATRIX')").limit(1).count():
+        raise MpsError("the objective is quadratic")
     rows = data.where("section = 'ROWS'").select("line", F.upper(f[0]).alias("sense"), f[1].alias("name"))
     if rows.groupBy("name").count().where("count > 1").limit(1).count():
         raise MpsError("a row name occurs twice")
@@ -59,7 +63,7 @@ def read(spark: SparkSession, path: str) -> tuple[Problem, DataFrame, DataFrame]
     sign = -1.0 if sense and sense["s"].startswith("MAX") else 1.0
 
     columns = data.where("section = 'COLUMNS'").where(~F.array_contains(f, "'MARKER'"))
-    entries = columns.select("line", f[0].alias("col"), F.slice(f, 2, 100).alias("rest")).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("rest") - 2, F.lit(2)))).select("line", "col", F.col("rest")[F.col("k")].alias("name"), F.col("rest")[F.col("k") + 1].cast("double").alias("val"))
+    entries = columns.select("line", f[0].alias("col"), F.slice(f, F.lit(2), F.size(f)).alias("rest")).withColumn("k", F.explode(F.sequence(F.lit(0), F.size("rest") - 2, F.lit(2)))).select("line", "col", F.col("rest")[F.col("k")].alias("name"), F.col("rest")[F.col("k") + 1].cast("double").alias("val"))
     order = entries.groupBy("col").agg(F.min("line").alias("line"))
     col_names = order.select("col", (F.row_number().over(Window.orderBy("line")) - 1).cast("long").alias("col_id"))
     first_set = lambda df: df.withColumn("_s", F.first("set").over(Window.orderBy("line").rowsBetween(Window.unboundedPreceding, 0))).where("set = _s")
@@ -93,6 +97,27 @@ def read(spark: SparkSession, path: str) -> tuple[Problem, DataFrame, DataFrame]
     return Problem(cols, problem_rows, nnz, -constant * sign), named.select("system", "row_id", "name"), col_names
 
 
+def quadratic(spark: SparkSession, path: str, col_names: DataFrame) -> DataFrame:
+    """(row_id, col_id, val): the lower triangle of Q in c'x + x'Qx / 2; col_names has col and col_id.
+
+    QUADOBJ lines give one triangle, QMATRIX lines both; an entry given twice is an error.
+    """
+    f = F.col("fields")
+    q = lines(spark, path).where("section IN ('QUADOBJ', 'QMATRIX')").select(f[0].alias("a"), f[1].alias("b"), f[2].cast("double").alias("val"), "section")
+    named = q.join(col_names.select(F.col("col").alias("a"), F.col("col_id").alias("i")), "a").join(col_names.select(F.col("col").alias("b"), F.col("col_id").alias("j")), "b")
+    kept = named.where("section = 'QUADOBJ' OR i >= j").select(F.greatest("i", "j").alias("row_id"), F.least("i", "j").alias("col_id"), "val")
+    if kept.groupBy("row_id", "col_id").count().where("count > 1").limit(1).count():
+        raise MpsError("an entry of the quadratic objective is given twice")
+    return kept
+
+
+def solution(values: DataFrame, names: DataFrame, value: str = "x") -> DataFrame:
+    """line: name and value of every named row or column, for write.text(); values and names share an id column."""
+    key = [c for c in names.columns if c in values.columns]
+    name = next(c for c in names.columns if c not in key)
+    return names.join(values, key, "left").select(F.concat_ws(" ", F.col(name), F.coalesce(F.col(value).cast("string"), F.lit("unset"))).alias("line"))
+
+
 def text(p: Problem, name: str = "problem") -> DataFrame:
     """rank, line: the problem as lines of a free-format file, in order of rank."""
     row = F.concat(F.when(F.col("system") == "EQ", "e").otherwise("i"), F.col("row_id").cast("string"))

@@ -1,4 +1,8 @@
-"""Two small problems with known optima."""
+"""Two small problems with known optima.
+
+Fixed values: entries, sides, bounds and costs of two published test problems for block-structured
+solvers, stated plainly so that their published optima hold.
+"""
 
 from blockloom.plans.lp import COLS, NNZ, ROWS, Problem
 

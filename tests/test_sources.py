@@ -72,3 +72,18 @@ def test_parquet_blocks_and_callbacks(spark, tmp_path):
 def test_options(spark, tmp_path):
     (tmp_path / "o").write_text("# all\nROUNDS 5 int\nTOL 1e-3 double // small\nON true bool\n")
     assert options.load(spark, str(tmp_path / "o"), {"ROUNDS": 2, "TOL": 1e-6, "ON": False}) == {"ROUNDS": 5, "TOL": 1e-3, "ON": True}
+
+
+def test_a_quadratic_objective_is_read_or_refused(spark, tmp_path):
+    import pytest
+
+    from blockloom.sources import mps
+
+    path = tmp_path / "q.mps"
+    path.write_text("NAME q\nROWS\n N obj\n E r\nCOLUMNS\n x obj 1 r 1\n y r 1\nRHS\n s r 2\nQUADOBJ\n x x 2\n x y -1\nENDATA\n")
+    with pytest.raises(mps.MpsError):
+        mps.read(spark, str(path))
+    p, _, cols = mps.read(spark, str(path), linear=False)
+    assert sorted(tuple(r) for r in mps.quadratic(spark, str(path), cols).collect()) == [(0, 0, 2.0), (1, 0, -1.0)]
+    x = spark.createDataFrame([(0, 1.5)], "col_id long, x double")
+    assert sorted(r.line for r in mps.solution(x, cols).collect()) == ["x 1.5", "y unset"]
