@@ -226,7 +226,7 @@ def segments(data: np.ndarray, offsets: np.ndarray, span: int = SPAN, k: int = K
     s, e = np.flatnonzero(head), np.flatnonzero(stop) + 1
     anchor = hashes[(least[s] & np.uint64((1 << 24) - 1)).astype(np.int64)]
     doc = np.searchsorted(offsets, s, "right") - 1
-    return doc, s - offsets[doc], e - s, anchor, V.hashes(lane, data, s, e + span - 1), V.hashes(lane, data, s, e + span - 1, 1)
+    return doc, s - offsets[doc], e - s, anchor, *V.several_hashes(lane, data, s, e + span - 1, 2)
 
 
 def _pieces(column):

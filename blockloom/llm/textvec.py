@@ -22,6 +22,7 @@ U64 = np.uint64
 CHUNK_BYTES = 1 << 20
 #: Longer spans are hashed one by one.
 LONG_SPAN = 1024
+WINDOWS_TOGETHER = 1 << 15
 _MASK = np.array([(1 << 8 * k) - 1 for k in range(8)] + [2**64 - 1], np.uint64)
 
 
@@ -41,39 +42,53 @@ def lanes(data: np.ndarray) -> np.ndarray:
     return np.ndarray(len(data) + 1, "<u8", padded, strides=(1,)).astype(np.uint64)
 
 
-def hashes(at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, seed: int = 0) -> np.ndarray:
+def hashes(at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hash of each data[start:end]; equal bytes give equal hashes wherever they stand.  at is lanes(data)."""
+    return several_hashes(at, data, starts, ends, 1)[0]
+
+
+def several_hashes(at: np.ndarray, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, n: int) -> list[np.ndarray]:
+    """hashes() and further ones independent of it, n in all."""
     size = ends - starts
-    out = mix(size.astype(np.uint64) + U64(0x9E3779B97F4A7C15 + 2 * seed))
+    out = [mix(size.astype(np.uint64) + U64(0x9E3779B97F4A7C15 + 2 * k)) for k in range(n)]
     if len(far := np.flatnonzero(size > LONG_SPAN)):
         raw = memoryview(np.ascontiguousarray(data))
-        out[far] = [int.from_bytes(blake2b(raw[a:b], digest_size=8, person=b"%d" % seed).digest(), "little") for a, b in zip(starts[far].tolist(), ends[far].tolist())]
+        for k in range(n):
+            out[k][far] = [int.from_bytes(blake2b(raw[a:b], digest_size=8, person=b"%d" % k).digest(), "little") for a, b in zip(starts[far].tolist(), ends[far].tolist())]
     live = np.flatnonzero((size > 0) & (size <= LONG_SPAN))
-    place, left, value = starts[live], size[live], out[live]
+    place, left, value = starts[live], size[live], [o[live] for o in out]
     while len(live):
-        value = mix(value ^ (at[place] & _MASK[np.minimum(left, 8)]))
+        lane = at[place] & _MASK[np.minimum(left, 8)]
+        value = [mix(v ^ lane) for v in value]
         done = left <= 8
-        out[live[done]] = value[done]
+        for o, v in zip(out, value):
+            o[live[done]] = v[done]
         on = ~done
-        live, place, left, value = live[on], place[on] + 8, left[on] - 8, value[on]
+        live, place, left, value = live[on], place[on] + 8, left[on] - 8, [v[on] for v in value]
     return out
 
 
 def windows(at: np.ndarray, width: int) -> np.ndarray:
-    """Hash of the bytes place..place+width-1 of every place at which so many follow; width is at least 8."""
-    n = len(at) - width
-    if n <= 0:
-        return np.zeros(0, np.uint64)
-    out, have, odd = at, 8, U64(0x9FB21C651E98DF25)
+    """Hash of the bytes place..place+width-1 of every place at which so many follow; width is at least 8.  at is lanes(data)."""
+    n = max(0, len(at) - width)
+    out = np.empty(n, np.uint64)
+    for a in range(0, n, WINDOWS_TOGETHER):  # what is worked on stays in the cache
+        m = min(WINDOWS_TOGETHER, n - a)
+        out[a : a + m] = _windows(at[a : a + m + width - 8], width)[:m]
+    return out
+
+
+def _windows(at: np.ndarray, width: int) -> np.ndarray:
+    n, out, have = len(at) - width + 8, at, 8
     while 2 * have <= width:
-        out, have = _two(out[: len(out) - have], out[have:], odd), 2 * have
+        out, have = _two(out[: len(out) - have], out[have:]), 2 * have
     if have < width:
-        out = _two(out[:n], out[width - have :][:n], odd)
-    return mix(out[:n])
+        out = _two(out[:n], out[width - have :][:n])
+    return mix(out)
 
 
-def _two(a: np.ndarray, b: np.ndarray, odd: np.uint64) -> np.ndarray:
-    x = a * odd
+def _two(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * U64(0x9FB21C651E98DF25)
     x ^= x >> U64(31)
     x += b
     x *= U64(0xD6E8FEB86659FD93)
