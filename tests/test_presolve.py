@@ -96,7 +96,7 @@ def test_rows_of_one_id_in_both_systems_are_two_rows(spark):
     assert {(x.system, x.kind) for x in structure.row_links(nnz).collect()} == {("EQ", "local"), ("INEQ", "local")}
 
 
-PARTLY = {"x": (0, 1, 0.0, 10.0), "y": (0, 1, 0.0, 10.0), "s": (0, 1, 0.0, 4.0), "t": (0, 2, 0.0, 4.0)}
+PARTLY = {"x": (0, 1, 0.0, 10.0), "y": (0, 1, 0.0, 10.0), "s": (0, 1, 0.0, 4.0), "t": (0, 1, 0.0, 4.0)}
 
 
 @pytest.mark.parametrize("rows", [
