@@ -9,6 +9,7 @@ a word or two.  Two fingerprints are as alike as their hashes agree.
 from __future__ import annotations
 
 import hashlib
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -47,6 +48,7 @@ def terms(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def lexicon(docs: DataFrame, band: tuple[float, float] = BAND) -> np.ndarray:
     """Sorted hashes of the words in the band, by document frequencies over all rows."""
 
+    @V.tidy
     def run(batches):
         def told(seen):
             keys, back = np.unique(np.concatenate([k for k, _ in seen]), return_inverse=True)
@@ -137,35 +139,69 @@ def fingerprint(docs: DataFrame, words: np.ndarray) -> DataFrame:
     return docs.select(docs["doc_id"].cast("long"), docs["text"].cast("string")).mapInArrow(run, "doc_id long, fingerprint string")
 
 
+@dataclass(frozen=True)
+class Ranges:
+    """Ranges of rows by descending key, then ascending tie; a key on which several cuts fall has ranges of ties of its own."""
+
+    cuts: np.ndarray  # distinct, ascending
+    parts: np.ndarray  # into how many ranges of ties each cut's own key is dealt, 0 if it is not
+    begins: np.ndarray  # of the keys above all cuts, then of those up to the greatest cut, ...: the first range
+
+    @staticmethod
+    def of(cuts: list[int]) -> Ranges:
+        values, times = np.unique(np.array(cuts, np.int64), return_counts=True)
+        parts = np.where(times > 1, times, 0)
+        return Ranges(values, parts, np.concatenate([[0], np.cumsum(np.concatenate([[1], parts[::-1] + 1]))]).astype(np.int64))
+
+    def place(self, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(self.cuts, key, "left")
+        out = self.begins[len(self.cuts) - at].copy()
+        below = at < len(self.cuts)
+        i = np.minimum(at, max(len(self.cuts) - 1, 0))
+        if len(self.cuts):
+            m = np.where(below, self.parts[i], 0)
+            own = below & (self.cuts[i] == key) & (m > 0)
+            from_least = (tie.view(np.uint64) ^ np.uint64(1 << 63)).astype(np.float64) / 2.0**64
+            sub = np.minimum((from_least * np.maximum(m, 1)).astype(np.int64), np.maximum(m, 1) - 1)
+            out += np.where(own, sub, m)
+        return out
+
+
 def _in_order(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, guest, key, tie, doc_id, text (packed): ranges of descending ids, each followed by the next range's first rows as guests."""
+    """bucket, guest, key, tie, doc_id, text (packed): ranges of descending ids, each followed by the next range's first row as guest.
+
+    Rows of one doc_id, and those without any, follow each other by a hash of the text; where
+    they are many they have several ranges.
+    """
     lowest = -(2**63)
     keyed = docs.select(F.coalesce(docs["doc_id"].cast("long"), F.lit(lowest)).alias("key"), F.xxhash64(docs["text"].cast("string")).alias("tie"), docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    cuts = np.unique(np.array(keyed.select("key").approxQuantile("key", [k / buckets for k in range(1, buckets)], 0.25 / buckets), np.float64)) if buckets > 1 else np.zeros(0)
-    cuts = np.unique(cuts.astype(np.int64))
+    cuts = keyed.agg(F.percentile_approx("key", [k / buckets for k in range(1, buckets)], 100 * buckets)).first()[0] if buckets > 1 else []
+    ranges = Ranges.of(cuts or [])
 
-    def bucket_of(key: np.ndarray) -> np.ndarray:
-        return len(cuts) - np.searchsorted(cuts, key, "left")
+    def firsts(bucket: np.ndarray, key: np.ndarray, tie: np.ndarray) -> np.ndarray:
+        """Of each bucket there the row that comes first."""
+        order = np.lexsort((tie, ~key, bucket))
+        return order[np.unique(bucket[order], return_index=True)[1]]
 
-    def greatest(batches):
+    def heads(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            b = bucket_of(key)
-            top = np.full(len(cuts) + 1, lowest)
-            np.maximum.at(top, b, key)
-            there = np.unique(b)
-            yield pa.record_batch([pa.array(there), pa.array(top[there])], ["bucket", "key"])
-
-    tops = dict(keyed.select("key").mapInArrow(greatest, "bucket long, key long").groupBy("bucket").agg(F.max("key")).collect())
-    order = sorted(tops)
+            key, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            b = ranges.place(key, tie)
+            at = firsts(b, key, tie)
+            yield pa.record_batch([pa.array(b[at]), pa.array(key[at]), pa.array(~tie[at])], ["bucket", "key", "late"])
+
+    found = keyed.select("key", "tie").mapInArrow(heads, "bucket long, key long, late long").groupBy("bucket").agg(F.max(F.struct("key", "late")).alias("h")).collect()  # a row for each range
+    head = {r["bucket"]: (r["h"]["key"], ~r["h"]["late"]) for r in found}
+    order = sorted(head)
     host = {b: order[k - 1] for k, b in enumerate(order)}  # the first range's first row follows the last range
 
+    @V.tidy
     def dealt(batches):
         for batch in batches:
-            key = batch.column(0).to_numpy()
-            b = bucket_of(key)
-            top = np.array([tops[x] for x in b.tolist()], np.int64)
-            guests = np.flatnonzero(key == top)
+            key, tie = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            b = ranges.place(key, tie)
+            at = firsts(b, key, tie)
+            guests = np.array([k for k in at.tolist() if (key[k], tie[k]) == head[b[k]]], np.int64)
             both = np.concatenate([np.arange(len(key)), guests])
             to = np.concatenate([b, np.array([host[x] for x in b[guests].tolist()], np.int64)])
             columns = [*batch.columns[:-1], V.packed(batch.column(3))]
@@ -205,6 +241,7 @@ def edited_likeness(docs: DataFrame, buckets: int | None = None) -> DataFrame:
             pa.array(likeness(mine, changed)), pa.array(likeness(mine, nxt)),
         ], ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
+    @V.tidy
     def run(batches):
         rows: list[tuple] = []  # (bucket, guest, doc_id, text) not answered yet
         size = 0

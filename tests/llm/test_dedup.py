@@ -181,3 +181,19 @@ def test_fingerprints(docs, odd, clashing):
 def test_edited_texts_are_nearer_than_the_next_ones(docs):
     got = imatch.edited_likeness(docs).collect()
     assert np.mean([r.near_edited > r.near_next for r in got]) > 0.9
+
+
+def test_rows_of_one_id_are_dealt_into_several_ranges(spark):
+    """Most rows without id, many of one id, some of them equal: the order stays that of id and hash of the text."""
+    rng = np.random.default_rng(6)
+    rows = [(None if k % 2 else 7 if k % 3 else k, f"text {rng.integers(150)} of many words " * int(rng.integers(1, 4))) for k in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    ranged = imatch._in_order(df, 12).select("bucket", "guest").where("guest = 0").groupBy("bucket").count().collect()
+    assert len(ranged) > 8 and max(r["count"] for r in ranged) < 150
+    tie = {r.text: r.h for r in df.select("text", F.xxhash64("text").alias("h")).distinct().collect()}
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), tie[r[1]]))
+    want = []
+    for k, (ident, text) in enumerate(order):
+        follower, half = order[(k + 1) % len(order)][1], len(text) // 2
+        want.append((str(ident), hashlib.sha256((text[: len(text) - half] + follower[:half]).encode()).hexdigest()))
+    assert sorted((str(r.doc_id), r.edited_sha256) for r in imatch.edited_likeness(df, buckets=12).collect()) == sorted(want)
