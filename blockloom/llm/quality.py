@@ -119,9 +119,8 @@ class Classifier:
 
 def _mean(values: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Of each document the mean of its values, 0 without any."""
-    total = np.zeros(len(first) - 1)
-    np.add.at(total, np.repeat(np.arange(len(total)), np.diff(first)), values)
-    return total / np.maximum(np.diff(first), 1)
+    n = np.diff(first)
+    return np.bincount(np.repeat(np.arange(len(n)), n), values, len(n)) / np.maximum(n, 1)
 
 
 def expand(z: np.ndarray) -> np.ndarray:
@@ -181,17 +180,19 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
         for batch in batches:
             for i, j, data, offsets in V.parts(batch.column(2)):
                 buckets, first = vocabulary(data, offsets)
-                yield pa.record_batch([*(batch.column(k)[i:j] for k in range(2)), pa.array(list(features(data, offsets)), pa.list_(pa.float64())), pa.ListArray.from_arrays(pa.array(first, pa.int32()), pa.array(buckets, pa.int32()))], ["fold", "y", "x", "words"])
+                small, at = buckets.astype("<u2").tobytes(), (2 * first).tolist()
+                yield pa.record_batch([*(batch.column(k)[i:j] for k in range(2)), pa.array([x.tobytes() for x in features(data, offsets)], pa.binary()), pa.array([small[a:b] for a, b in zip(at, at[1:])], pa.binary())], ["fold", "y", "x", "words"])
 
-    rows = sample.select(fold(F.col("doc_id")), "y", "text").mapInArrow(run, "fold int, y int, x array<double>, words array<int>").collect()  # 2 * per_class rows of at most BUCKETS numbers
+    rows = sample.select(fold(F.col("doc_id")), "y", "text").mapInArrow(run, "fold int, y int, x binary, words binary").collect()  # 2 * per_class rows of at most 2 * BUCKETS bytes
     rows.sort(key=lambda r: (r.y, r.x, r.words))
     return [_trained([r for r in rows if r.fold != k]) for k in range(FOLDS)]
 
 
 def _trained(rows: list) -> Classifier:
-    words = [np.array(r.words, np.int64) for r in rows]
-    first = np.cumsum([0, *(len(w) for w in words)])
-    return train(np.array([r.x for r in rows]).reshape(-1, len(FEATURES)), np.concatenate([np.zeros(0, np.int64), *words]), first, np.array([r.y for r in rows], np.int64))
+    first = np.cumsum([0, *(len(r.words) // 2 for r in rows)])
+    words = np.frombuffer(b"".join(bytes(r.words) for r in rows), "<u2").astype(np.int64)
+    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float64).reshape(-1, len(FEATURES))
+    return train(x, words, first, np.array([r.y for r in rows], np.int64))
 
 
 def strength(groups: DataFrame, rate: Column) -> float:
@@ -235,6 +236,7 @@ def sites(docs: DataFrame, labels: DataFrame, host: str = "source", path: str =
 def judged(docs: DataFrame, labels: DataFrame, columns: list[str], host: str = "source", path: str = "lang", models: list[Classifier] | None = None) -> DataFrame:
     """The columns, named c0, c1, ..., with _evidence, _host_rate, _site_rate and _posterior (probability of good) of each row."""
     models = models or fit(docs, labels)
+    odds_of = np.stack([m.words for m in models])
     place = len(columns)
 
     @V.tidy
@@ -244,10 +246,10 @@ def judged(docs: DataFrame, labels: DataFrame, columns: list[str], host: str = "
                 part = batch.slice(i, j - i)
                 own = part.column(place + 3).to_numpy()
                 x, (buckets, first) = features(data, offsets), vocabulary(data, offsets)
-                evidence = np.zeros(j - i)
+                lexical, evidence = _mean(odds_of[np.repeat(own, np.diff(first)), buckets], first), np.zeros(j - i)
                 for k, model in enumerate(models):
-                    mine = own == k
-                    evidence[mine] = model.combined(x, _mean(model.words[buckets], first))[mine]
+                    mine = np.flatnonzero(own == k)
+                    evidence[mine] = model.combined(x[mine], lexical[mine])
                 yield pa.record_batch([*part.columns[:place], *part.columns[place + 1 :], pa.array(evidence)], names)
 
     key = [F.coalesce(docs[c].cast("string"), F.lit("\0")).alias(n) for c, n in ((host, "_host"), (path, "_path"))]
