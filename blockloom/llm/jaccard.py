@@ -30,6 +30,8 @@ FREQUENT_FROM = 48
 #: Sets of one trie; a hub with more has them in blocks.
 BLOCK = 512
 SALTS = 32
+#: Hubs of several blocks are broadcast up to this many (12 bytes each).
+BROADCAST_HUBS = 100_000
 #: Beyond the first shingles that a link needs, one in so many of a set's shingles is looked at too; a set of which
 #: fewer than as many meet another set there cannot link.
 EXTRA = 20
@@ -396,8 +398,10 @@ def _linked(met: DataFrame, sets: DataFrame, similarity: tuple[int, int]) -> Dat
             if out := [(name(rows[a]), name(rows[b]), None, None, None, None) for a, b in trie_links([np.frombuffer(r[5], "<u8") for r in rows], similarity, side)]:
                 yield told(out)
 
-    blocks = met.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    full = met.join(blocks, "hub").withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    blocks = checkpoint(met.groupBy("hub").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks")).where("blocks > 1"))
+    few = blocks.limit(BROADCAST_HUBS + 1).count() <= BROADCAST_HUBS
+    full = met.join(F.broadcast(blocks) if few else blocks, "hub", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))  # a hot hub's sets stay where they are
+    full = full.withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
     own = F.when((F.col("class") == F.col("hub")) & (F.col("blocks") > 1), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("block"))
     dealt = full.select("hub", F.explode(own).alias("block"), (F.col("blocks") > 1).alias("several"), "class").join(sets, "class").select("hub", "block", "several", "class", "more", "shingles")
     first = checkpoint(dealt.repartition("hub", "block").sortWithinPartitions("hub", "block").mapInArrow(within, schema))
