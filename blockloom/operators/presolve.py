@@ -174,14 +174,17 @@ def singleton_columns(p: Problem) -> DataFrame:
 def normalized_rows(p: Problem) -> DataFrame:
     """system, row_id, factor, signature, lo, hi: rows divided by their entry of greatest size, which becomes positive 1.
 
-    Of several such entries the one of the least column counts.
+    Of several such entries the one of the least column counts.  The signature is an order-free
+    128-bit hash of the entries and their number, so no row is gathered in one place.
     """
     lead = F.max(F.struct(F.abs("val").alias("m"), (-F.col("col_id")).alias("c"), F.col("val").alias("v")))
     factor = p.nnz.groupBy(*KEY).agg(lead["v"].alias("factor"))
-    entries = p.nnz.join(factor, KEY).groupBy(*KEY, "factor").agg(F.array_sort(F.collect_list(F.struct("col_id", F.round(F.col("val") / F.col("factor"), 9).alias("v")))).alias("entries"))
+    term = F.round(F.col("val") / F.col("factor"), 9) + F.lit(0.0)
+    hashed = [F.hex(F.bit_xor(F.xxhash64(F.lit(k), F.col("col_id"), term))) for k in (1, 2)]
+    entries = p.nnz.join(factor, KEY).groupBy(*KEY, "factor").agg(F.concat_ws(":", *hashed, F.count(F.lit(1)).cast("string")).alias("signature"))
     a = entries.join(p.rows.select(*KEY, "lo", "hi"), KEY)
     lo, hi = F.col("lo") / F.col("factor"), F.col("hi") / F.col("factor")
-    return a.select(*KEY, "factor", F.sha2(F.to_json("entries"), 256).alias("signature"), F.when(F.col("factor") > 0, lo).otherwise(hi).alias("lo"), F.when(F.col("factor") > 0, hi).otherwise(lo).alias("hi"))
+    return a.select(*KEY, "factor", "signature", F.when(F.col("factor") > 0, lo).otherwise(hi).alias("lo"), F.when(F.col("factor") > 0, hi).otherwise(lo).alias("hi"))
 
 
 def parallel_rows(p: Problem) -> DataFrame:
