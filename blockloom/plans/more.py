@@ -13,6 +13,7 @@ from blockloom.operators import scaling, structure, timeseries
 from blockloom.operators import vector as V
 from blockloom.plans.lp import SQL_MIXED, from_orders_mixed
 from blockloom.plans.queries import ORACLE, QUERIES, Query, _r, _t, query
+from blockloom.sources import tables
 
 
 def mixed(sql: str):
@@ -600,3 +601,76 @@ def steps_rolled_up(spark, sf):
     """Sums, plain and weighted averages and maxima of data per model step, by the library's roll-up."""
     d = _t(spark, sf, "events").select((F.col("user_id") % 20).alias("region"), F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / 21_600_000_000).alias("step"), F.lit(2.0).alias("overlap"), "value")
     return timeseries.roll_up(d, ["region", "step"], "value", "overlap").select("region", "step", _r("average", 9).alias("average"), _r("weighted", 9).alias("weighted"), _r("total", 6).alias("total"), "most")
+
+
+# --- sources and orders ----------------------------------------------------------------------------------------------
+
+
+@mixed("SELECT col_id, block, row_number() OVER (ORDER BY block, col_id) - 1 AS position FROM cols")
+def columns_by_stage(spark, sf):
+    return tables.column_order(from_orders_mixed(spark, sf).cols, 8).select("col_id", "block", "position")
+
+
+@mixed("SELECT system, row_id, kind, row_number() OVER (PARTITION BY kind ORDER BY row_id) - 1 AS position FROM (SELECT system, row_id, CASE WHEN block = 7 THEN 'link_' ELSE 'local_' END || lower(system) AS kind FROM \"rows\")")
+def rows_by_kind(spark, sf):
+    return tables.row_order(from_orders_mixed(spark, sf).rows, 7)
+
+
+@mixed(", own AS (SELECT * FROM nnz WHERE row_block = 3) SELECT system, row_id, dense_rank() OVER (ORDER BY col_id) - 1 AS col_id, val FROM own")
+def one_block_squeezed(spark, sf):
+    return tables.squeezed(from_orders_mixed(spark, sf), 3).nnz.select("system", "row_id", "col_id", "val")
+
+
+@mixed("SELECT system, row_id, hi FROM \"rows\" WHERE block = 5")
+def one_block_read(spark, sf):
+    """The rows of one block of a problem that was written and read again."""
+    import uuid
+
+    from blockloom.plans import lp
+    from blockloom.session import checkpoint, shared_folder
+
+    folder = f"{shared_folder(spark)}/problem-{uuid.uuid4().hex}"
+    lp.write(from_orders_mixed(spark, sf), folder)
+    out = checkpoint(lp.read_block(lp.read(spark, folder), 5).rows.select("system", "row_id", "hi"))
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return out
+
+
+@mixed("SELECT CAST((SELECT count(*) FROM cols) AS BIGINT) AS q, CAST(count(*) FILTER (system = 'EQ') AS BIGINT) AS equalities, CAST(count(*) FILTER (system = 'INEQ') AS BIGINT) AS inequalities FROM nnz")
+def entries_by_matrix(spark, sf):
+    p = from_orders_mixed(spark, sf)
+    return tables.entries_by_matrix(p, p.cols.select(F.col("col_id").alias("row_id"), "col_id", F.lit(1.0).alias("val")))
+
+
+@mixed("SELECT system, row_id FROM \"rows\" ANTI JOIN (SELECT DISTINCT system, row_id FROM nnz WHERE row_block = col_block) USING (system, row_id)")
+def empty_local_rows(spark, sf):
+    return tables.empty_local_rows(from_orders_mixed(spark, sf))
+
+
+@mixed("SELECT col_id, row_number() OVER (ORDER BY CASE WHEN n > 2 THEN 0 WHEN n > 0 THEN 1 ELSE 2 END, col_id) - 1 AS position FROM (SELECT col_id, count(DISTINCT row_block) AS n FROM cols LEFT JOIN nnz USING (col_id) GROUP BY col_id)")
+def global_columns_first(spark, sf):
+    p = from_orders_mixed(spark, sf)
+    links = p.cols.select("col_id").join(structure.column_links(p.nnz), "col_id", "left").fillna({"n_blocks": 0})
+    return tables.globals_first(links)
+
+
+@mixed(_IT + "SELECT system, row_id, round(coalesce(value, 0), 6) AS level, y AS marginal, lo, hi FROM ir LEFT JOIN ax USING (system, row_id)")
+def equations_with_duals(spark, sf):
+    p, it, _ = _iterate(spark, sf)
+    return tables.equations(p, it).withColumn("level", _r("level", 6))
+
+
+@query("SELECT CAST(n_nationkey AS VARCHAR) || ' ' || CAST(CAST(n_regionkey AS DOUBLE) AS VARCHAR) AS line FROM nation", lp=False)
+def vector_lines(spark, sf):
+    return tables.vector_lines(_t(spark, sf, "nation").withColumn("v", F.col("n_regionkey").cast("double")), "n_nationkey", "v")
+
+
+@mixed(""", b AS (SELECT col_id, cost, coalesce(lb, 0) AS lb, coalesce(ub, 10) AS ub FROM cols) SELECT round(sum(CASE WHEN cost > 0 THEN cost * lb ELSE cost * ub END), 3) AS bound FROM b""")
+def relaxed_bound(spark, sf):
+    """The first bound of a Lagrangian relaxation: all multipliers are 0, every column stands at its cheaper bound."""
+    from blockloom.operators.lagrange import relax
+
+    p = from_orders_mixed(spark, sf)
+    boxed = p.with_(cols=p.cols.withColumns({"lb": F.coalesce("lb", F.lit(0.0)), "ub": F.coalesce("ub", F.lit(10.0))}))
+    return spark.createDataFrame([(round(relax(boxed, 1).bounds[0], 3),)], "bound double")

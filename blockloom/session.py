@@ -4,19 +4,25 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df written to the checkpoint folder and read back.
+def shared_folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, which all executors share.
 
-    The folder is spark.checkpoint.dir of the session; only where that is unset and the master
-    is local, as in tests, a temporary one is made.
+    Only where spark.checkpoint.dir is unset and the master is local, as in tests, a temporary
+    folder is made.
     """
-    context = df.sparkSession.sparkContext
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        folder = spark.conf.get("spark.checkpoint.dir", None)
         if folder is None and not (context.master == "local" or context.master.startswith("local[")):
             raise ValueError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df written to the checkpoint folder and read back."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -87,3 +87,54 @@ def test_a_quadratic_objective_is_read_or_refused(spark, tmp_path):
     assert sorted(tuple(r) for r in mps.quadratic(spark, str(path), cols).collect()) == [(0, 0, 2.0), (1, 0, -1.0)]
     x = spark.createDataFrame([(0, 1.5)], "col_id long, x double")
     assert sorted(r.line for r in mps.solution(x, cols).collect()) == ["x 1.5", "y unset"]
+
+
+def callback_rows(table, block):
+    """Two blocks of one column and one row each."""
+    one = {"cols": (block, block, 1.0 + block, 0.0, None), "rows": ("EQ", block, block, 2.0, 2.0), "nnz": ("EQ", block, block, 4.0, block, block)}
+    yield one[table]
+
+
+def test_a_python_data_source_and_csv_files(spark, tmp_path):
+    from blockloom.sources import tables
+
+    p = tables.from_callback(spark, 2, "tests.test_sources:callback_rows")
+    assert sorted(tuple(r) for r in p.cols.collect()) == [(0, 0, 1.0, 0.0, None), (1, 1, 2.0, 0.0, None)]
+    s = solve(p)
+    assert abs(s.objective - 1.5) < 1e-4
+    for t in ("cols", "rows", "nnz"):
+        getattr(p, t).write.csv(f"{tmp_path}/{t}.csv", header=True)
+    q = tables.read_csv(spark, str(tmp_path))
+    assert all(sorted(map(tuple, getattr(p, t).collect())) == sorted(map(tuple, getattr(q, t).collect())) for t in ("cols", "rows", "nnz"))
+    tables.write_solution(p, s.iterate, s.status, f"{tmp_path}/out")
+    assert {r.row_id: round(r.marginal, 4) for r in spark.read.parquet(f"{tmp_path}/out/equations").collect()} == {0: 0.25, 1: 0.5}
+    with pytest.raises(ValueError):
+        tables.write_solution(p, s.iterate, "infeasible", f"{tmp_path}/no")
+    (tmp_path / "s.csv").write_text("t,a,b\n1,2.5,x\n2,,4\n")
+    assert sorted(map(tuple, tables.read_series(spark, f"{tmp_path}/s.csv", ["t"]).collect()), key=str) == [("1", "a", 2.5), ("1", "b", None), ("2", "a", None), ("2", "b", 4.0)]
+    (tmp_path / "i.txt").write_text("# name blocks\n one  4\n\ntwo 8 9\n")
+    assert sorted(map(tuple, tables.read_instances(spark, f"{tmp_path}/i.txt", ["name", "blocks"]).collect())) == [("one", "4"), ("two", "8")]
+
+
+def test_relaxation_like_plain_python(spark):
+    from lp_fixtures import build
+
+    from blockloom.operators.lagrange import relax
+
+    cols = {"x": (0, -3, 0.0, 4.0), "y": (0, -2, 0.0, 5.0), "z": (0, 1, 1.0, 2.0)}
+    rows = [("INEQ", 0, {"x": 1, "y": 1}, None, 6.0), ("EQ", 0, {"x": 1, "z": 1}, 4.0, 4.0)]
+    p, _ = build(spark, cols, rows)
+    got = relax(p, 12, 2.0)
+    y, bounds = [0.0, 0.0], []
+    for k in range(12):
+        r = {"x": -3 - y[0] - y[1], "y": -2 - y[0], "z": 1 - y[1]}
+        x = {n: cols[n][2] if r[n] > 0 else cols[n][3] if r[n] < 0 else cols[n][2] for n in cols}
+        bounds.append(sum(r[n] * x[n] for n in cols) + y[0] * 6 + y[1] * 4)
+        v = [x["x"] + x["y"], x["x"] + x["z"]]
+        g = [(6 - v[0]) if y[0] < 0 else -max(v[0] - 6, 0), (4 - v[1]) if y[1] else max(4 - v[1], 0) - max(v[1] - 4, 0)]
+        norm = sum(a * a for a in g) ** 0.5
+        if not norm:
+            break
+        y = [min(y[0] + 2 / (k + 1) / norm * g[0], 0.0), y[1] + 2 / (k + 1) / norm * g[1]]
+    assert got.bounds == pytest.approx(bounds) and got.bound == pytest.approx(max(bounds))
+    assert got.bound <= solve(p).objective + 1e-4
