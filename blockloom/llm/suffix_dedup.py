@@ -26,6 +26,8 @@ K = 40
 BLOCK_BYTES = 48 << 10
 #: Distinct segments of one anchor beyond this many bytes are compared start by start.
 ANCHOR_BYTES = 1 << 20
+#: Such anchors are broadcast up to this many (16 bytes each).
+BROADCAST_ANCHORS = 100_000
 #: Documents longer than this are cut, with SPAN - 1 bytes of overlap, while anchors are sought.
 PIECE_BYTES = 2 << 20
 #: Bytes of segments passed on together.
@@ -444,8 +446,10 @@ def removals(docs: DataFrame, by_text: bool) -> DataFrame:
     met = checkpoint(_met(_anchored(docs, by_text)))
     wanted = met.where("fetch").drop("fetch")
     size = F.col("place").bitwiseAND(F.lit(127)) + SPAN - 1
-    weight = wanted.groupBy("anchor").agg((F.sum(size) > ANCHOR_BYTES).alias("large"))
-    fetched = checkpoint(_fetched(docs, wanted.join(weight, "anchor"), by_text))
+    large = checkpoint(wanted.groupBy("anchor").agg(F.sum(size).alias("_size")).where(F.col("_size") > ANCHOR_BYTES).select("anchor", F.lit(True).alias("large")))
+    few = large.limit(BROADCAST_ANCHORS + 1).count() <= BROADCAST_ANCHORS
+    marked = wanted.join(F.broadcast(large) if few else large, "anchor", "left").withColumn("large", F.coalesce("large", F.lit(False)))  # a hot anchor's segments stay where they are
+    fetched = checkpoint(_fetched(docs, marked, by_text))
     position = F.shiftright("place", 7)
     copies = met.where("NOT fetch").select(*ID, position.alias("begin"), (position + size).alias("stop"))
     compared = checkpoint(_compared(fetched))
