@@ -89,16 +89,10 @@ def test_a_quadratic_objective_is_read_or_refused(spark, tmp_path):
     assert sorted(r.line for r in mps.solution(x, cols).collect()) == ["x 1.5", "y unset"]
 
 
-def callback_rows(table, block):
-    """Two blocks of one column and one row each."""
-    one = {"cols": (block, block, 1.0 + block, 0.0, None), "rows": ("EQ", block, block, 2.0, 2.0), "nnz": ("EQ", block, block, 4.0, block, block)}
-    yield one[table]
-
-
 def test_a_python_data_source_and_csv_files(spark, tmp_path):
     from blockloom.sources import tables
 
-    p = tables.from_callback(spark, 2, "tests.test_sources:callback_rows")
+    p = tables.from_callback(spark, 2, "tests.callback_block:callback_rows")
     assert sorted(tuple(r) for r in p.cols.collect()) == [(0, 0, 1.0, 0.0, None), (1, 1, 2.0, 0.0, None)]
     s = solve(p)
     assert abs(s.objective - 1.5) < 1e-4
