@@ -29,35 +29,37 @@ def placed(conversations: DataFrame) -> DataFrame:
 
     Turns are ordered by number, role and text, nulls first; rows repeated in full count once.
     """
-    rows = conversations.select("conv_id", F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
+    ident = F.struct(F.col("conv_id").alias("conv_id")).alias("_c")  # equal to another one even where conv_id is null, so plain joins meet and shuffles are shared
+    rows = conversations.select(ident, F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text")).distinct()
     rows = rows.withColumn("_range", F.coalesce(F.floor(F.col("turn") / BLOCK), F.lit(-(2**53))))
     place, drawn = F.struct(*_ORDER), F.pmod(F.xxhash64(*_ORDER), F.lit(CUT_AT)) == 0
-    crowded = rows.groupBy("conv_id", "_range").agg(F.count(F.lit(1)).alias("_many"), F.array_sort(F.collect_list(F.when(drawn, place))).alias("_cuts")).where(F.col("_many") > BLOCK)
-    rows = rows.alias("r").join(crowded.alias("c"), F.expr("r.conv_id <=> c.conv_id AND r._range = c._range"), "left").select("r.*", "c._cuts")
+    crowded = rows.groupBy("_c", "_range").agg(F.count(F.lit(1)).alias("_many"), F.array_sort(F.collect_list(F.when(drawn, place))).alias("_cuts")).where(F.col("_many") > BLOCK).drop("_many")
+    rows = rows.join(crowded, ["_c", "_range"], "left")
     sub = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
     rows = rows.withColumn("_block", F.struct("_range", F.when(F.col("_cuts").isNull(), F.lit(0)).otherwise(sub).alias("sub"))).drop("_cuts", "_range")
-    within = Window.partitionBy("conv_id", "_block").orderBy(*(F.col(c).asc_nulls_first() for c in _ORDER))
-    whole = Window.partitionBy("conv_id")
-    blocks = rows.groupBy("conv_id", "_block").agg(F.count(F.lit(1)).alias("_turns"))
+    within = Window.partitionBy("_c", "_block").orderBy(*(F.col(c).asc_nulls_first() for c in _ORDER))
+    whole = Window.partitionBy("_c")
+    numbered = rows.withColumn("_in_block", F.row_number().over(within))
+    blocks = rows.groupBy("_c", "_block").agg(F.count(F.lit(1)).alias("_turns"))
     blocks = blocks.select(
-        "conv_id", "_block",
+        "_c", "_block",
         F.coalesce(F.sum("_turns").over(whole.orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"),
         F.sum("_turns").over(whole).alias("_n"),
     )
-    return rows.withColumn("_in_block", F.row_number().over(within)).alias("r").join(blocks.alias("b"), F.expr("r.conv_id <=> b.conv_id AND r._block = b._block")).select("r.conv_id", *(f"r.{c}" for c in _ORDER), "r._block", (F.col("b._before") + F.col("r._in_block")).alias("_k"), "b._n")
+    return numbered.join(blocks, ["_c", "_block"]).select("_c", F.col("_c.conv_id").alias("conv_id"), *_ORDER, "_block", (F.col("_before") + F.col("_in_block")).alias("_k"), "_n")
 
 
 def rolling(turns: DataFrame) -> DataFrame:
     """conv_id, _k, _n and the rolling hash at every place; turns is placed(...)."""
     content = F.sha2(F.concat_ws(":", F.col("_k").cast("string"), F.to_json(F.struct("role", "text"))), 256)
-    lanes = turns.select("conv_id", "_block", "_k", "_n", content.alias("_g")).withColumns({h: F.conv(F.substring("_g", 1 + 8 * k, 8), 16, 10).cast("long") for k, h in enumerate(_LANES)}).drop("_g")
-    running = Window.partitionBy("conv_id", "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
-    earlier = Window.partitionBy("conv_id").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    sums = lanes.groupBy("conv_id", "_block").agg(*(F.sum(h).alias(h) for h in _LANES))
-    sums = sums.select("conv_id", "_block", *(F.coalesce(F.sum(h).over(earlier), F.lit(0)).alias(f"{h}b") for h in _LANES))
+    lanes = turns.select("_c", "_block", "_k", "_n", content.alias("_g")).withColumns({h: F.conv(F.substring("_g", 1 + 8 * k, 8), 16, 10).cast("long") for k, h in enumerate(_LANES)}).drop("_g")
+    lanes = checkpoint(lanes)  # numbers only: what follows reads it twice
+    running = Window.partitionBy("_c", "_block").orderBy("_k").rowsBetween(Window.unboundedPreceding, 0)
+    earlier = Window.partitionBy("_c").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    sums = lanes.groupBy("_c", "_block").agg(*(F.sum(h).alias(h) for h in _LANES))
+    sums = sums.select("_c", "_block", *(F.coalesce(F.sum(h).over(earlier), F.lit(0)).alias(f"{h}b") for h in _LANES))
     rolled = lanes.withColumns({h: F.sum(h).over(running) for h in _LANES})
-    joined = rolled.alias("r").join(sums.alias("s"), F.expr("r.conv_id <=> s.conv_id AND r._block = s._block"))
-    return joined.select("r.conv_id", "r._k", "r._n", *((F.col(f"r.{h}") + F.col(f"s.{h}b")).alias(h) for h in _LANES))
+    return rolled.join(sums, ["_c", "_block"]).select(F.col("_c.conv_id").alias("conv_id"), "_k", "_n", *((F.col(h) + F.col(f"{h}b")).alias(h) for h in _LANES))
 
 
 def maximal(rolled: DataFrame) -> DataFrame:
