@@ -141,39 +141,64 @@ class Words:
         self.clear()
 
     def clear(self):
-        self.place: dict[bytes, int] = {}
-        self.size = 0
+        self.keys, self.at = np.zeros(0, np.uint64), np.zeros(0, np.int64)  # hashes in order, and each one's word
+        self.odd: dict[bytes, int] = {}  # words whose hash another word has
+        self.raw, self.begin, self.length = np.zeros(0, np.uint8), np.zeros(0, np.int64), np.zeros(0, np.int64)  # the words
         self.ids, self.text = [np.zeros(0, np.uint32)], [np.zeros(0, np.uint8)]
         self.n_ids, self.n_text = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         self.flat = None
 
+    def _add(self, words: list[bytes]) -> np.ndarray:
+        """The places of words that are not there yet."""
+        found = self.encode(words)
+        size = np.array([len(w) for w in words], np.int64)
+        self.begin = np.concatenate([self.begin, len(self.raw) + np.cumsum(size) - size])
+        self.length = np.concatenate([self.length, size])
+        self.raw = np.concatenate([self.raw, np.frombuffer(b"".join(words), np.uint8)])
+        self.ids.append(np.array([i for ids, _ in found for i in ids], np.uint32))
+        self.text.append(np.frombuffer(b"".join(t for _, t in found), np.uint8))
+        self.n_ids.append(np.array([len(ids) for ids, _ in found], np.int64))
+        self.n_text.append(np.array([len(t) for _, t in found], np.int64))
+        self.flat = None
+        return np.arange(len(self.length) - len(words), len(self.length))
+
     def look_up(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        """Of each span, its word's place in tables().  Spans of one hash are compared byte by byte."""
-        if len(self.place) > self.most or self.size > REMEMBERED_BYTES:
+        """Of each span, its word's place in tables().  Spans and words of one hash are compared byte by byte."""
+        if len(self.length) > self.most or len(self.raw) > REMEMBERED_BYTES:
             self.clear()
         at = V.lanes(data)
-        _, first, inverse = np.unique(V.hashes(at, data, starts, ends), return_index=True, return_inverse=True)
-        odd = unlike(at, starts, ends, first[inverse])
-        raw = data.tobytes()
-        spans = np.concatenate([first, odd])
-        listed = [raw[a:b] for a, b in zip(starts[spans].tolist(), ends[spans].tolist())]
-        places = [self.place.get(w, -1) for w in listed]
-        if new := list(dict.fromkeys(w for w, k in zip(listed, places) if k < 0)):
-            found = self.encode(new)
-            for w in new:
-                self.place[w] = len(self.place)
-                self.size += len(w)
-            self.ids.append(np.array([i for ids, _ in found for i in ids], np.uint32))
-            self.text.append(np.frombuffer(b"".join(t for _, t in found), np.uint8))
-            self.n_ids.append(np.array([len(ids) for ids, _ in found], np.int64))
-            self.n_text.append(np.array([len(t) for _, t in found], np.int64))
-            self.flat = None
-            places = [self.place[w] for w in listed]
-        places = np.array(places, np.int64)
+        distinct, first, inverse = np.unique(V.hashes(at, data, starts, ends), return_index=True, return_inverse=True)
+        apart = unlike(at, starts, ends, first[inverse])
+        raw, s, e = data.tobytes(), starts[first], ends[first]
+        spot = np.minimum(np.searchsorted(self.keys, distinct), max(len(self.keys) - 1, 0))
+        hit = self.keys[spot] == distinct if len(self.keys) else np.zeros(len(distinct), bool)
+        places = np.full(len(distinct), -1)
+        places[hit] = self.at[spot[hit]]
+        here = np.flatnonzero(hit)
+        wrong = here[self._differ(data, s[here], e[here], places[here])]
+        if len(new := np.flatnonzero(~hit)):
+            places[new] = self._add([raw[x:y] for x, y in zip(s[new].tolist(), e[new].tolist())])
+            keys, owner = np.concatenate([self.keys, distinct[new]]), np.concatenate([self.at, places[new]])
+            order = np.argsort(keys, kind="stable")
+            self.keys, self.at = keys[order], owner[order]
         out = places[inverse]
-        out[odd] = places[len(first) :]
+        if len(wrong) or len(apart):
+            again = np.concatenate([np.flatnonzero(np.isin(inverse, wrong)), apart])
+            listed = [raw[x:y] for x, y in zip(starts[again].tolist(), ends[again].tolist())]
+            if more := list(dict.fromkeys(w for w in listed if w not in self.odd)):
+                self.odd |= dict(zip(more, self._add(more).tolist()))
+            out[again] = [self.odd[w] for w in listed]
         return out
 
+    def _differ(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, places: np.ndarray) -> np.ndarray:
+        """Which of the spans are not the words at the places."""
+        size = ends - starts
+        wrong = size != self.length[places]
+        size = np.where(wrong, 0, size)
+        unequal = data[V.ragged(starts, size)] != self.raw[V.ragged(self.begin[places], size)]
+        total, stop = np.concatenate([[0], np.cumsum(unequal)]), np.cumsum(size)
+        return wrong | (total[stop] != total[stop - size])
+
     def tables(self):
         """(ids, starts, lengths) and (bytes, starts, lengths) by place."""
         if self.flat is None:

@@ -80,3 +80,28 @@ def test_packing(docs, odd, clashing, tokenizer, reference):
         for _, g in rows.sort_values("offset").groupby("sequence_id"):
             assert (g.offset.values == np.concatenate([[0], np.cumsum(g.length.values)[:-1]])).all() and g.length.sum() <= 2048
         assert rows.sequence_id.nunique() <= -(-rows.length.sum() // 2048) * (1 + slack) + 1
+
+
+def test_words_whose_hashes_agree_keep_their_own_ids(tokenizer, monkeypatch):
+    """Thue-Morse words, and every word under one hash."""
+    import numpy as np
+    import tiktoken
+
+    from blockloom.llm import bpe
+    from blockloom.llm import textvec as V
+
+    path, pattern = tokenizer
+    library = tiktoken.Encoding("words", pat_str=pattern, mergeable_ranks=bpe.ranks(path), special_tokens={})
+    a = "a"
+    while len(a) < 1024:
+        a += a.translate({97: 98, 98: 97})
+    texts = [a, a.translate({97: 98, 98: 97}), "it's one, two and é日本 two", "", "two one " * 5]
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *(len(r) for r in raw)])
+    for k in range(2):
+        memory = bpe.Words(lambda words: bpe.contract(words, path))
+        for _ in range(2):
+            ids, at, text, cut = bpe.pieces_to_ids(memory, data, offsets, True)
+            assert [ids[x:y].tolist() for x, y in zip(at, at[1:])] == [library.encode(t) for t in texts]
+            assert [text[x:y].tobytes() for x, y in zip(cut, cut[1:])] == raw
+        monkeypatch.setattr(V, "hashes", lambda at, data, starts, ends: np.zeros(len(starts), np.uint64))
