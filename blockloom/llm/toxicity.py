@@ -6,6 +6,11 @@ over the words, the maximum over the whole text goes into a logistic layer.  The
 calibrated for each language, guessed from the text alone, and moved to a score of 0.5.  The
 fitted numbers are whole multiples of 1/GRAIN, so sums are exact and a text's score does not
 depend on the texts beside it.
+
+Every labelled document outside fold 0 is learned from, where it lies: documents are dealt into
+shards by their id, in each epoch every shard goes on from the common parameters by its own
+steps, and each row of parameters moves by the mean over the steps that touched it.  What shards
+tell is whole numbers, summed by blocks of rows, so their order does not matter.
 """
 
 from __future__ import annotations
@@ -14,21 +19,29 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from blockloom.llm import textvec as V
+from blockloom.llm.session import checkpoint, let_go
 
 WIDTHS = (1, 2, 3)
 FILTERS = 8
 DIM = 16
 BUCKETS = 1 << 15
 PREFIXES = (0, 4, 5, 6)  # 0: the whole word
-EPOCHS = 5
-#: Labelled documents of either class that the model is fitted on; of more, those least by hash.
-TRAIN_PER_CLASS = 1500
-#: Of these, texts of more bytes are not learned from, so that the sample fits into the driver.
-TRAIN_BYTES = 32 << 10
+EPOCHS, RATE = 5, 0.05
+#: Labelled documents of a shard, about; there are as many shards as that takes.
+SHARD = 4096
+#: Documents of a step, fewer where their texts have more bytes.
+STEP, STEP_BYTES = 32, 1 << 20
+#: Rows of parameters or counts that are summed together; shards tell moves in 1/MOVE and squares in 1/SQUARE.
+BLOCK, MOVE, SQUARE = 512, 1 << 20, 1 << 24
+#: Calibration counts logits in bins of 1/BINS up to LIMIT on either side.
+BINS, LIMIT = 256, 64
+#: Labelled ids are marked in so many bits, by hash, to leave other texts out of the shuffle.
+MARKS = 1 << 24
 #: Parameters are multiples of 1/GRAIN; every sum of products of two or three of them is exact in 53 bits.
 GRAIN = 1024
 #: Documents are learned from if crc32(id) mod FOLDS is not 0; those where it is 1 calibrate.
@@ -144,27 +157,51 @@ def scores(model: Model, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def _start(texts: list[Text], labels: list[np.ndarray], rng: np.random.Generator) -> Model:
-    """Embeddings begin at how far each bucket's documents lean to the label; the rest is small and random."""
-    table = rng.normal(0, 0.05, (len(PREFIXES), BUCKETS, DIM)).astype(np.float32)
-    hit = np.zeros((len(PREFIXES), BUCKETS, 2))
-    total = np.zeros(2)
-    for text, y in zip(texts, labels):
+def viewed(flat: np.ndarray) -> Model:
+    """The model whose numbers stand in the rows of flat: DIM each, the table's first."""
+    n = len(PREFIXES) * BUCKETS
+    rest, at, filters = flat[n:].reshape(-1), 0, []
+    for w in WIDTHS:
+        filters.append(rest[at : at + w * DIM * FILTERS].reshape(w, DIM, FILTERS))
+        at += w * DIM * FILTERS
+    m = len(WIDTHS) * FILTERS
+    return Model(flat[:n].reshape(len(PREFIXES), BUCKETS, DIM), filters, rest[at : at + m], rest[at + m : at + 2 * m], rest[at + 2 * m : at + 2 * m + 1].reshape(()))
+
+
+def flat_rows() -> int:
+    small = sum(WIDTHS) * DIM * FILTERS + 2 * len(WIDTHS) * FILTERS + 1
+    return len(PREFIXES) * BUCKETS + -(-small // DIM)
+
+
+def counted(steps) -> np.ndarray:
+    """(features * buckets + 1, 2): of each class the documents with each bucket, last of all the documents."""
+    out = np.zeros((len(PREFIXES) * BUCKETS + 1, 2), np.int64)
+    for text, y in steps:
         doc = np.repeat(np.arange(len(y)), np.diff(text.first))
         for k, b in enumerate(text.buckets):
             pairs = np.unique(doc * BUCKETS + b[text.word])
-            np.add.at(hit[k], (pairs % BUCKETS, y[pairs // BUCKETS]), 1)
-        total += np.bincount(y, minlength=2)
+            np.add.at(out, (k * BUCKETS + pairs % BUCKETS, y[pairs // BUCKETS]), 1)
+        out[-1] += np.bincount(y, minlength=2)
+    return out
+
+
+def _start(counts: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+    """Embeddings begin at how far each bucket's documents lean to the label; the rest is small and random."""
+    flat = np.zeros((flat_rows(), DIM), np.float32)
+    model = viewed(flat)
+    for table in model.table:
+        table[:] = rng.normal(0, 0.05, table.shape)
+    hit, total = counts[:-1].reshape(len(PREFIXES), BUCKETS, 2), counts[-1]
     p = (hit + 0.5) / (total + 1)
     lean = np.log(p[..., 1] / p[..., 0]) / np.sqrt(1 / (hit[..., 1] + 0.5) + 1 / (hit[..., 0] + 0.5))
     for k in range(len(PREFIXES)):
-        table[k, :, k] = np.clip(lean[k] / 4, -1.5, 1.5)
-    filters = [rng.normal(0, 0.1, (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS]
-    for f in filters:
+        model.table[k, :, k] = np.clip(lean[k] / 4, -1.5, 1.5)
+    for f in model.filters:
+        f[:] = rng.normal(0, 0.1, f.shape)
         for k in range(len(f)):
             f[k, : len(PREFIXES)] += np.abs(rng.normal(0.5, 0.3, (len(PREFIXES), FILTERS))) / len(f)
-    n = len(WIDTHS) * FILTERS
-    return Model(table, filters, np.full(n, -0.5, np.float32), np.full(n, 0.3, np.float32), -1.0)
+    model.bias[:], model.weights[:], model.intercept[...] = -0.5, 0.3, -1.0
+    return flat
 
 
 @dataclass
@@ -213,64 +250,94 @@ def gradient(model: Model, text: Text, y: np.ndarray, weight: np.ndarray) -> Gra
     return Gradient(table, g_filters, g_hidden.sum(0), hidden.T @ error + 1e-4 * model.weights, float(error.sum()))
 
 
-def train(texts: list[bytes], labels: np.ndarray, ids_fold: np.ndarray, seed: int = 7) -> Model:
-    """Fitted on the texts whose fold is not 1; these calibrate the thresholds."""
-    rng = np.random.default_rng(seed)
-
-    def batched(index: np.ndarray):
-        for k in range(0, len(index), 32):
-            part = index[k : k + 32]
-            raw = [texts[i] for i in part]
-            yield read(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)), labels[part]
-
-    fit = rng.permutation(np.flatnonzero(ids_fold != 1))
-    batches = list(batched(fit))
-    model = _start([b[0] for b in batches], [b[1] for b in batches], rng)
-    if not len(fit):
-        return fixed(model)
-    balance = np.clip(np.array([(labels[fit] == k).mean() for k in (0, 1)]), 0.05, 1)
-    sums = [np.full_like(model.table, 0.05), [np.full_like(f, 0.05) for f in model.filters], np.full_like(model.bias, 0.05), np.full_like(model.weights, 0.05), 0.05]
-    for epoch in range(EPOCHS):
-        rate = 0.05 * (1 - epoch / EPOCHS)
-        for b in rng.permutation(len(batches)):
-            text, y = batches[b]
-            g = gradient(model, text, y, 1 / (2 * balance[y]))
-            for q, (rows, total) in enumerate(g.table):
-                sums[0][q][rows] += total * total
-                model.table[q][rows] -= rate * total / np.sqrt(sums[0][q][rows])
-            for k, step in enumerate(g.filters):
-                sums[1][k] += step * step
-                model.filters[k] -= rate * step / np.sqrt(sums[1][k])
-            sums[2] += g.bias * g.bias
-            model.bias -= rate * g.bias / np.sqrt(sums[2])
-            sums[3] += g.weights * g.weights
-            model.weights -= rate * g.weights / np.sqrt(sums[3])
-            sums[4] += g.intercept * g.intercept
-            model.intercept -= rate * g.intercept / sums[4] ** 0.5
-    model = fixed(model)
-    held = np.flatnonzero(ids_fold == 1)
-    z, y, language = [np.concatenate(x) if x else np.zeros(0) for x in (zip(*((logits(model, t), y, t.language) for t, y in batched(held))) if len(held) else ((), (), ()))]
-    everywhere = best_threshold(z, y, 0.0)
+def steps_of(rows):
+    """(text, labels) of each step's documents; rows has each document's label and bytes, in order."""
+    y, raw, size = [], [], 0
+
+    def step():
+        return read(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in raw])]).astype(np.int64)), np.array(y, np.int64)
+
+    for label, text in rows:
+        if y and (len(y) == STEP or size + len(text) > STEP_BYTES):
+            yield step()
+            y, raw, size = [], [], 0
+        y.append(label)
+        raw.append(text)
+        size += len(text)
+    if y:
+        yield step()
+
+
+def moved(flat: np.ndarray, squares: np.ndarray, steps, rate: float, balance: np.ndarray) -> np.ndarray:
+    """Goes down the gradient in place, once over the steps; how many of them touched each row."""
+    model, sums, touched = viewed(flat), viewed(squares), np.zeros(len(flat), np.int64)
+    for text, y in steps:
+        g = gradient(model, text, y, 1 / (2 * balance[y]))
+        for q, (rows, total) in enumerate(g.table):
+            sums.table[q][rows] += total * total
+            model.table[q][rows] -= rate * total / np.sqrt(sums.table[q][rows])
+            touched[q * BUCKETS + rows] += 1
+        for f, s, total in [*zip(model.filters, sums.filters, g.filters), (model.bias, sums.bias, g.bias), (model.weights, sums.weights, g.weights), (model.intercept, sums.intercept, g.intercept)]:
+            s += total * total
+            f -= rate * total / np.sqrt(s)
+        touched[len(PREFIXES) * BUCKETS :] += 1
+    return touched
+
+
+def binned(model: Model, steps) -> np.ndarray:
+    """(languages * bins, 2): of each class the documents by language and logit."""
+    bins = 2 * BINS * LIMIT + 1
+    out = np.zeros(((len(LANGUAGES) + 1) * bins, 2), np.int64)
+    for text, y in steps:
+        z = np.rint(np.clip(logits(model, text), -LIMIT, LIMIT) * BINS).astype(np.int64) + BINS * LIMIT
+        np.add.at(out, (text.language * bins + z, y), 1)
+    return out
+
+
+def calibrated(model: Model, counts: np.ndarray) -> Model:
+    """The model with the thresholds that binned() counts give."""
+    counts = counts.reshape(len(LANGUAGES) + 1, -1, 2)
+    everywhere = best_threshold(counts.sum(0), 0.0)
     model.thresholds[:] = everywhere
     for k in range(len(LANGUAGES)):
-        mine = language == k
-        if min((y[mine] == 1).sum(), (y[mine] == 0).sum()) >= 10:
-            model.thresholds[k] = best_threshold(z[mine], y[mine], everywhere)
+        if counts[k].sum(0).min() >= 10:
+            model.thresholds[k] = best_threshold(counts[k], everywhere)
     return model
 
 
-def best_threshold(z: np.ndarray, y: np.ndarray, default: float) -> float:
-    """The middle of the cuts of least error: the share of toxic texts missed and twice that of clean ones accused."""
-    if not len(z) or len(np.unique(y)) < 2:
+def best_threshold(counts: np.ndarray, default: float) -> float:
+    """The middle of the cuts of least error: the share of toxic texts missed and twice that of clean ones accused.
+
+    counts has the documents of both classes by bins of logits.
+    """
+    at = np.flatnonzero(counts.sum(1))
+    clean, toxic = counts.sum(0)
+    if not clean or not toxic:
         return default
-    order = np.argsort(z)
-    zs, ys = z[order], y[order]
-    missed = np.concatenate([[0], np.cumsum(ys == 1)]) / (ys == 1).sum()
-    wrong = 1 - np.concatenate([[0], np.cumsum(ys == 0)]) / (ys == 0).sum()
-    error = missed + 2 * wrong
-    best = np.flatnonzero(error <= error.min() + 1e-12)
-    edges = np.concatenate([[zs[0] - 1], (zs[1:] + zs[:-1]) / 2, [zs[-1] + 1]])
-    return float(edges[best].mean())
+    below = np.concatenate([np.zeros((1, 2), np.int64), np.cumsum(counts[at], 0)])
+    error = below[:, 1] * clean + 2 * (clean - below[:, 0]) * toxic  # times clean * toxic, whole numbers
+    z = (at - BINS * LIMIT) / BINS
+    edges = np.concatenate([[z[0] - 1], (z[1:] + z[:-1]) / 2, [z[-1] + 1]])
+    middle = edges[error == error.min()].mean()
+    return float((np.floor(middle * BINS) + 0.5) / BINS)  # between two bins
+
+
+def shares(counts: np.ndarray) -> np.ndarray:
+    return np.clip(counts[-1] / max(1, counts[-1].sum()), 0.05, 1)
+
+
+def train(texts: list[bytes], labels: np.ndarray, ids_fold: np.ndarray, seed: int = 7) -> Model:
+    """fit() of a single shard that stands here: fitted on the texts whose fold is not 1; these calibrate the thresholds."""
+    rng = np.random.default_rng(seed)
+    fit = rng.permutation(np.flatnonzero(ids_fold != 1))
+    steps = lambda index: steps_of((labels[i], texts[i]) for i in index)
+    counts = counted(steps(fit))
+    flat = _start(counts, rng)
+    squares = np.full_like(flat, 0.05)
+    for epoch in range(EPOCHS):
+        moved(flat, squares, steps(fit), RATE * (1 - epoch / EPOCHS), shares(counts))
+    model = fixed(viewed(flat))
+    return calibrated(model, binned(model, steps(np.flatnonzero(ids_fold == 1))))
 
 
 def fold(column):
@@ -278,19 +345,106 @@ def fold(column):
     return F.coalesce(F.pmod(F.crc32(column.cast("string").cast("binary")), F.lit(FOLDS)), F.lit(2)).cast("int")
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", per_class: int = TRAIN_PER_CLASS) -> Model:
-    """A model of `label`; of the labelled documents outside fold 0, at most per_class of either class are read,
-    and learned from unless their text has more than TRAIN_BYTES.
+def training(docs: DataFrame, labels: DataFrame, label: str = "toxic") -> DataFrame:
+    """y, fold, text (packed) of every labelled document outside fold 0, written in shards by doc_id.
 
-    Labels of 0 or 1 count; several labels of one document count as their largest.  Without
-    labelled documents the model gives every text the same low score.
+    Labels of 0 or 1 count; several labels of one document count as their largest, of rows that
+    share a doc_id the least text counts.
     """
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where(F.col("y").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("y").alias("y"))
     known = known.withColumn("fold", fold(F.col("doc_id"))).where("fold <> 0")
-    pick = [known.where(F.col("y") == k).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for k in (0, 1)]
-    sample = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(pick[0].unionAll(pick[1])), "doc_id").where(F.coalesce(F.octet_length("text"), F.lit(0)) <= TRAIN_BYTES).groupBy("doc_id", "y", "fold").agg(F.min("text").alias("text"))
-    rows = sorted(sample.collect(), key=lambda r: r[0])  # 2 * per_class rows of TRAIN_BYTES at most
-    return train([bytes(r.text or b"") for r in rows], np.array([r.y for r in rows], np.int64), np.array([r.fold for r in rows], np.int64))
+    shards = max(1, -(-known.count() // SHARD))
+    spot = F.pmod(F.xxhash64(F.col("doc_id").cast("string")), F.lit(MARKS))
+    marks = known.groupBy(F.bitmap_bucket_number(spot).alias("_bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(spot)).alias("_bits"))  # MARKS bits at most
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text"), F.bitmap_bucket_number(spot).alias("_bucket"), F.bitmap_bit_position(spot).alias("_bit"))
+    rows = rows.where(F.col("doc_id").isNotNull()).join(F.broadcast(marks), "_bucket").where("shiftright(cast(conv(hex(substring(_bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1 = 1")
+    rows = rows.select("doc_id", F.coalesce("text", F.lit(b"")).alias("text"), F.lit(None).cast("int").alias("y")).unionByName(known.select("doc_id", F.lit(None).cast("binary").alias("text"), "y"))
+    rows = rows.repartition(shards, "doc_id").groupBy("doc_id").agg(F.max("y").alias("y"), F.min("text").alias("text")).where("y IS NOT NULL AND text IS NOT NULL").withColumn("fold", fold(F.col("doc_id")))
+    rows = rows.sortWithinPartitions(F.xxhash64("doc_id"), "doc_id").select("y", "fold", "text")
+
+    @V.tidy
+    def run(batches):
+        for batch in batches:
+            yield pa.record_batch([batch.column(0), batch.column(1), V.packed(batch.column(2))], ["y", "fold", "text"])
+
+    return checkpoint(rows.mapInArrow(run, "y int, fold int, text binary"))
+
+
+def told(counts: np.ndarray, rows: np.ndarray, weights: np.ndarray):
+    """Record batches for summed(): the values of these rows and what each of them weighs."""
+    for part in np.split(np.arange(len(rows)), np.flatnonzero(np.diff(rows // BLOCK)) + 1):
+        if len(part):
+            r = rows[part]
+            cells = [(r % BLOCK).astype("<u2"), weights[part].astype("<i4"), counts[part].astype("<i4")]
+            yield pa.record_batch([pa.array([int(r[0] // BLOCK)], pa.int32()), *(pa.array([c.tobytes()], pa.binary()) for c in cells)], ["block", "rows", "weights", "counts"])
+
+
+def summed(shards: DataFrame, work, size: int, width: int, mean: bool = False) -> np.ndarray:
+    """(size, width): sums over the shards, or with `mean` weighted means, of what work(rows of a shard) tells of each row."""
+
+    @V.tidy
+    def tell(batches):
+        back = zstandard.ZstdDecompressor().decompress
+        yield from told(*work((y, back(t)) for b in batches for y, t in zip(b.column(0).to_pylist(), (x.as_py() for x in b.column(1)))))
+
+    @V.tidy
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for block, rows, weights, values in zip(*(c.to_pylist() for c in batch.columns)):
+                total = totals.setdefault(block, np.zeros((BLOCK, 1 + width), np.int64))
+                at, w = np.frombuffer(rows, "<u2"), np.frombuffer(weights, "<i4").astype(np.int64)
+                total[at, 0] += w
+                total[at, 1:] += w[:, None] * np.frombuffer(values, "<i4").reshape(-1, width)
+        for block, total in totals.items():
+            at = np.flatnonzero(total[:, 0])
+            out = np.rint(total[at, 1:] / total[at, :1]).astype("<i4") if mean else total[at, 1:]
+            yield pa.record_batch([pa.array([block], pa.int32()), pa.array([at.astype("<u2").tobytes()], pa.binary()), pa.array([out.tobytes()], pa.binary())], ["block", "rows", "total"])
+
+    out = np.zeros((size, width), np.int32 if mean else np.int64)
+    sums = shards.select("y", "text").mapInArrow(tell, "block int, rows binary, weights binary, counts binary").repartition("block").mapInArrow(add, "block int, rows binary, total binary")
+    for r in sums.collect():  # size rows of width numbers at most
+        out[r.block * BLOCK + np.frombuffer(r.rows, "<u2").astype(np.int64)] = np.frombuffer(r.total, out.dtype).reshape(-1, width)
+    let_go(sums)
+    V.trim()
+    return out
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", seed: int = 7) -> Model:
+    """A model of `label`, learned from every labelled document outside fold 0; those of fold 1 calibrate it.
+
+    Without labelled documents the model gives every text the same low score.
+    """
+    shards = training(docs, labels, label)
+    learned, held = shards.where("fold <> 1"), shards.where("fold = 1")
+
+    def all_of(counts: np.ndarray):
+        rows = np.flatnonzero(counts.any(1))
+        return counts[rows], rows, np.ones(len(rows), np.int64)
+
+    counts = summed(learned, lambda rows: all_of(counted(steps_of(rows))), len(PREFIXES) * BUCKETS + 1, 2)
+    balance, context = shares(counts), docs.sparkSession.sparkContext
+    flat = _start(counts, np.random.default_rng(seed))
+    squares = np.full_like(flat, 0.05)
+    size, met = len(flat), np.concatenate([np.flatnonzero(counts[:-1].any(1)), np.arange(len(counts) - 1, len(flat))])  # no step reads other rows
+    for epoch in range(EPOCHS if counts[-1].sum() else 0):
+        common, rate = context.broadcast((met, flat[met], squares[met])), RATE * (1 - epoch / EPOCHS)
+
+        def work(rows, common=common, rate=rate):
+            met, was, more = common.value
+            mine, mores = np.zeros((size, DIM), np.float32), np.ones((size, DIM), np.float32)
+            mine[met], mores[met] = was, more
+            touched = moved(mine, mores, steps_of(rows), rate, balance)[met]
+            at = np.flatnonzero(touched)
+            whole = lambda x, unit: np.clip(np.rint(x.astype(np.float64) * unit), -(2**31), 2**31 - 1)
+            return np.hstack([whole(mine[met[at]] - was[at], MOVE), whole(mores[met[at]] - more[at], SQUARE)]), met[at], touched[at]
+
+        moves = summed(learned, work, size, 2 * DIM, mean=True)
+        common.destroy()
+        flat[met] += moves[met, :DIM] / np.float32(MOVE)
+        squares[met] += moves[met, DIM:] / np.float32(SQUARE)
+    model = fixed(viewed(flat))
+    return calibrated(model, summed(held, lambda rows: all_of(binned(model, steps_of(rows))), (len(LANGUAGES) + 1) * (2 * BINS * LIMIT + 1), 2))
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
