@@ -33,6 +33,8 @@ BUCKETS = 1 << 14
 #: Sites (FOLDS rows each) are broadcast up to this many rows (of about 100 bytes), and joined by salted keys beyond.
 BROADCAST_SITES = 50_000
 SALTS = 32
+#: Words that the driver looks at together as it learns.
+WORDS_TOGETHER = 1 << 16
 #: A document stays if its posterior is this at least.
 KEEP_AT = 0.5
 #: Prior strengths stay within these numbers of labels.
@@ -137,11 +139,19 @@ def train(x: np.ndarray, buckets: np.ndarray, first: np.ndarray, y: np.ndarray)
     d = len(FEATURES) + 1
     if len(np.unique(y)) < 2:
         return Classifier(np.zeros(BUCKETS), np.zeros(d), np.ones(d), np.zeros(1 + 2 * d))
-    own = y[np.repeat(np.arange(len(y)), np.diff(first))]
-    hits, totals = np.stack([np.bincount(buckets[own == k], minlength=BUCKETS) for k in (0, 1)]).astype(np.float64), np.bincount(y, minlength=2)
+    hits, totals, lexical = np.zeros((2, BUCKETS)), np.bincount(y, minlength=2), np.zeros(len(y))
     odds = lambda good, bad, n_good, n_bad: np.log((good + 1) / (n_good + 2)) - np.log((bad + 1) / (n_bad + 2))
-    alone = odds(hits[1][buckets] - own, hits[0][buckets] - (1 - own), totals[1] - own, totals[0] - (1 - own))
-    x = np.column_stack([x, _mean(alone, first)])
+
+    def parts():  # of all words at once the driver would hold eight arrays
+        for i, j in V.chunks(first, WORDS_TOGETHER):
+            yield i, j, buckets[first[i] : first[j]].astype(np.int64), y[np.repeat(np.arange(i, j), np.diff(first[i : j + 1]))]
+
+    for _, _, b, own in parts():
+        hits += [np.bincount(b[own == k], minlength=BUCKETS) for k in (0, 1)]
+    for i, j, b, own in parts():
+        alone = odds(hits[1][b] - own, hits[0][b] - (1 - own), totals[1] - own, totals[0] - (1 - own))
+        lexical[i:j] = _mean(alone, first[i : j + 1] - first[i])
+    x = np.column_stack([x, lexical])
     mean, scale = x.mean(0), x.std(0) + 1e-6
     a = expand((x - mean) / scale)
     w = np.zeros(a.shape[1])
@@ -185,13 +195,16 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = TRAIN_PER_CLASS) ->
 
     rows = sample.select(fold(F.col("doc_id")), "y", "text").mapInArrow(run, "fold int, y int, x binary, words binary").collect()  # 2 * per_class rows of at most 2 * BUCKETS bytes
     rows.sort(key=lambda r: (r.y, r.x, r.words))
-    return [_trained([r for r in rows if r.fold != k]) for k in range(FOLDS)]
+    models = [_trained([r for r in rows if r.fold != k]) for k in range(FOLDS)]
+    rows.clear()
+    V.trim()
+    return models
 
 
 def _trained(rows: list) -> Classifier:
     first = np.cumsum([0, *(len(r.words) // 2 for r in rows)])
-    words = np.frombuffer(b"".join(bytes(r.words) for r in rows), "<u2").astype(np.int64)
-    x = np.frombuffer(b"".join(bytes(r.x) for r in rows), np.float64).reshape(-1, len(FEATURES))
+    words = np.frombuffer(b"".join(r.words for r in rows), "<u2")
+    x = np.frombuffer(b"".join(r.x for r in rows), np.float64).reshape(-1, len(FEATURES))
     return train(x, words, first, np.array([r.y for r in rows], np.int64))
 
 
